@@ -66,7 +66,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     slight = anchors.count() <= 40 * block  # rows of 16 bytes: at most some 13 MB
     wanted = cut(anchors.select("shingle").distinct(), "wanted")
     parts = max(1, -(-wanted.count() // block))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_hashes(F.col(text_col)).alias("h")).where("size(h) > 0")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_hashes(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("row"))
+    # the row number keeps the optimizer from computing the arrays once more in a filter below this point
     rows = rows.withColumn("s", shingles(F.col("h")))
     out = spark.createDataFrame([], SCHEMA)
     small = item.where(f"n < {SHINGLE}").select("n").distinct()
@@ -78,8 +79,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         runs = F.col("s")
         for n in sizes:  # items shorter than a shingle: all runs of their length
             runs = F.concat(runs, F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda i, n=n: F.xxhash64(F.slice("h", i, n)))).otherwise(F.array().cast("array<bigint>")))
-        hits = F.filter(F.transform(runs, lambda x, i: F.struct(x.alias("shingle"), i.alias("i"))), lambda y: y["shingle"].isin(mine))
-        found = rows.select("doc_id", "h", F.size("s").alias("ns"), hits.alias("hits")).where("size(hits) > 0").select("doc_id", "h", "ns", F.explode("hits").alias("hit"))
+        hits = F.expr(f"filter(transform(runs, (x, i) -> struct(x AS shingle, i AS i)), y -> y.shingle IN ({','.join(map(str, mine))}))")
+        found = rows.select("row", "doc_id", "h", F.size("s").alias("ns"), runs.alias("runs")).select("row", "doc_id", "h", "ns", hits.alias("hits"))
+        found = found.select("row", "doc_id", "h", "ns", F.explode("hits").alias("hit"))
         # position in words: runs of the shingle's length come first, then those of each short length
         pos = F.when(F.col("hit.i") < F.col("ns"), F.col("hit.i"))
         at = F.col("ns")
@@ -87,19 +89,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             more = F.greatest(F.size("h") - (n - 1), F.lit(0))
             pos = pos.when(F.col("hit.i") < at + more, F.col("hit.i") - at)
             at = at + more
-        found = found.select("doc_id", "h", pos.alias("p"), F.col("hit.shingle").alias("shingle"))
+        found = found.select("row", "doc_id", "h", pos.alias("p"), F.col("hit.shingle").alias("shingle"))
         here = anchors.where(F.pmod("shingle", F.lit(parts)) == k)
         laid = found.join(F.broadcast(here) if slight else here, "shingle")
         begin = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("h") - F.col("n")))
-        windows = laid.select("doc_id", "n", begin.alias("start"), F.slice("h", begin + 1, F.col("n")).alias("w")).distinct()
-        windows = windows.withColumn("s", shingles(F.col("w"))).select("doc_id", "n", "start", "s")
+        windows = laid.select("row", "doc_id", "n", begin.alias("start"), F.slice("h", begin + 1, F.col("n")).alias("w")).distinct()
+        windows = windows.withColumn("s", shingles(F.col("w"))).select("row", "doc_id", "n", "start", "s")
         windows = windows.withColumn("print", fingerprint(F.col("s"))).withColumn("block", F.explode(blocks(F.col("print"), radius)))
         theirs = item.select("item_id", "n", F.col("s").alias("item_s"), F.col("print").alias("item_print")).withColumn("block", F.explode(blocks(F.col("item_print"), radius)))
         near = (
             windows.join(theirs, ["n", "block"])
             .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
             .where(F.size(F.array_intersect("s", "item_s")) > 0)
-            .select("doc_id", "start", "item_id", "s", "item_s")
+            .select("row", "doc_id", "start", "item_id", "s", "item_s")
             .distinct()
         )
         out = out.unionByName(near.withColumn("similarity", weighted_jaccard(F.col("s"), F.col("item_s"))).where(F.col("similarity") >= threshold).select("doc_id", "item_id", "start", "similarity"))
