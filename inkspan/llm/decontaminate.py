@@ -61,7 +61,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """Pairs of a document and an item that it holds: doc_id, item_id, start (word of the best window), similarity."""
     spark = docs.sparkSession
     item = items.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(F.col(item_text)).alias("h")).where("size(h) > 0")
-    item = cut(item.withColumn("s", shingles(F.col("h"))).select("item_id", F.size("h").alias("n"), "s").withColumn("print", fingerprint(F.col("s"))), "items")
+    # written between shingles and fingerprints, or the optimizer would compute the shingles anew for each bit
+    item = cut(item.withColumn("s", shingles(F.col("h"))).select("item_id", F.size("h").alias("n"), "s"), "shingles")
+    item = cut(item.withColumn("print", fingerprint(F.col("s"))), "items")
     anchors = cut(item.select("n", F.posexplode("s").alias("q", "shingle")).distinct(), "anchors")
     slight = anchors.count() <= 40 * block  # rows of 16 bytes: at most some 13 MB
     wanted = cut(anchors.select("shingle").distinct(), "wanted")
@@ -94,7 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         laid = found.join(F.broadcast(here) if slight else here, "shingle")
         begin = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("h") - F.col("n")))
         windows = laid.select("row", "doc_id", "n", begin.alias("start"), F.slice("h", begin + 1, F.col("n")).alias("w")).distinct()
-        windows = windows.withColumn("s", shingles(F.col("w"))).select("row", "doc_id", "n", "start", "s")
+        windows = cut(windows.withColumn("s", shingles(F.col("w"))).select("row", "doc_id", "n", "start", "s"), "windows")
         windows = windows.withColumn("print", fingerprint(F.col("s"))).withColumn("block", F.explode(blocks(F.col("print"), radius)))
         theirs = item.select("item_id", "n", F.col("s").alias("item_s"), F.col("print").alias("item_print")).withColumn("block", F.explode(blocks(F.col("item_print"), radius)))
         near = (
