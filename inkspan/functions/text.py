@@ -12,6 +12,11 @@ STOP_WORDS = "але або для про при що це цей ця цих т
 FNV_START, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda's variable isn't inlined by the optimizer."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
@@ -23,8 +28,7 @@ def normalize_ws(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The space-separated words of a text, none for a blank one."""
-    n = normalize_ws(c)
-    return F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    return let(normalize_ws(c), lambda n: F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " ")))
 
 
 def count_words(c: Column) -> Column:
@@ -49,25 +53,27 @@ def clamp_score(x: Column) -> Column:
 
 def stable_hash(s: Column) -> Column:
     """FNV-1a of 32 bits over characters, as a long."""
-    chars = F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(s.substr(i, F.lit(1))).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    chars = F.transform(F.filter(F.split(s, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
     return F.aggregate(chars, F.lit(FNV_START).cast("bigint"), lambda h, x: (h.bitwiseXOR(x) * F.lit(FNV_PRIME).cast("bigint")).bitwiseAND(F.lit(MASK).cast("bigint")))
 
 
 def ngrams(t: Column, k: int) -> Column:
     """Sliding runs of k tokens joined by spaces, repeats included; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.array_join(F.slice(t, i, k), " "))
-    return F.when(F.size(t) >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(x: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(x) - (k - 1)), lambda i: F.concat_ws(" ", *[F.get(x, i + (j - 1)) for j in range(k)]))
+        return F.when(F.size(x) >= k, each)  # `slice` copies the whole array each time.otherwise(F.array().cast("array<string>"))
+
+    return let(t, runs)
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Share of a's distinct elements that b has; 0 if a has none."""
-    da = F.array_distinct(a)
-    return F.when(F.size(da) > 0, F.size(F.array_intersect(da, b)) / F.size(da)).otherwise(F.lit(0.0))
+    return let(F.array_distinct(a), lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, b)) / F.size(x)).otherwise(F.lit(0.0)))
 
 
 def search_excerpt(c: Column, size: int = 22) -> Column:
-    w = words(c)
-    return F.array_join(F.when(F.size(w) <= size, w).otherwise(F.slice(w, F.floor(F.size(w) / 2).cast("int") - size // 2 + 1, F.lit(size))), " ")
+    return let(words(c), lambda w: F.array_join(F.when(F.size(w) <= size, w).otherwise(F.slice(w, F.floor(F.size(w) / 2).cast("int") - size // 2 + 1, F.lit(size))), " "))
 
 
 def url_key(c: Column) -> Column:

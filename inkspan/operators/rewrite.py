@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import count_words, normalize_ws
+from inkspan.functions.text import count_words, let, normalize_ws
 
 A, Z = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 L, R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -38,10 +38,13 @@ def soften(c: Column) -> Column:
 
 def without_repeats(paragraph: Column) -> Column:
     """A paragraph without later copies of its sentences of seven words or more."""
+    name = lambda x: normalize_ws(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "#"), r"[^\p{L}\p{N}#\s]", " "))
     s = F.split(paragraph, r"(?<=[.!?…])\s+")
-    key = F.transform(s, lambda x: normalize_ws(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "#"), r"[^\p{L}\p{N}#\s]", " ")))
-    kept = F.filter(s, lambda x, i: (count_words(F.get(key, i)) < 7) | (F.array_position(key, F.get(key, i)) == i + 1))
-    return F.array_join(kept, " ")
+
+    def kept(pair: Column) -> Column:
+        return F.filter(pair["s"], lambda x, i: (count_words(F.get(pair["k"], i)) < 7) | (F.array_position(pair["k"], F.get(pair["k"], i)) == i + 1))
+
+    return F.array_join(let(let(s, lambda x: F.struct(x.alias("s"), F.transform(x, name).alias("k"))), kept), " ")
 
 
 def rewrite(docs: DataFrame) -> DataFrame:

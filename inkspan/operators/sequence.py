@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import ngrams, stable_hash, words
+from inkspan.functions.text import let, ngrams, stable_hash, words
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,10 @@ def analysis_windows(docs: DataFrame, size: int = 220, overlap: int = 55, text:
 
 def winnow(t: Column, gram: int = 5, window: int = 4) -> Column:
     """The set of fingerprints: the rightmost least hash of every window of gram hashes."""
-    h = F.transform(ngrams(t, gram), stable_hash)
-    w = F.least(F.lit(window), F.size(h))
-    each = F.transform(F.sequence(F.lit(1), F.size(h) - w + 1), lambda i: F.array_min(F.slice(h, i, w)))
-    return F.when(F.size(h) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+    def least(h: Column) -> Column:
+        w = F.least(F.lit(window), F.size(h))
+        each = F.transform(F.sequence(F.lit(1), F.size(h) - w + 1), lambda i: F.least(*[F.get(h, i + (j - 1)) for j in range(window)]))
+        return F.when(F.size(h) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(ngrams(t, gram), stable_hash), least)

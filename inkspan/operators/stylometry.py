@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import clamp_score, ngrams, normalize_ws, sentences, tokens
+from inkspan.functions.text import clamp_score, let, ngrams, normalize_ws, sentences, tokens
 from inkspan.operators.sequence import analysis_windows
 
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -67,10 +67,14 @@ def bounded(pattern: str) -> str:
 
 def mattr(t: Column, size: int = 50) -> Column:
     """Mean share of distinct tokens in windows of `size`, the last of which ends with the text."""
+    return let(t, lambda x: _mattr(x, size))
+
+
+def _mattr(t: Column, size: int) -> Column:
     n = F.size(t)
     starts = F.concat(F.filter(F.sequence(F.lit(1), n, F.lit(size // 2)), lambda i: i + size - 1 < n), F.array(n - size + 1))
     ratios = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(t, i, size))) / size)
-    mean = F.aggregate(ratios, F.lit(0.0), lambda a, x: a + x) / F.size(ratios)
+    mean = let(ratios, lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x) / F.size(r))
     return F.when(n == 0, F.lit(0.0)).when(n <= size, F.size(F.array_distinct(t)) / n).otherwise(mean)
 
 
@@ -78,16 +82,14 @@ def variation(lengths: Column) -> Column:
     """Population deviation over mean; 1 for fewer than two values or a mean of zero."""
     n = F.size(lengths)
     mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    var = let(mean, lambda m: F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n)
     return F.when((n < 2) | (mean == 0), F.lit(1.0)).otherwise(F.sqrt(var) / mean)
 
 
 def repeats(a: Column) -> tuple[Column, Column]:
     """(elements that occur twice or more, with repeats; the same less one for each distinct), by sorting once."""
-    s = F.array_sort(a)
-    n = F.size(s)
-    again = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1) == x)) | ((i < n - 1) & (F.get(s, i + 1) == x)))
-    return F.size(again), F.size(again) - F.size(F.array_distinct(again))
+    again = let(F.sort_array(a), lambda s: F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1) == x)) | ((i < F.size(s) - 1) & (F.get(s, i + 1) == x))))
+    return F.size(again), let(again, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
 def single_pass(units: DataFrame, text: str = "text") -> DataFrame:
