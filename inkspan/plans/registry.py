@@ -43,8 +43,8 @@ def fingerprints(s, d):
 
 def candidate_pairs(s, d):
     """Documents and benchmark items that share a 5-gram, with how many."""
-    a = _t(s, d, "documents").select("doc_id", T.ngrams(T.tokens(F.col("text"), True), 5).alias("fp"))
-    b = _t(s, d, "benchmark").select("item_id", T.ngrams(T.tokens(F.col("text"), True), 5).alias("fp"))
+    a = _t(s, d, "documents").select("doc_id", T.tokens(F.col("text"), True).alias("t")).select("doc_id", "t", T.ngrams(F.col("t"), 5).alias("fp"))
+    b = _t(s, d, "benchmark").select("item_id", T.tokens(F.col("text"), True).alias("t")).select("item_id", "t", T.ngrams(F.col("t"), 5).alias("fp"))
     return match.candidate_pairs(a, b, ["doc_id"], ["item_id"])
 
 
@@ -177,8 +177,9 @@ STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 NORM = f"trim(regexp_replace(coalesce(text, ''), '{T.WS}+', ' ', 'g'))"
 WORDS = f"CASE WHEN {NORM} = '' THEN [] ELSE string_split({NORM}, ' ') END"
 TOKENS = rf"list_filter(regexp_split_to_array(regexp_replace(lower({NORM}), '[^\p{{L}}\p{{N}}\s''-]', ' ', 'g'), '\s+'), lambda t: length(t) > 2)"
-GRAMS = f"CASE WHEN len({TOKENS}) >= 5 THEN list_distinct(list_transform(range(1, len({TOKENS}) - 3), lambda i: array_to_string(list_slice({TOKENS}, i, i + 4), ' '))) ELSE [] END"
-PAIRS = f"""a AS (SELECT doc_id, unnest({GRAMS}) AS g FROM documents), b AS (SELECT item_id, unnest({GRAMS}) AS g FROM benchmark),
+GRAMS = "CASE WHEN len(t) >= 5 THEN list_distinct(list_transform(range(1, len(t) - 3), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] || ' ' || t[i + 4])) ELSE [] END"
+PAIRS = f"""td AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents), tb AS MATERIALIZED (SELECT item_id, {TOKENS} AS t FROM benchmark),
+a AS (SELECT doc_id, unnest({GRAMS}) AS g FROM td), b AS (SELECT item_id, unnest({GRAMS}) AS g FROM tb),
 p AS (SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY ALL)"""
 FNV = f"list_reduce(list_prepend({T.FNV_START}::BIGINT, list_transform(string_split(g, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) & {T.MASK})"
 
@@ -196,8 +197,8 @@ m AS (SELECT item_id, i, n, min(h) OVER (PARTITION BY item_id ORDER BY i ROWS BE
 SELECT DISTINCT item_id, fingerprint FROM m WHERE i >= least(4, n)""",
         "candidate_pairs": f"WITH {PAIRS} SELECT doc_id, item_id, shared FROM p",
         "ngram_containment": f"WITH {PAIRS}, c AS (SELECT item_id, count(*) AS n FROM b GROUP BY ALL) SELECT doc_id, item_id, shared / n AS containment FROM p JOIN c USING (item_id)",
-        "longest_runs": f"""WITH {PAIRS}, x AS (SELECT doc_id, item_id, unnest(t) AS t, unnest(range(0, len(t))) AS s FROM p JOIN (SELECT doc_id, {TOKENS} AS t FROM documents) USING (doc_id)),
-y AS (SELECT item_id, unnest(t) AS t, unnest(range(0, len(t))) AS c FROM (SELECT item_id, {TOKENS} AS t FROM benchmark)),
+        "longest_runs": f"""WITH {PAIRS}, x AS (SELECT doc_id, item_id, unnest(t) AS t, unnest(range(0, len(t))) AS s FROM p JOIN td USING (doc_id)),
+y AS (SELECT item_id, unnest(t) AS t, unnest(range(0, len(t))) AS c FROM tb),
 h AS (SELECT doc_id, item_id, s, s - c AS d FROM x JOIN y USING (item_id, t)),
 g AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY s) AS k FROM h),
 r AS (SELECT doc_id, item_id, d, k, count(*) AS n FROM g GROUP BY ALL)
