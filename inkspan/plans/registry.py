@@ -162,7 +162,8 @@ def rewritten(s, d):
 
 
 def revision_diff(s, d):
-    r = rewrite.rewrite(_t(s, d, "documents")).join(_t(s, d, "documents").select("doc_id", F.col("text").alias("original")), "doc_id")
+    c = _t(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
+    r = rewrite.rewrite(c).join(c.select("doc_id", F.col("text").alias("original")), "doc_id")
     return align.word_diff(r).select("doc_id", F.size("parts").alias("n_parts"))
 
 
