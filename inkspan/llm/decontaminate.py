@@ -57,6 +57,12 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _short_runs(n: int) -> Column:
+    """Hashes of all runs of n words of the column h."""
+    each = F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda i: F.xxhash64(F.slice("h", i, n)))
+    return F.when(F.size("h") >= n, each).otherwise(F.array().cast("array<bigint>"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Pairs of a document and an item that it holds: doc_id, item_id, start (word of the best window), similarity."""
     spark = docs.sparkSession
@@ -80,7 +86,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             continue
         runs = F.col("s")
         for n in sizes:  # items shorter than a shingle: all runs of their length
-            runs = F.concat(runs, F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda i, n=n: F.xxhash64(F.slice("h", i, n)))).otherwise(F.array().cast("array<bigint>")))
+            runs = F.concat(runs, _short_runs(n))
         hits = F.expr(f"filter(transform(runs, (x, i) -> struct(x AS shingle, i AS i)), y -> y.shingle IN ({','.join(map(str, mine))}))")
         found = rows.select("row", "doc_id", "h", F.size("s").alias("ns"), runs.alias("runs")).select("row", "doc_id", "h", "ns", hits.alias("hits"))
         found = found.select("row", "doc_id", "h", "ns", F.explode("hits").alias("hit"))
