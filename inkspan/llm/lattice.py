@@ -38,6 +38,10 @@ MARK_BYTES = MARK.encode()
 FIRST_BYTE = 3
 BYTE_WEIGHT = -12.0
 SAMPLES = 2
+#: Draws of a unit's other segmentation before its edges are weighed one by one.
+TRIES = 64
+#: Bytes of text that are worked on together; their arrays take some hundred times as much.
+BATCH_BYTES = 2 << 20
 
 
 class Model:
@@ -58,8 +62,7 @@ class Model:
                 if MARK not in p[1:]:
                     names.append(p.encode())
                     ids.append(i)
-        self.names, self.ids = pa.array(names, pa.large_binary()), np.array(ids, np.int64)
-        self.longest = max(map(len, names))
+        self.child, self.piece_at = _trie(names, ids)
         self.weight = -np.log(np.arange(1.0, size + 1))
         self.weight[FIRST_BYTE : FIRST_BYTE + 256] = BYTE_WEIGHT
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
@@ -72,6 +75,24 @@ class Model:
         return out.decode("utf-8", "replace").removeprefix(" ")
 
 
+def _trie(names: list[bytes], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(child by node and byte, or 0 if there is none; id of the piece that a node ends, or -1). The root is 0, leaves come last."""
+    nodes: dict[bytes, int] = {b"": 0}
+    for name in names:
+        for k in range(1, len(name) + 1):
+            nodes.setdefault(name[:k], 0)
+    inner = {p[:-1] for p in nodes if p}
+    order = sorted(nodes, key=lambda p: (p not in inner, len(p), p))
+    nodes = {p: k for k, p in enumerate(order)}
+    child = np.zeros((len(inner), 256), np.int32)
+    for p, k in nodes.items():
+        if p:
+            child[nodes[p[:-1]], p[-1]] = k
+    ends = np.full(len(nodes), -1, np.int32)
+    ends[[nodes[name] for name in names]] = ids
+    return child, ends
+
+
 @cache
 def model(path: str) -> Model:
     return Model(path)
@@ -104,25 +125,24 @@ class Lattices:
         node = np.arange(len(raw)) + unit  # a unit of s bytes has s + 1 nodes
         self.root, self.leaf = ends[:-1] + np.arange(n), ends[1:] + np.arange(n)
         begins = (raw & 0xC0) != 0x80
-        stops = np.append(begins, True)  # is there a character boundary before this byte?
         left = size[unit] - place
         mark = (raw == MARK_BYTES[0]) & (np.append(raw[1:], 0) == MARK_BYTES[1]) & (np.append(raw[2:], [0, 0]) == MARK_BYTES[2])[: len(raw)]
         able = np.flatnonzero(begins & ~(mark & (place > 0)))
-        starts, lengths, single = [], [], np.zeros(len(raw), bool)
-        for width in range(1, m.longest + 1):
-            able = able[left[able] >= width]
-            if not len(able):
-                break
-            at = able[stops[able + width] | (left[able] == width)]
-            starts.append(at)
-            lengths.append(np.full(len(at), width, np.int64))
-        start, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths))
-        sub = np.concatenate([[0], np.cumsum(length)])
-        body = raw[ragged(start, length)].tobytes() if len(start) else b""
-        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(sub.astype(np.int64).tobytes()), pa.py_buffer(body)])
-        found = pc.index_in(parts, value_set=m.names)
-        hit = found.is_valid().to_numpy(zero_copy_only=False)
-        start, length, piece = start[hit], length[hit], m.ids[found.drop_null().to_numpy()]
+        # all places walk down the pieces' trie together, a byte a round, until none is left on a path
+        starts, lengths, pieces, single, width = [able[:0]], [able[:0]], [able[:0]], np.zeros(len(raw), bool), 0
+        state = np.zeros(len(able), np.int32)
+        while len(able):
+            state = m.child[state, raw[able + width]]
+            on = state > 0
+            able, state, width = able[on], state[on], width + 1
+            ends_here = m.piece_at[state]
+            hit = ends_here >= 0
+            starts.append(able[hit])
+            lengths.append(np.full(len(starts[-1]), width, np.int64))
+            pieces.append(ends_here[hit].astype(np.int64))
+            on = (left[able] > width) & (state < len(m.child))
+            able, state = able[on], state[on]
+        start, length, piece = (np.concatenate(x) for x in (starts, lengths, pieces))
         # a character that is no piece by itself goes byte by byte
         nth = np.cumsum(begins) - 1
         width = np.diff(np.append(np.flatnonzero(begins), len(raw)))
@@ -140,7 +160,7 @@ class Lattices:
         self.best = np.full(nodes, -1, np.int64)
         self.beta = np.full(nodes, -np.inf)
         self.beta[self.leaf] = 0.0
-        order = np.argsort(left, kind="stable")
+        order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")  # numpy sorts short numbers faster
         bounds = np.searchsorted(left[order], np.arange(1, (left.max() if len(left) else 0) + 2))
         for a, b in zip(bounds, bounds[1:]):
             at = order[a:b]
@@ -366,9 +386,10 @@ def sample(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> Iterator[tupl
 
 def _other(lat: Lattices, unit: int, banned: list[tuple[int, ...]], key: int, j: int, turn: int) -> tuple[int, ...]:
     """A segmentation of a unit in proportion to its weight, none of the banned ones."""
-    for k in range(64):
-        e, _, _ = draw(lat, np.array([unit]), scramble(key, j, turn, k))
-        if (new := tuple(e.tolist())) not in banned:
+    e, count, _ = draw(lat, np.full(TRIES, unit), scramble(key, j, turn, np.arange(TRIES)))
+    ends = np.cumsum(count).tolist()
+    for a, b in zip([0, *ends], ends):
+        if (new := tuple(e[a:b].tolist())) not in banned:
             return new
     # the banned ones hold nearly all the mass: walk down, each time into the edges' masses without them
     path, at, leaf = [], int(lat.root[unit]), int(lat.leaf[unit])
@@ -387,7 +408,7 @@ def _other(lat: Lattices, unit: int, banned: list[tuple[int, ...]], key: int, j:
     return tuple(path)
 
 
-def batches_by_bytes(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_by_bytes(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches joined or split so that their texts (column 1) hold about `most` bytes; a longer text comes alone."""
     held, size = [], 0
     for b in batches:
