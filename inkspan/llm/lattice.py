@@ -40,8 +40,8 @@ BYTE_WEIGHT = -12.0
 SAMPLES = 2
 #: Draws of a unit's other segmentation before its edges are weighed one by one.
 TRIES = 64
-#: Bytes of text that are worked on together; their arrays take some hundred times as much.
-BATCH_BYTES = 2 << 20
+#: Bytes of text that are worked on together; their arrays take some two hundred times as much.
+BATCH_BYTES = 1 << 20
 
 
 class Model:
@@ -223,13 +223,18 @@ def _finish(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def extend(x: np.ndarray, key) -> np.ndarray:
+    """The hash of one more integer key, a number or an array."""
+    with np.errstate(over="ignore"):
+        return _finish((x.view(np.uint64) ^ np.asarray(key, np.int64).view(np.uint64)) + GOLDEN).view(np.int64)
+
+
 def scramble(*keys) -> np.ndarray:
     """A 64-bit hash of integer keys, each a number or an array."""
-    x = np.zeros(1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in keys:
-            x = _finish((x ^ np.asarray(k, np.int64).view(np.uint64)) + GOLDEN)
-    return x.view(np.int64)
+    x = np.zeros(1, np.int64)
+    for k in keys:
+        x = extend(x, k)
+    return x
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -347,26 +352,35 @@ def sample(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> Iterator[tupl
         edges, counts, logp = draw(lat, coded[fresh], scramble(scramble(keys, turn)[doc[fresh]], number[fresh]))
         ends = np.concatenate([[0], np.cumsum(counts)])
         bounds = np.searchsorted(doc[fresh], np.arange(n + 1))
+        tried = _tries(lat, coded, offsets, keys, parents, turn)
+        parts = []
         for d in alive:
             a, b = bounds[d], bounds[d + 1]
             e, c, p = edges[ends[a] : ends[b]], counts[a:b], logp[a:b]
-            j = -1
             if d in parents:
                 q, j = parents[d]
                 old = paths[d][q]
                 banned = bans[d].setdefault((q, j), [old.unit(j)])
-                new = _other(lat, int(coded[offsets[d] + j]), banned, int(keys[d]), j, turn)
+                new = _other(lat, int(coded[offsets[d] + j]), next(tried), banned, int(keys[d]), j, turn)
                 e = np.concatenate([old.edges[: old.ends[j]], np.array(new, np.int64), e])
                 c = np.concatenate([old.counts[:j], [len(new)], c])
                 p = np.concatenate([old.logp[:j], [lat.logp[list(new)].sum()], p])
                 banned.append(new)
-            path = Path(e, c, p)
-            before = np.cumsum(p) - p
-            with np.errstate(divide="ignore"):
-                place = before + np.log(np.maximum(-np.expm1(p), 0.0))
-            place[p > -1e-12] = -np.inf
-            g = cut_gumbel(place, np.full(len(p), tops[d][-1]), mix(keys[d], -1 - turn, np.arange(len(p))))
+            parts.append((e, c, p))
+        # of all documents at once: the sets left around each new segmentation
+        many, p = np.array([len(x[2]) for x in parts]), np.concatenate([x[2] for x in parts])
+        begin = np.cumsum(many) - many
+        before = np.concatenate([np.cumsum(x[2]) - x[2] for x in parts])
+        with np.errstate(divide="ignore"):
+            place = before + np.log(np.maximum(-np.expm1(p), 0.0))
+        place[p > -1e-12] = -np.inf
+        key = np.repeat(scramble(keys[alive], -1 - turn), many)
+        gaps = cut_gumbel(place, np.repeat([tops[d][-1] for d in alive], many), uniform(extend(key, np.arange(len(p)) - np.repeat(begin, many))))
+        for (e, c, p), d, a, b in zip(parts, alive, begin, begin + many):
+            path, g = Path(e, c, p), gaps[a:b]
             if d in parents:
+                q, j = parents[d]
+                old, banned = paths[d][q], bans[d][q, j]
                 g[: j + 1] = -np.inf  # those sets belong to the older path
                 rest = other_masses(lat, int(coded[offsets[d] + j]), banned)
                 left[d][q][j] = cut_gumbel(np.array([old.logp[:j].sum() + rest]), np.array([tops[d][-1]]), mix(keys[d], j, -1000 - turn))[0]
@@ -384,12 +398,23 @@ def sample(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> Iterator[tupl
             yield d, turn, ids, float(path.logp.sum()), score, bool(np.array_equal(back, source[cuts[d] : cuts[d + 1]]))
 
 
-def _other(lat: Lattices, unit: int, banned: list[tuple[int, ...]], key: int, j: int, turn: int) -> tuple[int, ...]:
+def _tries(lat: Lattices, coded: np.ndarray, offsets: np.ndarray, keys: np.ndarray, parents: dict, turn: int) -> Iterator[Iterator[tuple[int, ...]]]:
+    """For each document with a parent, TRIES draws of the unit that is to change."""
+    if not parents:
+        return
+    docs, at = np.array(list(parents)), np.array([j for _, j in parents.values()])
+    base = extend(np.repeat(scramble(keys[docs], at, turn), TRIES), np.tile(np.arange(TRIES), len(docs)))
+    edges, count, _ = draw(lat, np.repeat(coded[offsets[docs] + at], TRIES), base)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    for k in range(0, len(count), TRIES):
+        cuts = ends[k : k + TRIES + 1].tolist()
+        yield (tuple(edges[a:b].tolist()) for a, b in zip(cuts, cuts[1:]))
+
+
+def _other(lat: Lattices, unit: int, tried: Iterator[tuple[int, ...]], banned: list[tuple[int, ...]], key: int, j: int, turn: int) -> tuple[int, ...]:
     """A segmentation of a unit in proportion to its weight, none of the banned ones."""
-    e, count, _ = draw(lat, np.full(TRIES, unit), scramble(key, j, turn, np.arange(TRIES)))
-    ends = np.cumsum(count).tolist()
-    for a, b in zip([0, *ends], ends):
-        if (new := tuple(e[a:b].tolist())) not in banned:
+    for new in tried:
+        if new not in banned:
             return new
     # the banned ones hold nearly all the mass: walk down, each time into the edges' masses without them
     path, at, leaf = [], int(lat.root[unit]), int(lat.leaf[unit])
