@@ -62,7 +62,7 @@ def ngrams(t: Column, k: int) -> Column:
 
     def runs(x: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(x) - (k - 1)), lambda i: F.concat_ws(" ", *[F.get(x, i + (j - 1)) for j in range(k)]))
-        return F.when(F.size(x) >= k, each)  # `slice` copies the whole array each time.otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(x) >= k, each).otherwise(F.array().cast("array<string>"))  # `slice` copies the whole array each time
 
     return let(t, runs)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import align, match, prep, rewrite, state
+from inkspan.operators import align, match, prep, rewrite, state, stylometry
 from inkspan.operators.sequence import Settings, analysis_windows, chunks, winnow
 
 
@@ -91,3 +91,10 @@ def test_diff_gives_back_both_texts():
     parts = align.diff_parts(a, b)
     assert "".join(p["value"] for p in parts if p["kind"] != "added") == a and "".join(p["value"] for p in parts if p["kind"] != "removed") == b
     assert align.align_paragraphs(["a b c", "x y z"], ["x y q"]) == ["", "x y q"]
+
+
+def test_short_texts_have_no_ngrams_and_no_repetition(spark):
+    d = spark.createDataFrame([(1, ""), (2, None), (3, "lone"), (4, "alpha beta gamma"), (5, "the and with that from this have are was were alpha beta gamma")], "k int, text string")
+    assert [r[0] for r in d.select(T.ngrams(T.tokens(F.col("text")), 4)).collect()] == [[]] * 5
+    got = {r.k: (r.lexical, r.probability) for r in stylometry.single_pass(d).collect()}
+    assert got == {1: (100, 0), 2: (100, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}  # no tokens have a ratio of 0 in the reference, too
