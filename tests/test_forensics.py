@@ -98,3 +98,24 @@ def test_short_texts_have_no_ngrams_and_no_repetition(spark):
     assert [r[0] for r in d.select(T.ngrams(T.tokens(F.col("text")), 4)).collect()] == [[]] * 5
     got = {r.k: (r.lexical, r.probability) for r in stylometry.single_pass(d).collect()}
     assert got == {1: (100, 0), 2: (100, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}  # no tokens have a ratio of 0 in the reference, too
+
+
+@pytest.mark.parametrize("how", ["quick", "balanced", "deep"])
+def test_reuse_finds_what_scoring_all_pairs_finds(spark, how):
+    import random
+
+    r, stop = random.Random(3), T.STOP_WORDS[-12:]
+    word = lambda share=0.25: r.choice(stop) if r.random() < share else f"w{r.randrange(4000)}x"
+    items = [[word(0.25 * (j % 6 != 3)) for _ in range(48)] for j in range(24)]
+    reworded = lambda t, k: [f"new{r.randrange(4000)}" if i % k == k - 1 else x for i, x in enumerate(t)]
+    docs = [(j, " ".join(reworded(t, 2 + j % 6))) for j, t in enumerate(items)] + [(90, " ".join(word() for _ in range(48))), (91, ""), (92, "the and that"), (93, " ".join(items[0][5:16]))]
+    docs = spark.createDataFrame(docs, "doc_id int, text string")
+    texts = [("t", f"u{j}", "s", " ".join(t)) for j, t in enumerate(items)] + [("t", "short", " ".join(items[5]), "too short"), ("t", "none", " ".join(items[3]), None)]
+    corpus = spark.createDataFrame(texts, "title string, url string, snippet string, source_text string")
+    s = Settings(sensitivity=how)
+    pairs = chunks(docs, s).crossJoin(corpus).withColumn("cand_url", F.col("url"))
+    every = match.score_pairs(pairs, ["doc_id", "chunk_index", "cand_url"]).drop("cand_url")
+    rows = lambda d: {(x.doc_id, x.url, x.score, x.longest_run) for x in d.collect()}
+    want = rows(match.ranked_matches(match.unique_matches(every, "url"), s))
+    assert rows(match.reuse(docs, corpus, s)) == want
+    assert how == "quick" or any(run < 5 for _, _, _, run in want) and all((j, f"u{j}") in {x[:2] for x in want} for j in range(24) if j % 6 == 3)
