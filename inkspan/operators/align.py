@@ -2,22 +2,77 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIFF_CHARS, CELLS, GAP = 50_000, 4_000_000, 0.65
+#: LONG: characters from which a pair is parted before it is compared.
+LONG, CELLS, GAP = 50_000, 4_000_000, 0.65
+
+
+def _opcodes(x: list[str], y: list[str]) -> list[tuple]:
+    """Opcodes as of SequenceMatcher for long lists: tokens that both sides have once part them, until what lies between is small."""
+    same, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, j, k, m = todo.pop()
+        while i < j and k < m and x[i] == y[k]:
+            same.append((i, k))
+            i, k = i + 1, k + 1
+        while i < j and k < m and x[j - 1] == y[m - 1]:
+            j, m = j - 1, m - 1
+            same.append((j, m))
+        if i == j or k == m:
+            continue
+        chain = _anchors(x, y, i, j, k, m) if (j - i) * (m - k) > CELLS else []
+        if chain:
+            for p, q in [*chain, (j, m)]:
+                todo.append((i, p, k, q))
+                i, k = p + 1, q + 1
+            same += chain
+        else:  # small, or nothing parts it
+            same += [(i + p + t, k + q + t) for p, q, n in difflib.SequenceMatcher(None, x[i:j], y[k:m], autojunk=False).get_matching_blocks() for t in range(n)]
+    out, i, k = [], 0, 0
+    for p, q in [*sorted(same), (len(x), len(y))]:
+        if i < p or k < q:
+            out.append(("other", i, p, k, q))
+        if p < len(x):
+            if out and out[-1][0] == "equal":
+                out[-1] = ("equal", out[-1][1], p + 1, out[-1][3], q + 1)
+            else:
+                out.append(("equal", p, p + 1, q, q + 1))
+        i, k = p + 1, q + 1
+    return out
+
+
+def _anchors(x: list[str], y: list[str], i: int, j: int, k: int, m: int) -> list[tuple[int, int]]:
+    """The longest rising chain of places of tokens that occur once on either side."""
+    once = [{t for t, n in Counter(part).items() if n == 1} for part in (x[i:j], y[k:m])]
+    place = {t: q for q, t in enumerate(y[k:m], k) if t in once[0] and t in once[1]}
+    tops, last, chain = [], [], []
+    for p in range(i, j):
+        if (q := place.get(x[p])) is not None:
+            at = bisect.bisect_left(tops, q)
+            node = (p, q, last[at - 1] if at else None)
+            tops[at : at + 1], last[at : at + 1] = [q], [node]
+    node = last[-1] if last else None
+    while node:
+        chain.append(node[:2])
+        node = node[2]
+    return chain[::-1]
 
 
 def diff_parts(a: str, b: str) -> list[dict]:
     """Word-level parts, each kept, added or removed; they give back both texts."""
-    x, y = (re.findall(r"\s+|\w+|[^\w\s]", t[:DIFF_CHARS]) for t in (a or "", b or ""))
+    a, b = a or "", b or ""
+    x, y = (re.findall(r"\s+|\w+|[^\w\s]", t) for t in (a, b))
     out = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+    for op, i, j, k, m in _opcodes(x, y) if max(len(a), len(b)) > LONG else difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if op == "equal":
             out.append({"value": "".join(x[i:j]), "kind": "same"})
             continue

@@ -15,7 +15,7 @@ from inkspan.functions.text import extracted_text
 from inkspan.operators.align import align_paragraphs
 
 PLAIN = ("txt", "md", "markdown", "csv", "json", "rtf")
-LARGEST, PAGE_CHARS, PAGE_LEAST = 50 << 20, 120_000, 160
+LARGEST, PAGE_LEAST = 50 << 20, 160
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DROPPED = {"script", "style", "noscript", "svg", "iframe", "nav", "header", "footer", "form"}
 BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"}
@@ -72,8 +72,9 @@ class _Reader(HTMLParser):
 
 def html_text(html: str | None) -> str:
     r = _Reader()
-    r.feed((html or "")[:PAGE_CHARS * 8])
-    return " ".join("".join(r.out).split())[:PAGE_CHARS]
+    r.feed(html or "")
+    r.close()  # else text after the last tag that looks like the start of a mark stays in the buffer
+    return " ".join("".join(r.out).split())
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import text as T
 from inkspan.operators import align, match, prep, rewrite, state, stylometry
 from inkspan.operators.sequence import Settings, analysis_windows, chunks, winnow
+from inkspan.sources.files import html_text
 
 
 def fnv(s):
@@ -119,3 +120,18 @@ def test_reuse_finds_what_scoring_all_pairs_finds(spark, how):
     want = rows(match.ranked_matches(match.unique_matches(every, "url"), s))
     assert rows(match.reuse(docs, corpus, s)) == want
     assert how == "quick" or any(run < 5 for _, _, _, run in want) and all((j, f"u{j}") in {x[:2] for x in want} for j in range(24) if j % 6 == 3)
+
+
+def test_long_diff_gives_back_both_texts():
+    a = " ".join(f"w{k % 900} of the" if k % 7 else f"rare{k}" for k in range(20_000))
+    b = a.replace("rare7 ", "other ").replace("rare19999", "changed") + " end"
+    b = b[:90_000] + b[90_400:]
+    parts = align.diff_parts(a, b)
+    assert "".join(p["value"] for p in parts if p["kind"] != "added") == a and "".join(p["value"] for p in parts if p["kind"] != "removed") == b
+    assert len(parts) < 40 and sum(len(p["value"]) for p in parts if p["kind"] == "same") > len(a) - 1000
+    assert align.diff_parts("", "x " * 40_000) == [{"value": "x " * 40_000, "kind": "added"}]
+
+
+def test_long_pages_are_read_whole():
+    page = "<script>" + "x = 1;" * 200_000 + "</script><p>" + "word " * 40_000 + "</p><p>the end & more"
+    assert html_text(page) == "word " * 40_000 + "the end & more"
