@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import trim_ws, url_key
 
+#: Query vectors of one broadcast, on average.
+BLOCK = 1000
+
 
 def dedupe_by_url(candidates: DataFrame, *order: str) -> DataFrame:
     w = W.partitionBy(url_key(F.col("url"))).orderBy(*order)
@@ -42,12 +47,17 @@ def diagnostics_notes(merged: DataFrame) -> DataFrame:
 
 
 def rerank(vectors: DataFrame, query: DataFrame, most: int) -> DataFrame:
-    """Vectors by cosine similarity to each query vector of a small query set, the best first."""
+    """Vectors by cosine similarity to each query vector, the best first; queries are broadcast in blocks."""
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    both = vectors.crossJoin(F.broadcast(query.limit(100))).withColumn("cosine", dot / (norm("embedding") * norm("q")))
     w = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "vec_id", "rank", "cosine")
+    n = max(1, -(-query.count() // BLOCK))
+    parts = []
+    for k in range(n):  # a block holds all rows of its query ids
+        block = query.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) if n > 1 else query
+        both = vectors.crossJoin(F.broadcast(block)).withColumn("cosine", dot / (norm("embedding") * norm("q")))
+        parts.append(both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "vec_id", "rank", "cosine"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def text_of_index(index: DataFrame) -> DataFrame:

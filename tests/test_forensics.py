@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import align, match, prep, rewrite, state, stylometry
+from inkspan.operators import align, corpus, match, prep, rewrite, state, stylometry
 from inkspan.operators.sequence import Settings, analysis_windows, chunks, winnow
 from inkspan.sources.files import html_text
 
@@ -135,3 +135,12 @@ def test_long_diff_gives_back_both_texts():
 def test_long_pages_are_read_whole():
     page = "<script>" + "x = 1;" * 200_000 + "</script><p>" + "word " * 40_000 + "</p><p>the end & more"
     assert html_text(page) == "word " * 40_000 + "the end & more"
+
+
+@pytest.mark.parametrize("block", [1000, 60])
+def test_rerank_answers_every_query(spark, monkeypatch, block):
+    monkeypatch.setattr(corpus, "BLOCK", block, raising=False)
+    v = spark.createDataFrame([(k, [float(k % 17 + 1), float(k % 13), float(k)]) for k in range(150)], "vec_id long, embedding array<double>")
+    got = corpus.rerank(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 2).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(k, i) for k in range(150) for i in (1, 2)]
+    assert all(r.cosine > 1 - 1e-9 for r in got if r["rank"] == 1)
