@@ -147,3 +147,23 @@ def test_email_scan_is_the_pattern():
     for _ in range(3000):
         t = "".join(r.choice("a.@-_ é") for _ in range(14))
         assert pii.emails(t) == [m.span() for m in p.finditer(t)], t
+
+
+def test_long_lettered_and_overlapping_secrets_are_judged():
+    import random
+    import string
+
+    r, (trees, limits) = random.Random(5), pii.trained()
+    made = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    long, letters = made(string.ascii_letters + string.digits, 342), made(string.ascii_letters, 40)
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for part in pii.find_spans(t, trees, limits) for k, a, b in part]
+    assert found(f'token = "{long}" end') == [("secret", long)]
+    assert found(f"the password: {letters} end") == [("secret", letters)]
+    assert found("an internationalizationlongword and characteristically-well-known-words-here") == []
+    while True:  # an IBAN whose digits are a card number, too
+        body = made(string.digits, 14)
+        check = 98 - int(body + "152700") % 97
+        if pii.luhn(f"{check:02d}{body}"):
+            break
+    iban = f"FR{check:02d}{body}"
+    assert found(f"account: {iban} end") == [("card", iban[2:]), ("iban", iban)]
