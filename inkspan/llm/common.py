@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows of one Arrow batch. Texts may hold 100 kB each, so a batch stays near tens of MB at worst.
-ARROW_ROWS = 512
+#: Bytes of text that a Python worker works on at once. What Spark sends it is bounded by spark.sql.execution.arrow.maxBytesPerBatch.
+BATCH_BYTES = 4 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -54,13 +57,30 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     return session(df).read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """Lower Spark's rows per Arrow batch to ARROW_ROWS, so that long texts can't fill a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(session(df).conf.get(key, "10000"))
-    if not 0 < now <= ARROW_ROWS:
-        session(df).conf.set(key, str(ARROW_ROWS))
-    return df
+def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined or split so that their texts (`column`) hold about `most` bytes; a longer text comes alone."""
+    held, size = [], 0
+
+    def whole() -> pa.RecordBatch:
+        if len(held) == 1 and not held[0].column(column).offset:
+            return held[0]
+        # copied, also if it is one slice: kernels then see arrays that begin at their buffers' start
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in held]) if len(held) > 1 else held[0].column(k).take(pa.array(range(held[0].num_rows))) for k in range(held[0].num_columns)], schema=held[0].schema)
+
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        a = 0
+        for k, n in enumerate(lengths.tolist()):
+            if size and size + n > most:
+                if a < k:
+                    held.append(b.slice(a, k - a))
+                yield whole()
+                held, size, a = [], 0, k
+            size += n
+        if a < b.num_rows:
+            held.append(b.slice(a))
+    if held:
+        yield whole()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

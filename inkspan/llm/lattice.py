@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import bounded_batches
+from inkspan.llm.common import batches_by_bytes
 from inkspan.llm.words import ragged
 
 MARK = "▁"
@@ -433,26 +433,9 @@ def _other(lat: Lattices, unit: int, tried: Iterator[tuple[int, ...]], banned: l
     return tuple(path)
 
 
-def batches_by_bytes(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches joined or split so that their texts (column 1) hold about `most` bytes; a longer text comes alone."""
-    held, size = [], 0
-    for b in batches:
-        lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-        a = 0
-        for k, n in enumerate(lengths.tolist()):
-            if size and size + n > most:
-                yield pa.Table.from_batches([*held, b.slice(a, k - a)]).combine_chunks().to_batches()[0]
-                held, size, a = [], 0, k
-            size += n
-        if a < b.num_rows:
-            held.append(b.slice(a))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _batches(batches: Iterator[pa.RecordBatch], path: str, k: int, digest: bool) -> Iterator[pa.RecordBatch]:
     m = model(path)
-    for b in batches_by_bytes(batches):
+    for b in batches_by_bytes(batches, most=BATCH_BYTES):
         got = list(sample(m, b.column(1), b.column(2).to_numpy(), k))
         doc = pa.array([g[0] for g in got], pa.int64())
         cols = {
@@ -475,7 +458,7 @@ def _batches(batches: Iterator[pa.RecordBatch], path: str, k: int, digest: bool)
 def encode_samples(docs: DataFrame, path: str, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Up to k rows per row of `docs`: doc_id, sample, n_pieces, log_prob, log_inclusion, round_trip, and the ids or their crc32."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = bounded_batches(rows.withColumn("key", F.xxhash64("doc_id")))
+    rows = rows.withColumn("key", F.xxhash64("doc_id"))
     schema = "doc_id long, sample int, n_pieces long, log_prob double, log_inclusion double, round_trip boolean, "
     return rows.mapInArrow(lambda it: _batches(it, path, k, digest), schema + ("ids_crc32 long" if digest else "ids array<int>"))
 

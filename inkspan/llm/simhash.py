@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import bounded_batches, cut
+from inkspan.llm.common import cut
 from inkspan.llm.components import connected_components
 
 RADIUS, SHINGLE, TILE = 3, 3, 1024
@@ -59,7 +59,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterat
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(doc_id, print): the 64-bit fingerprint as a signed long."""
-    rows = bounded_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _fingerprint_batches(it, size), "doc_id long, print long")
 
 
@@ -126,7 +126,7 @@ def linked_prints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -
         .where("step <> 0 OR ta <= tb")
         .select("pa", "ia", "pb", "ib", F.expr("step = 0 AND ta = tb").alias("same"))
     )
-    return bounded_batches(pairs).mapInArrow(lambda it: _link(it, radius), "u long, v long")
+    return pairs.mapInArrow(lambda it: _link(it, radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import bounded_batches
+from inkspan.llm.common import batches_by_bytes
 from inkspan.llm.words import RowCache, pieces, plain_words
 
 END = 256
@@ -144,7 +144,7 @@ def counter(path: str) -> Counter:
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = counter(path)
-    for b in batches:
+    for b in batches_by_bytes(batches):
         n = c.totals(b.column(1))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n[:, 0]), pa.array(n[:, 1])], ["doc_id", "n_words", "n_pieces"])
 
@@ -152,4 +152,4 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 def count_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_pieces."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return bounded_batches(rows).mapInArrow(lambda it: _count(it, vocabulary), "doc_id long, n_words long, n_pieces long")
+    return rows.mapInArrow(lambda it: _count(it, vocabulary), "doc_id long, n_words long, n_pieces long")

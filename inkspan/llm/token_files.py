@@ -27,11 +27,16 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from inkspan.llm.common import bounded_batches, cut, scratch, session
+from inkspan.llm.common import batches_by_bytes, cut, scratch, session
 from inkspan.llm.words import encoder
 
 MAGIC, HEAD, TAIL, BLOCK = b"TPAK", struct.Struct("<4sHH"), struct.Struct("<QQQQ4s"), 4096
+#: Files of one group of the manifest; 100,000 files are 391 groups.
+GROUP = 256
+#: Bytes of text that are encoded at once: the more, the fewer times a common word is looked up.
+WRITE_BYTES = 8 << 20
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -131,7 +136,7 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, tokenizer: str, end_id:
     where, root = fs.FileSystem.from_uri(out)
     part = task.partitionId()
     name, own, writer, sink = f"{root}/part-{part:06d}.tpak", f"{root}/.part-{part:06d}-{task.taskAttemptId()}", None, None
-    for b in batches:
+    for b in batches_by_bytes(batches, most=WRITE_BYTES):
         if writer is None:
             where.create_dir(root, recursive=True)
             sink = where.open_output_stream(own)
@@ -154,11 +159,18 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the hash parts rows of one repeated id among files; it follows the order within a file
     order = ["doc_id", F.xxhash64("text"), "text"]
-    ranged = bounded_batches(rows).repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     made = cut(ranged.mapInArrow(lambda it: _write(it, out, tokenizer, end_id), "part int, file string, docs long, ids long"), "manifest")
-    # one row for each file: sums over them are small, but stay in Spark
-    before = made.alias("a").join(made.alias("b"), F.expr("b.part < a.part"), "left")
-    return before.groupBy("a.part", "a.file", "a.docs", "a.ids").agg(F.coalesce(F.sum("b.ids"), F.lit(0)).alias("start"))
+    return ids_before(made)
+
+
+def ids_before(manifest: DataFrame, group: int = GROUP) -> DataFrame:
+    """manifest(part, ids, ...) with start, the ids of all parts before: sums of groups of parts first, then within each group."""
+    rows = manifest.withColumn("group", F.floor(F.col("part") / group))
+    sums = rows.groupBy("group").agg(F.sum("ids").alias("ids"))
+    earlier = sums.alias("a").join(sums.alias("b"), F.expr("b.group < a.group"), "left").groupBy(F.col("a.group").alias("group")).agg(F.coalesce(F.sum("b.ids"), F.lit(0)).alias("before"))
+    within = F.sum("ids").over(W.partitionBy("group").orderBy("part")) - F.col("ids")
+    return rows.withColumn("within", within).join(earlier, "group").withColumn("start", F.col("before") + F.col("within")).drop("group", "before", "within")
 
 
 def _read(batches: Iterator[pa.RecordBatch], out: str) -> Iterator[pa.RecordBatch]:

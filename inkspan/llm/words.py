@@ -1,11 +1,10 @@
-"""Texts as pieces between ASCII white space, counted once per Arrow batch, and bounded caches of what each encodes to.
+"""Texts as words or pieces, and bounded caches of what each encodes to.
 
-White space never joins two pieces in any tokenizer here, so a text's ids are those of its pieces in a row. Arrow splits
-a batch and numbers its distinct pieces; Python sees each distinct piece of a batch once, and mostly finds it cached.
-
-The lower-casing BPE tokenizer normalises (NFC, white space, lower case) and takes contractions, runs of letters, single
+White space never joins two pieces in any tokenizer here, so a text's ids are those of its pieces in a row. The
+lower-casing BPE tokenizer normalises (NFC, white space, lower case) and takes contractions, runs of letters, single
 numbers and runs of other marks as words encoded one by one. Below U+0250 the same words are found here with explicit
-character sets; any other piece is left to the library whole, and so is a text with the beginning of a special token.
+character sets, and the library encodes each new word once; any other piece is left to the library whole, and so is a
+text with the beginning of a special token.
 """
 
 from __future__ import annotations
@@ -46,12 +45,77 @@ def plain_words(text: str) -> list[str] | None:
     return word_pattern().findall(text.lower())
 
 
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Lead bytes from here on, U+0240 and beyond, are not split here.
+FOREIGN = 0xC9
+
+
+def _class(c: int) -> int:
+    if chr(c) in "\t\n\x0b\x0c\r \x85\xa0":
+        return SPACE
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Classes of one-byte characters (other bytes: OTHER), and of two-byte ones below U+0240."""
+    one = np.full(256, OTHER, np.int8)
+    one[:128] = [_class(c) for c in range(128)]
+    return one, np.array([_class(c) for c in range(0x80, 0x240)], np.int8)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word number of each word in the batch, offsets of the texts, distinct words in ASCII lower case); null texts are empty.
+
+    Words are found in the bytes of all texts at once: a word begins where the class of characters changes, and at every
+    number; a contraction that begins a word is one by itself. A piece with a character that isn't split here stays whole.
+    """
+    texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    joined = pc.binary_join_element_wise(texts, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))  # each text ends in a space
+    _, where, data = joined.buffers()
+    where = np.frombuffer(where, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    data = np.frombuffer(data, np.uint8)[where[0] : where[-1]] if len(joined) else np.zeros(0, np.uint8)
+    where = where - where[0]
+    one, two = _classes()
+    kind, lead = one[data], (data & 0xC0) != 0x80
+    at = np.flatnonzero((data >= 0xC2) & (data < FOREIGN))
+    kind[at] = kind[at + 1] = two[(data[at].astype(np.int64) - 0xC2) * 64 + (data[at + 1] & 0x3F)]
+    begin = np.ones(len(data), bool)
+    begin[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == NUMBER) & lead[1:])
+    at = np.flatnonzero((data == ord("'")) & begin)
+    if len(at):
+        x, y = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+        short = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        long = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | ((x == ord("l")) & (y == ord("l")))
+        begin[at[short | long] + 1] = False
+        begin[at[short] + 2] = True
+        begin[at[long & ~short] + 3] = True
+    kept = kind != SPACE
+    foreign = data >= FOREIGN
+    foreign[:-1] |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)  # İ, whose lower case has two characters
+    if foreign.any():
+        first = kept.copy()
+        first[1:] &= ~kept[:-1]
+        piece = np.cumsum(first)
+        whole = np.zeros(int(piece[-1]) + 1, bool)
+        whole[piece[foreign]] = True
+        begin &= first | ~whole[piece]
+    begin &= kept
+    count = np.concatenate([[0], np.cumsum(begin)])
+    edges = np.append(np.flatnonzero(begin[kept]), int(kept.sum())).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data[kept])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), count[where], coded.dictionary.to_pylist()
+
+
 def pieces(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(piece number of each piece in the batch, offsets of the texts, distinct pieces); null texts are empty."""
     texts = pc.fill_null(texts, "")
+    if lower:  # before the cast: a slice that was cast comes out of ascii_lower with its letters shifted
+        texts = pc.ascii_lower(texts)
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0], coded.dictionary.to_pylist()
@@ -116,40 +180,33 @@ class WordEncoder:
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words = RowCache(self._bpe, "<u4", most)
-        self.parts = RowCache(self._piece, "<u4", most)
+        self.words = RowCache(self._learn, "<u4", most)
 
-    def _bpe(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "surrogatepass") for w in names]
+        own = [k for k, t in enumerate(texts) if not t.isascii() and _beyond().search(t)]  # only the library can split these
+        foreign = dict.fromkeys(own)
+        words = [t.lower() for k, t in enumerate(texts) if k not in foreign] if own else [t if t.isascii() else t.lower() for t in texts]
         lines = [" ".join(words[j : j + 500]) for j in range(0, len(words), 500)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in self.bare.encode_batch_fast(lines, add_special_tokens=False))])
         lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         assert len(lengths) == len(words), "each word ends in one token with an end mark"
-        return ids, lengths
-
-    def _piece(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [plain_words(p) for p in parts]
-        own = [None if w is not None else np.array(self.whole.encode(p, add_special_tokens=False).ids, "<u4") for p, w in zip(parts, split)]
-        flat = [x for w in split if w for x in w]
-        names = list(dict.fromkeys(flat))
-        place = dict(zip(names, self.words.rows_of(names).tolist()))
-        ids, lengths = self.words.expand(np.array([place[x] for x in flat], np.int64))
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        counts = np.concatenate([[0], np.cumsum([len(w or ()) for w in split])])
-        if not any(o is not None for o in own):
-            return ids, np.diff(ends[counts])
-        rows = [ids[ends[a] : ends[b]] if o is None else o for a, b, o in zip(counts, counts[1:], own)]
+        if not own:
+            return ids, lengths
+        plain = iter(np.split(ids, np.cumsum(lengths)[:-1]) if words else ())
+        rows = [np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if k in foreign else next(plain) for k, t in enumerate(texts)]
         return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of the texts in them)."""
         special = np.flatnonzero(pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False))
-        coded, offsets, names = pieces(texts, lower=True)
-        ids, lengths = self.parts.expand(self.parts.rows_of(names)[coded])
+        coded, offsets, names = split_words(texts)
+        ids, lengths = self.words.expand(self.words.rows_of(names)[coded])
         ends = np.concatenate([[0], np.cumsum(lengths)])[offsets]
         if not len(special):
             return ids, ends
         rows = [ids[a:b] for a, b in zip(ends, ends[1:])]
-        for k in special:
+        for k in special:  # perhaps a special token, which also joins what white space parts
             rows[k] = np.array(self.whole.encode(texts[int(k)].as_py(), add_special_tokens=False).ids, "<u4")
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
