@@ -1,7 +1,11 @@
 """Histogram gradient-boosted trees for two classes, trained in numpy and flattened into arrays for scoring.
 
-A tree is complete to `depth`: node i has the children 2i + 1 and 2i + 2, so a batch of rows walks all trees of the
-model by `depth` rounds of array indexing. A node that isn't split sends all rows left.
+A tree is complete to `depth`: node i has the children 2i + 1 and 2i + 2. The trees of a model are stacked into arrays
+of trees by nodes, so a batch of rows walks all trees at once by `depth` rounds of array indexing. A node that isn't
+split sends all rows left.
+
+Defined results: no rows give a model that says one half; rows of one class give that class's smoothed share; repeated
+rows count as often as they occur; values are finite numbers.
 """
 
 from __future__ import annotations
@@ -9,18 +13,27 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Rows that walk the trees together.
+ROWS = 4096
+
+
 class Model:
     def __init__(self, feature, threshold, value, prior: float, depth: int):
-        self.feature, self.threshold, self.value, self.prior, self.depth = feature, threshold, value, prior, depth
+        inner = 2**depth - 1
+        self.prior, self.depth = prior, depth
+        self.feature = np.array(feature, np.int64).reshape(-1, inner)
+        self.threshold = np.array(threshold, float).reshape(-1, inner)
+        self.value = np.array(value, float).reshape(-1, inner + 1)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
+        tree, inner = np.arange(len(self.feature)), self.feature.shape[1]
         total = np.full(len(x), self.prior)
-        rows = np.arange(len(x))
-        for f, t, v in zip(self.feature, self.threshold, self.value):
-            at = np.zeros(len(x), np.int64)
+        for lo in range(0, len(x), ROWS):
+            part = x[lo : lo + ROWS]
+            rows, at = np.arange(len(part))[:, None], np.zeros((len(part), len(tree)), np.int64)
             for _ in range(self.depth):
-                at = 2 * at + 1 + (x[rows, f[at]] > t[at])
-            total += v[at - len(f)]
+                at = 2 * at + 1 + (part[rows, self.feature[tree, at]] > self.threshold[tree, at])
+            total[lo : lo + ROWS] += self.value[tree, at - inner].sum(axis=1)
         return total
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -28,13 +41,13 @@ class Model:
 
 
 def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, ridge: float = 2.0, least: int = 8) -> Model:
-    """x: rows by features, y: 0 or 1. No rows give a model that says one half; one class gives that class's smoothed share."""
+    """x: rows by features, y: 0 or 1."""
     n, m = x.shape
     prior = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     inner = 2**depth - 1
-    out = Model([], [], [], prior, depth)
+    features, thresholds, values = [], [], []
     if n == 0 or y.min() == y.max():
-        return out
+        return Model(features, thresholds, values, prior, depth)
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(m)]
     code = np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)], axis=1)
     width = max(len(e) for e in edges) + 1
@@ -62,7 +75,7 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: f
         leaf = at - inner
         value = rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + ridge)
         score += value[leaf]
-        out.feature.append(feature)
-        out.threshold.append(threshold)
-        out.value.append(value)
-    return out
+        features.append(feature)
+        thresholds.append(threshold)
+        values.append(value)
+    return Model(features, thresholds, values, prior, depth)

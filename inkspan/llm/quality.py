@@ -5,7 +5,8 @@ labelled rows (`sample` rows, those of the least hashes of their ids; every row
 and score every document. Labels, language, source and id are never inputs of a score.
 
 Defined results: a null text is empty and gets the score of the empty text; labels that are null or not 0 or 1 teach
-nothing; of repeated labels of one id each counts; no labels at all give the score 0.5; rows with null ids are held out
+nothing; of repeated labels of one id the different ones count, each once, and of repeated documents of one id the one
+with the least statistics teaches; no labels at all give the score 0.5; rows with null ids are held out
 of learning and scored; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -19,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.boosting import Model, train
-from inkspan.llm.common import bounded_batches
 
 FOLDS, SAMPLE, CUTOFF = 5, 20_000, 0.3
 NAMES = (
@@ -76,10 +76,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def matrix(texts: pa.Array) -> np.ndarray:
+    """The statistics of texts, row by row."""
+    return np.array([statistics(t.as_py()) for t in texts], float).reshape(-1, len(NAMES))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [statistics(t.as_py()) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(matrix(b.column(1))), pa.list_(pa.float64()))], ["id", "y", "x"])
 
 
 def held_out(id_col: Column) -> Column:
@@ -88,36 +92,32 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Trees learnt from at most `sample` labelled rows outside the held-out fold."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & ~held_out(F.col("__id")))
-    taken = known.orderBy(F.xxhash64("__id"), "__id", "y").limit(sample)  # bounded: `sample` rows of two numbers
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), F.col("__doc") == F.col("__id"))
-    got = bounded_batches(rows.select("text", "y")).mapInArrow(_features, "y double, x array<double>").orderBy("y", "x").limit(2 * sample).toPandas()
-    x = np.array(got.x.tolist(), float).reshape(-1, len(NAMES))
-    return train(x, got.y.to_numpy(float))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & ~held_out(F.col("id"))).distinct()
+    taken = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample)  # bounded: `sample` rows of two numbers
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), F.col("__doc") == F.col("id"))
+    kind = labels.schema[id_col].dataType.simpleString()
+    got = rows.select("id", "text", "y").mapInArrow(_features, f"id {kind}, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).toPandas()
+    x, y = np.array(got.x.tolist(), float).reshape(-1, len(NAMES)), got.y.to_numpy(float)
+    order = np.lexsort([y, *x.T])  # rows come in any order; sums of floats should not
+    return train(x[order], y[order])
 
 
-def score(docs: DataFrame, trees: Model, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """One row per row of `docs`: doc_id, held_out, score, predicted."""
+def probability(text: Column, trees: Model) -> Column:
+    """The score of a text: only the text goes to Python, and only a number comes back."""
+
+    @F.arrow_udf("double")
+    def go(texts: pa.Array) -> pa.Array:
+        return pa.array(trees.probability(matrix(texts)))
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(1)], float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.probability(x))], ["doc_id", "score"])
+    return go(text.cast("string"))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = bounded_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    scored = rows.mapInArrow(go, f"doc_id {kind}, score double")
+
+def score(docs: DataFrame, trees: Model, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
+    """One row per row of `docs`: doc_id, held_out, score, predicted."""
+    scored = docs.select(F.col(id_col).alias("doc_id"), probability(F.col(text_col), trees).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, trees: Model, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """The rows of `docs` that the trees accept, with all their columns."""
-    names = docs.columns
-    at = names.index(text_col)
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(at)], float).reshape(-1, len(NAMES))
-            yield b.filter(pa.array(trees.probability(x) >= cutoff))
-
-    return bounded_batches(docs).mapInArrow(go, docs.schema)
+    return docs.where(probability(F.col(text_col), trees) >= cutoff)
