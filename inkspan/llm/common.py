@@ -83,5 +83,18 @@ def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: int = 1, most: i
         yield whole()
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, with underscores behind it until no frame has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
