@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with distinct sampled segmentations.
 
-A text is a row of units, one for each space or line break, and each unit has a lattice of the model's pieces, with
-byte pieces for characters that are not in the vocabulary. A segmentation's weight is the product of its pieces'
+A text is a row of units: a run of spaces, or a line break, with what follows up to the next. No piece of the model
+spans two units (that is checked when it is read), so each unit has a lattice of its own, of all pieces of the model,
+runs of spaces among them, and of byte pieces for characters that are not in the vocabulary. A segmentation's weight is the product of its pieces'
 weights, which follow Zipf's law in the order in which the model learned them. `k` segmentations of the whole text are
 drawn without replacement: best-first (A*) search over sets of segmentations, where a set's priority is a Gumbel
 variable with the set's exact log-mass, known from backward sums over the lattices, as its place. The root holds all
@@ -33,7 +34,6 @@ from inkspan.llm.common import batches_by_bytes
 from inkspan.llm.words import ragged
 
 MARK = "▁"
-MARK_BYTES = MARK.encode()
 #: Fixed by the model's layout: byte pieces <0x00> to <0xFF> have the ids 3 to 258.
 FIRST_BYTE = 3
 BYTE_WEIGHT = -12.0
@@ -58,10 +58,11 @@ class Model:
             if sp.is_byte(i):
                 self.bytes_of[i] = bytes([i - FIRST_BYTE])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                self.bytes_of[i] = p.encode()
-                if MARK not in p[1:]:
-                    names.append(p.encode())
-                    ids.append(i)
+                self.bytes_of[i] = p.replace(MARK, " ").encode()
+                if " " in self.bytes_of[i].lstrip(b" ").decode() or "\n" in p:
+                    raise ValueError(f"piece {i} spans two units: {p!r}")
+                names.append(self.bytes_of[i])
+                ids.append(i)
         self.child, self.piece_at = _trie(names, ids)
         self.weight = -np.log(np.arange(1.0, size + 1))
         self.weight[FIRST_BYTE : FIRST_BYTE + 256] = BYTE_WEIGHT
@@ -70,9 +71,12 @@ class Model:
         self.all = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     def decode(self, ids) -> str:
-        """Ids -> text: marks of pieces become spaces, byte pieces their bytes, and the leading space goes."""
-        out = b"".join(self.bytes_of[i] if FIRST_BYTE <= i < FIRST_BYTE + 256 else self.bytes_of[i].replace(MARK_BYTES, b" ") for i in ids)
-        return out.decode("utf-8", "replace").removeprefix(" ")
+        """Ids -> text: byte pieces become their bytes, and the leading space goes."""
+        return self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        raw = self.all[ragged(self.starts[ids], self.lengths[ids])].tobytes()
+        return raw.removeprefix(b" ")
 
 
 def _trie(names: list[bytes], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +103,20 @@ def model(path: str) -> Model:
 
 
 def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(unit number of each unit, offsets of the texts, distinct units). A unit begins with a mark, or a line break."""
+    """(unit number of each unit, offsets of the texts, distinct units as bytes). A text gets a space in front, as the model has it."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    names = coded.dictionary
-    marked = pc.if_else(pc.starts_with(names, "\n"), names, pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), names, pa.scalar("", pa.large_string())))
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets - offsets[0], marked
+    joined = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+    _, where, data = joined.buffers()
+    where = np.frombuffer(where, np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[where[0] : where[-1]] if len(joined) else np.zeros(0, np.uint8)
+    where = where - where[0]
+    begin = data == 0x20
+    begin[1:] &= data[:-1] != 0x20
+    begin |= data == 0x0A
+    begin[where[:-1]] = True
+    edges = np.append(np.flatnonzero(begin), len(data)).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(edges, where), coded.dictionary
 
 
 class Lattices:
@@ -126,8 +136,7 @@ class Lattices:
         self.root, self.leaf = ends[:-1] + np.arange(n), ends[1:] + np.arange(n)
         begins = (raw & 0xC0) != 0x80
         left = size[unit] - place
-        mark = (raw == MARK_BYTES[0]) & (np.append(raw[1:], 0) == MARK_BYTES[1]) & (np.append(raw[2:], [0, 0]) == MARK_BYTES[2])[: len(raw)]
-        able = np.flatnonzero(begins & ~(mark & (place > 0)))
+        able = np.flatnonzero(begins)
         # all places walk down the pieces' trie together, a byte a round, until none is left on a path
         starts, lengths, pieces, single, width = [able[:0]], [able[:0]], [able[:0]], np.zeros(len(raw), bool), 0
         state = np.zeros(len(able), np.int32)
@@ -314,7 +323,7 @@ class Path:
 
 
 def sample(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, bool]]:
-    """(text, number of the draw, ids, log_prob, log_inclusion, whether the pieces' bytes are the text's)."""
+    """(text, number of the draw, ids, log_prob, log_inclusion, whether the ids decode to the text)."""
     coded, offsets, names = units(texts)
     lat = Lattices(m, names)
     n = len(texts)
@@ -386,16 +395,14 @@ def sample(m: Model, texts: pa.Array, keys: np.ndarray, k: int) -> Iterator[tupl
                 left[d][q][j] = cut_gumbel(np.array([old.logp[:j].sum() + rest]), np.array([tops[d][-1]]), mix(keys[d], j, -1000 - turn))[0]
             paths[d].append(path)
             left[d].append(g)
-    source = lat.raw[ragged(lat.raw_start[coded], lat.raw_size[coded])]
-    cuts = np.concatenate([[0], np.cumsum(lat.raw_size[coded])])[offsets]
     for d in range(n):
+        source = (texts[d].as_py() or "").encode("utf-8", "surrogatepass")
         threshold = max(float(g.max()) for g in left[d])
         for turn, path in enumerate(paths[d]):
             ids = lat.piece[path.edges]
             gap = path.logp.sum() - threshold
             score = 0.0 if np.isneginf(threshold) else float(gap) if gap < -40 else float(np.log(-np.expm1(-np.exp(min(gap, 700.0)))))
-            back = m.all[ragged(m.starts[ids], m.lengths[ids])]
-            yield d, turn, ids, float(path.logp.sum()), score, bool(np.array_equal(back, source[cuts[d] : cuts[d + 1]]))
+            yield d, turn, ids, float(path.logp.sum()), score, m.decoded(ids) == source
 
 
 def _tries(lat: Lattices, coded: np.ndarray, offsets: np.ndarray, keys: np.ndarray, parents: dict, turn: int) -> Iterator[Iterator[tuple[int, ...]]]:
