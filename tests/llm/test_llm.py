@@ -167,3 +167,105 @@ def test_long_lettered_and_overlapping_secrets_are_judged():
             break
     iban = f"FR{check:02d}{body}"
     assert found(f"account: {iban} end") == [("card", iban[2:]), ("iban", iban)]
+
+def brute_pairs(docs, items, threshold=0.8):
+    """Every window of every item's length, by Python."""
+    import re
+    from collections import Counter
+
+    words = lambda t: [w for w in re.split(r"[^\w]+|_+", (t or "").lower()) if w]
+
+    def bag(w):
+        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)]) if w else Counter()
+
+    best = {}
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            v = words(item)
+            if not v or not w:
+                continue
+            for s in range(max(1, len(w) - len(v) + 1)):
+                a, b = bag(w[s : s + len(v)]), bag(v)
+                common = sum((a & b).values())
+                sim = common / (sum(a.values()) + sum(b.values()) - common)
+                if sim >= threshold - 1e-12:
+                    best[d, i] = max(best.get((d, i), 0), round(sim, 9))
+    return best
+
+
+def test_windows_against_every_start(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(400)}"
+    a, b = [word() for _ in range(40)], [word() for _ in range(40)]
+    items = [(1, " ".join(a + b)), (2, " ".join(word() for _ in range(60))), (3, "three short words"), (4, " ".join(a + b)), (5, ""), (6, " ".join(["again"] * 30)), (7, None)]
+    noise = lambda n: [word() for _ in range(n)]
+    two = items[1][1].split()
+    docs = [
+        (1, noise(30) + b + a + noise(20)), (2, a + b), (3, noise(9) + two[:30] + ["new"] + two[30:] + noise(9)), (4, two[:52]), (5, noise(3) + ["three", "Short", "words"] + noise(2)),
+        (6, ["again"] * 200), (7, []), (8, noise(300)), (9, noise(5) + two + noise(40) + two[:20] + ["x"] + two[20:]), (10, two[6:] + two[:6]), (11, ["three", "short"]),
+    ]
+    for k in range(12, 40):  # words changed, dropped, added
+        t = list(r.choice([a + b, two]))
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(t))
+            t[at : at + r.randrange(2)] = [word()] * r.randrange(3)
+        docs.append((k, noise(r.randrange(30)) + t + noise(r.randrange(30))))
+    docs = [(k, " ".join(t)) for k, t in docs]
+    for block in (decontaminate.SLIGHT, 7):
+        got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=block).collect()
+        assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in got} == brute_pairs(docs, items)
+    assert {(1, 1), (1, 4), (3, 2), (6, 6), (5, 3), (10, 2)} <= {(x.doc_id, x.item_id) for x in got}
+
+
+def test_passages_of_odd_rows(spark):
+    rows = [(None, "one two three four five six", 1), (None, "one two three four five six", 1), (2, None, 2), (3, "One, two; three FOUR five six", 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    items = spark.createDataFrame([(9, "one two three four five six")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.contaminated(d, items).collect()) == [(0, 9), (3, 9)]
+    left = decontaminate.drop_contaminated(d, items)
+    assert left.columns == d.columns and [r.doc_id for r in left.collect()] == [2]
+    assert decontaminate.contaminated(d, items.limit(0)).count() == 0 == decontaminate.contaminated(d.limit(0), items).count()
+    assert decontaminate.drop_contaminated(d, items.limit(0)).count() == 4
+
+
+def segmentations(m, raw):
+    """All ways to write bytes as pieces, each as ids; a character that is no piece goes byte by byte."""
+    by_bytes = {m.bytes_of[i]: i for i in range(len(m.bytes_of)) if m.bytes_of[i] and not lattice.FIRST_BYTE <= i < lattice.FIRST_BYTE + 256}
+    out, todo = [], [(0, ())]
+    while todo:
+        at, ids = todo.pop()
+        if at == len(raw):
+            out.append(ids)
+            continue
+        for k in range(at + 1, len(raw) + 1):
+            if raw[at:k] in by_bytes and raw[at] & 0xC0 != 0x80:
+                todo.append((k, (*ids, by_bytes[raw[at:k]])))
+        start = next(k for k in range(at, -1, -1) if raw[k] & 0xC0 != 0x80)
+        end = next((k for k in range(start + 1, len(raw)) if raw[k] & 0xC0 != 0x80), len(raw))
+        if raw[start:end] not in by_bytes:
+            todo.append((at + 1, (*ids, lattice.FIRST_BYTE + raw[at])))
+    return out
+
+
+def test_samples_against_all_segmentations():
+    m = lattice.Model(tokenizer_path("piece_bpe_32k.model"))
+    assert sum(b.strip(b" ") == b"" and len(b) > 1 for b in m.bytes_of) > 10  # runs of spaces are pieces of the lattice
+    for text in ("to be", "a    b", "日 x\n\n  y", "  "):
+        every = {s: sum(m.weight[list(s)]) for s in segmentations(m, b" " + text.encode())}
+        total = np.logaddexp.reduce(list(every.values()))
+        keys = np.arange(4000)
+        first, scores = {}, {}
+        for d, turn, ids, p, inclusion, ok in lattice.sample(m, pa.array([text] * len(keys)), keys, 2):
+            s = tuple(ids.tolist())
+            assert ok and abs(p - (every[s] - total)) < 1e-9
+            first[s] = first.get(s, 0) + (turn == 0)
+            scores[s] = scores.get(s, 0) + np.exp(-inclusion) if inclusion else scores.get(s, 0) + 1
+        for s, w in every.items():
+            p = np.exp(w - total)
+            if p * len(keys) > 40:  # the first draw has the model's distribution; a segmentation's mean of 1 / inclusion is 1
+                assert abs(first.get(s, 0) - p * len(keys)) < 5 * np.sqrt(p * len(keys))
+                if len(every) > 2 and p > 0.05:
+                    assert abs(scores[s] / len(keys) - 1) < 0.25
