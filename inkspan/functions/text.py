@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the ECMAScript `\\s`, in a form that Java and RE2 read alike.
 WS = r"[\t\n\x0B\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Runs of white space that aren't one space: the first character tells most positions apart.
+RUNS = f"{WS.replace(' ', '')}{WS}*| {WS}+"
 #: The stop words.
 STOP_WORDS = "але або для про при що це цей ця цих так які який яка було були бути the and that with from this have are was were".split()
 FNV_START, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
@@ -17,28 +19,40 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: The word boundary of ASCII words, and its class, as ECMAScript has them; Java's own follows Unicode.
+WORD = "[0-9A-Za-z_]"
+EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+
+
+def java(pattern: str) -> str:
+    r"""A pattern with `\b` and `\s` in the ECMAScript sense, for Java."""
+    return pattern.replace(r"[\s\S]", "(?s:.)").replace(r"\b", EDGE).replace(r"\s", WS)
+
+
 def trim_ws(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def normalize_ws(c: Column) -> Column:
-    """Runs of white space become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " "))
+    """Runs of white space become one space; the ends are trimmed. Single spaces, by far the most, are left alone."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), RUNS, " "))
 
 
-def words(c: Column) -> Column:
-    """The space-separated words of a text, none for a blank one."""
-    return let(normalize_ws(c), lambda n: F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " ")))
+def words(c: Column, normal: bool = False) -> Column:
+    """The space-separated words of a text, none for a blank one. `normal`: its white space is normal already."""
+    split = lambda n: F.when(n == "", F.array().cast("array<string>")).otherwise(F.split(n, " "))
+    return split(c) if normal else let(normalize_ws(c), split)
 
 
 def count_words(c: Column) -> Column:
-    return F.size(words(c))
+    """Runs of other characters than white space."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"[^{WS[1:-1]}]+"))
 
 
 def tokens(c: Column, keep_stop: bool = False) -> Column:
     """Lower-case tokens of letters, digits, apostrophes and hyphens, longer than two characters."""
-    kept = F.regexp_replace(F.lower(normalize_ws(c)), rf"[^\p{{L}}\p{{N}}\s'-]", " ")
-    out = F.filter(F.split(kept, r"\s+"), lambda t: F.length(t) > 2)
+    # every character that doesn't belong to a token parts it, and so does white space: one split does both
+    out = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}'-]+"), lambda t: F.length(t) > 2)
     return out if keep_stop else F.filter(out, lambda t: ~t.isin(STOP_WORDS))
 
 
@@ -47,8 +61,8 @@ def sentences(c: Column) -> Column:
 
 
 def clamp_score(x: Column) -> Column:
-    """Rounded half up and held between 0 and 100."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.round(x))).cast("int")
+    """Rounded half up and held between 0 and 100; null counts as 0."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.round(x), F.lit(0)))).cast("int")
 
 
 def stable_hash(s: Column) -> Column:
@@ -67,6 +81,16 @@ def ngrams(t: Column, k: int) -> Column:
     return let(t, runs)
 
 
+def found(c: Column, pattern: str) -> Column:
+    """All matches of a pattern without regard to case, in normal white space."""
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("(?iu)" + pattern), F.lit(0)), normalize_ws), lambda x: x != "")
+
+
+def sample_evidence(values: Column, most: int = 4) -> Column:
+    """The first distinct values, of 120 characters each at most."""
+    return F.slice(F.array_distinct(F.transform(values, lambda x: F.substring(x, 1, 120))), 1, most)
+
+
 def overlap_ratio(a: Column, b: Column) -> Column:
     """Share of a's distinct elements that b has; 0 if a has none."""
     return let(F.array_distinct(a), lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, b)) / F.size(x)).otherwise(F.lit(0.0)))

@@ -9,11 +9,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: LONG: characters from which a pair is parted before it is compared.
 LONG, CELLS, GAP = 50_000, 4_000_000, 0.65
+TOKEN = regex.compile(r"\s+|[\p{L}\p{M}\p{N}]+(?:['’.-][\p{L}\p{M}\p{N}]+)*|[^\s]")
+WORDY, PARAGRAPH_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]"), regex.compile(r"[\p{L}\p{N}]{2,}")
 
 
 def _opcodes(x: list[str], y: list[str]) -> list[tuple]:
@@ -88,55 +91,111 @@ def word_diff(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("parts", go("original", "revised"))
 
 
+def part_tokens(text: str) -> list[str]:
+    """Runs of white space, words with inner marks, and single other characters."""
+    return TOKEN.findall(text)
+
+
+def _kind(t: str) -> int:
+    return 0 if t.isspace() else 1 if WORDY.match(t) else 2
+
+
+def _codes(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the tokens, all white space being one, and their kinds."""
+    ids: dict[str, int] = {}
+    x, y = ([ids.setdefault(" " if t.isspace() else t, len(ids)) for t in side] for side in (a, b))
+    return (*(np.array(v, np.int64) for v in (x, y)), *(np.array([_kind(t) for t in side], np.int64) for side in (a, b)))
+
+
+def _directions(n: int, m: int, gap: float, diagonal) -> np.ndarray:
+    """Which way each cell of the edit table comes from: 1 both, 2 the first side, 3 the second, in that order of choice.
+
+    Cells of one anti-diagonal depend on the two before only, so each is a few array operations; diagonal(i, j) gives the
+    costs of pairing items i with items j.
+    """
+    way = np.zeros((n + 1, m + 1), np.uint8)
+    way[1:, 0], way[0, 1:] = 2, 3
+    before, last = np.zeros(n + 1), np.zeros(n + 1)  # costs by row, of the two anti-diagonals before
+    for d in range(1, n + m + 1):
+        now = np.full(n + 1, np.inf)
+        if d <= m:
+            now[0] = d * gap
+        if d <= n:
+            now[d] = d * gap
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        if len(i):
+            j = d - i
+            both, drop, add = before[i - 1] + diagonal(i - 1, j - 1), last[i - 1] + gap, last[i] + gap
+            pick = np.where((both <= drop) & (both <= add), 1, np.where(drop <= add, 2, 3)).astype(np.uint8)
+            way[i, j] = pick
+            now[i] = np.where(pick == 1, both, np.where(pick == 2, drop, add))
+        before, last = last, now
+    return way
+
+
 def align_tokens(a: list[str], b: list[str]) -> list[int]:
-    """For each token of b the place in a that it belongs to; proportional beyond CELLS cells."""
+    """For each token of b the place in a that it belongs to, an added one where the one before does; proportional beyond CELLS cells."""
     n, m = len(a), len(b)
+    if (n + 1) * (m + 1) > CELLS:
+        return [min(n - 1, k * n // m) for k in range(m)] if n else [0] * m
     if not n:
         return [0] * m
-    if n * m > CELLS:
-        return [min(n - 1, k * n // max(1, m)) for k in range(m)]
-    kind = lambda t: 0 if t.isspace() else 1 if re.match(r"\w", t) else 2
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    sub = np.array([[0 if x == y else 1 if kind(x) == kind(y) else 2 for y in b] for x in a]).reshape(n, m)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + sub[i - 1, j - 1], cost[i - 1, j] + 1, cost[i, j - 1] + 1)
-    out, i, j = [0] * m, n, m
-    while j:
-        if i and cost[i, j] == cost[i - 1, j - 1] + sub[i - 1, j - 1]:
+    x, y, kx, ky = _codes(a, b)
+    way = _directions(n, m, 1.0, lambda i, j: np.where(x[i] == y[j], 0, np.where(kx[i] == ky[j], 1, 2)))
+    out, i, j = [-1] * m, n, m
+    while i or j:
+        if way[i, j] == 1:
             i, j = i - 1, j - 1
             out[j] = i
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif way[i, j] == 2:
             i -= 1
         else:
             j -= 1
-            out[j] = max(0, i - 1)
+    last = -1
+    for k, p in enumerate(out):
+        last = out[k] = p if p >= 0 else last
+    following = n - 1
+    for k in range(m - 1, -1, -1):
+        following = out[k] = out[k] if out[k] >= 0 else following
+    return out
+
+
+def distribute(parts: list[str], revised: str) -> list[str]:
+    """A revised text dealt out to the parts of the original, token by token."""
+    own = [(t, k) for k, part in enumerate(parts) for t in part_tokens(part)]
+    tokens = part_tokens(revised)
+    places = align_tokens([t for t, _ in own], tokens)
+    out = [""] * len(parts)
+    for t, p in zip(tokens, places):
+        if out:
+            out[own[p][1] if own else 0] += t
     return out
 
 
 def align_paragraphs(a: list[str], b: list[str]) -> list[str]:
-    """For each paragraph of a its revision from b, or an empty text; by place if there are equally many."""
+    """For each paragraph of a its revision from b, or an empty text; by place if there are equally many.
+
+    An added paragraph goes to the place before it, where a paragraph's own revision then replaces it, as in the reference.
+    """
     if len(a) == len(b):
         return list(b)
-    words = lambda t: set(re.findall(r"\w+", t.lower()))
-    x, y = [words(t) for t in a], [words(t) for t in b]
+    if not a:
+        return []
+    x, y = ([set(PARAGRAPH_WORD.findall(t.lower())) for t in side] for side in (a, b))
     n, m = len(a), len(b)
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0], cost[0, :] = np.arange(n + 1) * GAP, np.arange(m + 1) * GAP
-    sub = np.array([[1 - len(p & q) / max(1, len(p), len(q)) for q in y] for p in x]).reshape(n, m)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + sub[i - 1, j - 1], cost[i - 1, j] + GAP, cost[i, j - 1] + GAP)
+    apart = np.array([[1 - len(p & q) / max(len(p), len(q)) if p and q else 1.0 for q in y] for p in x], float).reshape(n, m)
+    way = _directions(n, m, GAP, lambda i, j: apart[i, j])
     out, i, j = [""] * n, n, m
-    while i and j:
-        if cost[i, j] == cost[i - 1, j - 1] + sub[i - 1, j - 1]:
+    while i or j:
+        if way[i, j] == 1:
             i, j = i - 1, j - 1
             out[i] = b[j]
-        elif cost[i, j] == cost[i - 1, j] + GAP:
+        elif way[i, j] == 2:
             i -= 1
         else:
             j -= 1
+            to = max(0, i - 1)
+            out[to] = f"{b[j]}\n{out[to]}" if out[to] else b[j]
     return out
 
 
@@ -146,3 +205,13 @@ def paragraph_alignment(pairs: DataFrame) -> DataFrame:
         return pd.Series([align_paragraphs(list(x), list(y)) for x, y in zip(a, b)])
 
     return pairs.withColumn("aligned", go("original", "revised"))
+
+
+def distribution(pairs: DataFrame) -> DataFrame:
+    """pairs(original array<string>, revised string) with the column parts, as many as in the original."""
+
+    @F.pandas_udf("array<string>")
+    def go(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([distribute(list(x), y or "") for x, y in zip(a, b)])
+
+    return pairs.withColumn("parts", go("original", "revised"))

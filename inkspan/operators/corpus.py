@@ -15,13 +15,22 @@ BLOCK = 1000
 
 
 def dedupe_by_url(candidates: DataFrame, *order: str) -> DataFrame:
-    w = W.partitionBy(url_key(F.col("url"))).orderBy(*order)
-    return candidates.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    """The first row of every canonical URL by `order`, combined before the shuffle."""
+    first = F.min_by(F.struct(*candidates.columns), F.struct(*order))
+    return candidates.groupBy(url_key(F.col("url")).alias("by")).agg(first.alias("row")).select("row.*")
 
 
-def interleave(candidates: DataFrame, group: str, pos: str) -> DataFrame:
-    """Round robin over groups, as a place in the whole list."""
-    return candidates.withColumn("place", F.row_number().over(W.orderBy(pos, group)))
+def interleave(candidates: DataFrame, group: str, pos: str, block: int = 1024) -> DataFrame:
+    """Round robin over groups, as a place in the whole list. (group, pos) are unique; pos counts from 1.
+
+    A place is the rows of all groups before this row's block of positions, and the place within the block, so no task
+    sees more than a block of every group.
+    """
+    rows = candidates.withColumn("at_block", F.floor(F.col(pos) / block))
+    sums = rows.groupBy("at_block").agg(F.count(F.lit(1)).alias("rows"))
+    before = sums.alias("a").join(sums.alias("b"), F.expr("b.at_block < a.at_block"), "left").groupBy(F.col("a.at_block").alias("at_block")).agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("at_block").orderBy(pos, group))
+    return rows.withColumn("within", within).join(before, "at_block").withColumn("place", (F.col("before") + F.col("within")).cast("int")).drop("at_block", "before", "within")
 
 
 def complete(candidates: DataFrame) -> DataFrame:
@@ -43,7 +52,10 @@ def merge_diagnostics(facts: DataFrame, seq: str) -> DataFrame:
 
 
 def diagnostics_notes(merged: DataFrame) -> DataFrame:
-    return merged.select("provider", F.format_string("%s: %d/%d, %d res", "provider", "succeeded", "attempted", "results").alias("note"))
+    """(provider, note): what each provider did; the parts of the note that counts all providers."""
+    issue = F.when(F.col("failed") > 0, F.format_string(", %d пом.", "failed")).otherwise("")
+    told = F.concat(F.format_string("%s: %d/%d, %d рез.", "provider", "succeeded", "attempted", "results"), issue)
+    return merged.select("provider", F.when(F.col("attempted") == 0, F.concat("provider", F.lit(": пропущено"))).otherwise(told).alias("note"))
 
 
 def rerank(vectors: DataFrame, query: DataFrame, most: int) -> DataFrame:

@@ -3,26 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import count_words, normalize_ws
+from inkspan.functions.text import count_words, java, let, normalize_ws, trim_ws
 
 # What marks a line of code, a title page, a body, a bibliography.
 CODE_LINES = (
-    r"^\s*(?:import\s+.+\s+from\s+|export\s+(?:default\s+)?(?:function|class|const|let|var)(?![0-9A-Za-z_]))",
+    r"^\s*(?:import\s+.+\s+from\s+|export\s+(?:default\s+)?(?:function|class|const|let|var)\b)",
     r"^\s*(?:const|let|var)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:=|:)",
     r"^\s*(?:function\s+[A-Za-z_$][0-9A-Za-z_$]*\s*\(|class\s+[A-Za-z_$][0-9A-Za-z_$]*(?:\s+extends\s+[A-Za-z_$][0-9A-Za-z_$]*)?\s*\{|(?:interface|type|enum)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:\{|=))",
-    r"^\s*(?:return(?![0-9A-Za-z_])|if\s*\(|else\s*\{|for\s*\(|while\s*\(|switch\s*\(|case\s+.+:|try\s*\{|catch\s*\()",
+    r"^\s*(?:return\b|if\s*\(|else\s*\{|for\s*\(|while\s*\(|switch\s*\(|case\s+.+:|try\s*\{|catch\s*\()",
     r"^\s*(?:(?:public|private|protected)\s+(?:async\s+)?[A-Za-z_$][0-9A-Za-z_$]*\s*(?:\(|:|=)|def\s+[A-Za-z_][0-9A-Za-z_]*\s*\(|from\s+[0-9A-Za-z_.]+\s+import\s+|(?:package|using|namespace)\s+[0-9A-Za-z_.]+)",
-    r"(?i)^\s*(?:end\s+(?:sub|function|with)|(?:private|public)\s+(?:sub|function)\s+[0-9A-Za-z_]+|(?:sub|function)\s+[0-9A-Za-z_]+\s*\(|dim\s+[0-9A-Za-z_]+(?:\s+as(?![0-9A-Za-z_])|\s*=)|set\s+[0-9A-Za-z_]+\s*=|call\s+[0-9A-Za-z_]+\s*\(|next(?![0-9A-Za-z_])|loop(?![0-9A-Za-z_]))",
+    r"(?i)^\s*(?:end\s+(?:sub|function|with)|(?:private|public)\s+(?:sub|function)\s+[0-9A-Za-z_]+|(?:sub|function)\s+[0-9A-Za-z_]+\s*\(|dim\s+[0-9A-Za-z_]+(?:\s+as\b|\s*=)|set\s+[0-9A-Za-z_]+\s*=|call\s+[0-9A-Za-z_]+\s*\(|next\b|loop\b)",
     r"^\s*[{}()\[\];,.<>/]*\s*$",
     r"(?i)^\s*</?[a-z][^>]*>\s*$",
     r"^\s*[\"']?[A-Za-z0-9_$-]+[\"']?\s*:\s*[\"'{\[0-9]",
     r"^\s*[.#]?[A-Za-z0-9_-]+\s*\{",
 )
-ASSIGNMENT = r"=>|===|!==|==|!=|\+\+|--|\.[0-9A-Za-z_]+\(|:\s*(?:string|number|boolean|unknown|void)(?![0-9A-Za-z_])"
-SURE = r"(?<![0-9A-Za-z_])(?:const|let|var)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*=|=>|===|!==|\.[0-9A-Za-z_]+\(|^\s*(?:import|export|function|class|def)(?![0-9A-Za-z_])"
+FENCE = r"^\s*```"
+ASSIGNMENT = r"=>|===|!==|==|!=|\+\+|--|\.[0-9A-Za-z_]+\(|:\s*(?:string|number|boolean|unknown|void)\b"
+SURE = r"\b(?:const|let|var)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*=|=>|===|!==|\.[0-9A-Za-z_]+\(|^\s*(?:import|export|function|class|def)\b"
+INLINE = (
+    r"(?i)\b(?:end\s+sub|private\s+sub|public\s+sub|end\s+function|private\s+function|public\s+function)\b",
+    r"(?i)\b(?:console\.log|document\.querySelector|addEventListener|return\s+false|return\s+true)\b",
+    r"\b(?:const|let|var)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:=|:\s*(?:string|number|boolean|unknown|object)\b)",
+    r"\bfunction\s+[A-Za-z_$][0-9A-Za-z_$]*\s*\([^)]{0,80}\)",
+    r"\b(?:class|interface)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:extends\s+[A-Za-z_$][0-9A-Za-z_$]*\s*)?\{",
+    r"\btype\s+[A-Za-z_$][0-9A-Za-z_$]*\s*=",
+    r"\b(?:[a-z_$][0-9A-Za-z_$]*\.[a-z_$][0-9A-Za-z_$]*|[a-z]+(?:[A-Z][A-Za-z0-9_$]*)+|[a-z_$][0-9A-Za-z_$]*_[a-z_$][0-9A-Za-z_$]*)\s*\([^)]{0,80}\)\s*(?:=>|\{)?",
+)
 TITLE = (r"міністерство\s+освіти", r"заклад\s+вищої\s+освіти", "університет", "кафедра", r"курсова\s+робота", r"кваліфікаційна\s+робота", "виконав(?:ець|ла|)", "керівник", "студент(?:ка|)")
 BODY = r"(?iu)(?<![\p{L}\p{N}_])(вступ|розділ\s*1|розділ\s*i|chapter\s*1|introduction)(?![\p{L}\p{N}_])"
 TAIL = r"(?iu)(?<![\p{L}\p{N}_])(?:список\s+(?:використаних\s+)?джерел|бібліографія|references|bibliography)(?![\p{L}\p{N}_])"
@@ -30,28 +39,70 @@ LONG_QUOTE = r"[\"“„«][^\"”»]{40,}[\"”»]"
 
 
 def code_line(line: Column) -> Column:
-    t = F.trim(line)
+    t = trim_ws(line)
     dense = F.regexp_count(t, F.lit(r"[{}()\[\];=<>`|]")) / F.greatest(F.lit(1), F.length(t)) > 0.16
     any_ = F.lit(False)
     for p in CODE_LINES:
-        any_ = any_ | line.rlike(p)
-    return (t != "") & (any_ | t.rlike(ASSIGNMENT) | (dense & ~t.rlike("[А-Яа-яІіЇїЄєҐґ]{3,}")))
+        any_ = any_ | line.rlike(java(p))
+    return (t != "") & (any_ | t.rlike(java(ASSIGNMENT)) | (dense & ~t.rlike("[А-Яа-яІіЇїЄєҐґ]{3,}")))
+
+
+def prose_lines(raw: Column) -> Column:
+    """Struct (text, code_words, blocks): without fenced code and runs of code lines, joined by spaces.
+
+    A run of code lines goes if it has two lines or a sure one, so a line's neighbours tell what happens to it.
+    """
+
+    def parted(lines: Column) -> Column:
+        fences = F.transform(lines, lambda x, i: F.when(x.rlike(java(FENCE)), i))
+        code = F.transform(lines, lambda x: ~x.rlike(java(FENCE)) & code_line(x))
+        return let(F.struct(lines.alias("lines"), fences.alias("fences"), code.alias("code")), judged)
+
+    def judged(d: Column) -> Column:
+        fences = F.filter(d["fences"], lambda x: x.isNotNull())
+        return let(F.struct(d["lines"].alias("lines"), fences.alias("fences"), d["code"].alias("code")), marked)
+
+    def marked(d: Column) -> Column:
+        inside = lambda i: F.size(F.filter(d["fences"], lambda p: p <= i)) % 2 == 1
+        code = F.transform(d["code"], lambda c, i: c & ~inside(i))
+        return let(F.struct(d["lines"].alias("lines"), d["fences"].alias("fences"), code.alias("code"), F.transform(d["lines"], lambda x, i: inside(i)).alias("inside")), dropped)
+
+    def dropped(d: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(d["code"], i), F.lit(False))
+        goes = F.transform(d["lines"], lambda x, i: at(i) & (at(i - 1) | at(i + 1) | x.rlike(java(SURE))))
+        return let(F.struct(*[d[n].alias(n) for n in ("lines", "fences", "code", "inside")], goes.alias("goes")), joined)
+
+    def joined(d: Column) -> Column:
+        fence = lambda i: F.array_contains(d["fences"], i)
+        kept = F.filter(d["lines"], lambda x, i: ~fence(i) & ~F.get(d["inside"], i) & ~F.get(d["goes"], i))
+        gone = F.filter(d["lines"], lambda x, i: ~fence(i) & (F.get(d["inside"], i) | F.get(d["goes"], i)))
+        runs = F.size(F.filter(F.transform(d["goes"], lambda g, i: g & ~F.coalesce(F.get(d["code"], i - 1), F.lit(False))), lambda x: x))
+        blocks = runs + F.ceil(F.size(d["fences"]) / 2).cast("int")
+        return F.struct(F.array_join(kept, " ").alias("text"), count_words(F.array_join(gone, " ")).alias("code_words"), blocks.alias("blocks"))
+
+    return let(F.split(F.regexp_replace(F.coalesce(raw, F.lit("")), "\r\n", "\n"), "\n"), parted)
+
+
+def with_prose(d: DataFrame, text: str) -> DataFrame:
+    """`d` with prose, code_words and code_blocks: code lines and then code within lines are taken out."""
+    d = d.withColumn("parted", prose_lines(F.col(text))).withColumn("prose", F.col("parted.text")).withColumn("code_words", F.col("parted.code_words"))
+    for p in INLINE:
+        d = d.withColumn("hits", F.regexp_extract_all("prose", F.lit(java(p)), F.lit(0)))
+        words = F.aggregate(F.transform("hits", count_words), F.lit(0), lambda s, x: s + x)
+        d = d.withColumn("code_words", F.col("code_words") + words).withColumn("prose", F.when(F.size("hits") > 0, F.regexp_replace("prose", java(p), " ")).otherwise(F.col("prose")))
+    return d.withColumn("prose", normalize_ws(F.col("prose"))).withColumn("code_blocks", F.col("parted.blocks")).drop("parted", "hits")
 
 
 def prose(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text, code_words): without fenced code and runs of code lines."""
-    line = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), "\n")).alias("i", "line"))
-    order = W.partitionBy("doc_id").orderBy("i")
-    line = line.withColumn("fence", F.col("line").rlike(r"^\s*```")).withColumn("inside", (F.count_if("fence").over(order) % 2 == 1))
-    line = line.withColumn("code", ~F.col("fence") & ~F.col("inside") & code_line(F.col("line")))
-    line = line.withColumn("run", F.count_if(~F.col("code")).over(order))
-    runs = W.partitionBy("doc_id", "run")
-    sure = F.count_if(F.col("code") & F.col("line").rlike(SURE)).over(runs)
-    drop = (F.col("inside") & ~F.col("fence")) | (F.col("code") & ((F.count_if("code").over(runs) >= 2) | (sure > 0)))
-    line = line.withColumn("drop", drop).where("NOT fence")
-    kept = F.transform(F.array_sort(F.collect_list(F.when(~F.col("drop"), F.struct("i", "line")))), lambda x: x["line"])
-    found = line.groupBy("doc_id").agg(normalize_ws(F.array_join(kept, " ")).alias("text"), F.coalesce(F.sum(F.when(F.col("drop"), count_words(F.col("line")))), F.lit(0)).alias("code_words"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("code_words", F.lit(0)).alias("code_words"))
+    """(doc_id, text, code_words, code_blocks), one row per row of `docs`."""
+    return with_prose(docs.select("doc_id", F.col(text).alias("raw")), "raw").select("doc_id", F.col("prose").alias("text"), "code_words", "code_blocks")
+
+
+def document_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, skipped_title_words, code_words, code_blocks): prose without the title page."""
+    d = with_prose(docs.select("doc_id", F.col("text").alias("raw")), "raw").withColumn("body", without_title(F.col("prose")))
+    skipped = count_words(F.substr("prose", F.lit(1), F.length("prose") - F.length("body")))
+    return d.select("doc_id", F.col("body").alias("text"), skipped.alias("skipped_title_words"), "code_words", "code_blocks")
 
 
 def without_title(c: Column) -> Column:
@@ -63,7 +114,7 @@ def without_title(c: Column) -> Column:
 
 
 def without_tail(c: Column) -> Column:
-    """Cut at the first bibliography marker if it stands in the last 55 % of the text."""
+    """Cut at the first bibliography marker, unless it stands in the first 45 % of the text."""
     at = F.regexp_instr(c, F.lit(TAIL)) - 1
     return F.when((at >= 0) & (at >= F.length(c) * 0.45), F.substring(c, F.lit(1), at)).otherwise(c)
 
@@ -72,9 +123,10 @@ def without_quotes(c: Column) -> Column:
     return F.regexp_replace(c, LONG_QUOTE, " ")
 
 
-def analysis_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, analyzed_words, code_words, quoted_words, reference_words)."""
-    a = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t0")).withColumn("t1", without_tail(F.col("t0"))).withColumn("t2", without_quotes(F.col("t1")))
+def analysis_text(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, kept columns, text, analyzed_words, code_words, quoted_words, reference_words): what style is judged by."""
+    d = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("t0")).withColumn("t1", without_tail(F.col("t0"))).withColumn("t2", without_quotes(F.col("t1")))
     quoted = F.aggregate(F.transform(F.regexp_extract_all("t1", F.lit(LONG_QUOTE), F.lit(0)), count_words), F.lit(0), lambda s, x: s + x)
-    sums = a.select("doc_id", (count_words(F.col("t0")) - count_words(F.col("t1"))).alias("reference_words"), quoted.alias("quoted_words"))
-    return prose(a.select("doc_id", F.col("t2").alias("text"))).join(sums, "doc_id").withColumn("analyzed_words", count_words(F.col("text")))
+    tail = F.substr("t0", F.length("t1") + 1)
+    d = with_prose(d, "t2").withColumn("quoted_words", quoted).withColumn("reference_words", count_words(tail))
+    return d.select("doc_id", *keep, F.col("prose").alias("text"), count_words(F.col("prose")).alias("analyzed_words"), "code_words", "quoted_words", "reference_words")

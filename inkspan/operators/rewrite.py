@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import count_words, let, normalize_ws
+from inkspan.functions.text import WS, count_words, java, let, normalize_ws, trim_ws
 
 A, Z = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 L, R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -13,10 +13,14 @@ L, R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 RULES = (
     ("chat", ((A + r"(?:great question|of course|certainly|i hope this helps|let me know if you(?:'|’)d like|here is an?|let'?s dive in|let'?s explore)" + Z + r"[.!?\s]*", ""),)),
     ("copula", ((A + "(?:serves as|stands as|acts as)" + Z, "is"),)),
-    ("intro", ((A + "in order to" + Z, "to"), (A + "due to the fact that" + Z, "because"), (A + "at this point in time" + Z, "now"), (A + "(?:it is important to note that|it is worth noting that)" + Z, ""))),
+    ("intro", ((A + "(?:it is important to note that|it is worth noting that)" + Z, ""), (A + "in order to" + Z, "to"), (A + "at this point in time" + Z, "now"), (A + "due to the fact that" + Z, "because"))),
     ("adverts", tuple((A + w + Z, r) for w, r in (("crucial|pivotal", "important"), ("vibrant", "active"), ("groundbreaking|innovative", "new"), ("transformative|valuable", "useful"), ("seamless", "simple"), ("robust", "stable"), ("comprehensive", "broad"), ("unique", "specific")))),
+    ("templates", (
+        (r"на основі проведеного аналізу встановлено,?\s*що", "аналіз показав, що"), (r"отримані результати дозволяють зробити висновок,?\s*що", "це дозволяє стверджувати, що"),
+        (r"(?:варто зазначити,?\s*що|слід зазначити,?\s*що|важливо підкреслити,?\s*що|доцільно зазначити,?\s*що|необхідно зауважити,?\s*що|цікаво відзначити,?\s*що)", ""),
+    )),
     ("aims", ((r"метою\s+(?:роботи|дослідження)\s+є", "Мета:"), (r"завданнями\s+(?:роботи|дослідження)\s+є", "Завдання:"), (r"актуальність\s+(?:обраної\s+)?теми\s+(?:полягає|зумовлена)\s+(?:у\s+тому,?\s*що|тим,?\s*що|у)", "Тема актуальна через те, що"), (r"предметом\s+дослідження\s+є", "Предмет дослідження:"), (r"об['’]єктом\s+дослідження\s+є", "Об'єкт дослідження:"), (r"робота\s+складається\s+з", "Структура роботи:"))),
-    ("voice", ((L + r"у\s+(?:цій\s+)?роботі\s+проаналізовано" + R, "робота аналізує"), (L + r"у\s+(?:цій\s+)?роботі\s+досліджено" + R, "робота досліджує"), (L + r"у\s+(?:цій\s+)?роботі\s+розглянуто" + R, "робота описує"))),
+    ("voice", ((L + r"у\s+(?:цій\s+)?роботі\s+розглянуто" + R, "робота описує"), (L + r"у\s+(?:цій\s+)?роботі\s+проаналізовано" + R, "робота аналізує"), (L + r"у\s+(?:цій\s+)?роботі\s+досліджено" + R, "робота досліджує"))),
     ("adjectives", ((L + r"(?:важлив(?:ий|а|е|і)|ключов(?:ий|а|е|і)|унікальн(?:ий|а|е|і)|інноваційн(?:ий|а|е|і))\s+(?:комплексн(?:ий|а|е|і)|ефективн(?:ий|а|е|і))\s+(підхід|аспект|блок|рішення|система|процес)" + R, "$1"),)),
     ("verbs", ((L + "сприяє підвищенню" + R, "підвищує"), (L + "забезпечує можливість" + R, "дає змогу"), (L + "розкриває потенціал" + R, "показує можливості"))),
     ("value", ((L + r"(?:(?:важливе|значне)\s+)?практичне значення" + R, "практична користь"), (L + r"(?:(?:важливе|значне)\s+)?теоретичне значення" + R, "теоретична користь"))),
@@ -31,35 +35,52 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(parts, normalize_ws), lambda p: p != "")
 
 
-def soften(c: Column) -> Column:
-    c = F.regexp_replace(c, r"([.!?])\s+(?:Отже|Таким чином),?\s+", "$1 Отже: ")
-    return F.regexp_replace(c, r"([.!?])\s+(?:Furthermore|Moreover|Additionally|Therefore|Крім того),?\s+", "$1 ")
+SOFT = ((r"([.!?])\s+(?:Отже|Таким чином),?\s+", "$1 Отже: "), (r"([.!?])\s+(?:Furthermore|Moreover|Additionally|Therefore|Крім того),?\s+", "$1 "))
+VAGUE = L + "(?:експерти вважають|дослідження показують|багато джерел|experts argue|observers note|studies show|research suggests)" + R
+SENTENCE = r"[^.!?]+[.!?]+|[^.!?]+$"
+
+
+def sentence_key(sentence: Column) -> Column:
+    return normalize_ws(F.regexp_replace(F.regexp_replace(F.lower(sentence), "[0-9]+", "#"), rf"[^\p{{L}}\p{{N}}#{WS[1:-1]}]", " "))
 
 
 def without_repeats(paragraph: Column) -> Column:
-    """A paragraph without later copies of its sentences of seven words or more."""
-    name = lambda x: normalize_ws(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]+", "#"), r"[^\p{L}\p{N}#\s]", " "))
-    s = F.split(paragraph, r"(?<=[.!?…])\s+")
+    """Struct (text, count): a paragraph without later copies of its sentences of seven words or more."""
+    every = F.transform(F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0)), lambda x: trim_ws(x))
+    every = F.when(F.size(every) > 0, every).otherwise(F.array(trim_ws(paragraph)))
 
     def kept(pair: Column) -> Column:
-        return F.filter(pair["s"], lambda x, i: (count_words(F.get(pair["k"], i)) < 7) | (F.array_position(pair["k"], F.get(pair["k"], i)) == i + 1))
+        keep = F.filter(pair["s"], lambda x, i: (F.size(F.split(F.get(pair["k"], i), " ")) < 7) | (F.array_position(pair["k"], F.get(pair["k"], i)) == i + 1))
+        return let(keep, lambda x: F.struct(F.array_join(x, " ").alias("text"), (F.size(pair["s"]) - F.size(x)).alias("count")))
+
+    return let(let(every, lambda x: F.struct(x.alias("s"), F.transform(x, sentence_key).alias("k"))), kept)
 
-    return F.array_join(let(let(s, lambda x: F.struct(x.alias("s"), F.transform(x, name).alias("k"))), kept), " ")
+
+def tidy(paragraph: Column) -> Column:
+    p = F.regexp_replace(normalize_ws(paragraph), java(r"\s+([,.;:!?])"), "$1")
+    return F.trim(F.regexp_replace(p, java(r",\s*,"), ","))
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
-    """(doc_id, revised, changes): texts of at least twenty words; changes has the count of every rule that changed something."""
-    d = docs.where(count_words(F.col("text")) >= 20).select("doc_id", F.array_join(paragraphs(F.col("text")), "\n\n").alias("t"))
+    """(doc_id, revised, changes, original_words, revised_words, vague): texts of at least twenty words.
+
+    changes has the count of every rule that changed something, in the rules' order; vague counts claims without a source.
+    """
+    d = docs.select("doc_id", F.array_join(paragraphs(F.col("text")), "\n\n").alias("original"))
+    d = d.withColumn("original_words", count_words(F.col("original"))).where("original_words >= 20").withColumn("t", F.col("original"))
     counts = []
-    for name, steps in RULES:
+    steps = [(name, [("(?iu)(?:" + p + ")", to) for p, to in parts]) for name, parts in RULES] + [("transitions", SOFT)]
+    for name, parts in steps:
         n = F.lit(0)
-        for k, (pattern, to) in enumerate(steps):
-            p = "(?iu)(?:" + pattern + ")"
-            d = d.withColumn("n", F.regexp_count("t", F.lit(p))).withColumn("t", F.regexp_replace("t", p, to))
-            d = d.withColumn(f"n_{name}_{k}", F.col("n"))
+        for k, (p, to) in enumerate(parts):
+            p = java(p)
+            d = d.withColumn(f"n_{name}_{k}", F.regexp_count("t", F.lit(p)))
+            d = d.withColumn("t", F.when(F.col(f"n_{name}_{k}") > 0, F.regexp_replace("t", p, to)).otherwise(F.col("t")))
             n = n + F.col(f"n_{name}_{k}")
-        counts.append(F.struct(F.lit(name).alias("rule"), n.alias("count")))
-    d = d.withColumn("t", soften(F.col("t")))
-    d = d.withColumn("t", F.array_join(F.transform(F.split("t", "\n\n"), without_repeats), "\n\n"))
-    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", "[ \t]{2,}", " "), r" +([,.;:!?])", "$1"), r" *\n *", "\n")
-    return d.select("doc_id", F.trim(tidy).alias("revised"), F.filter(F.array(*counts), lambda x: x["count"] > 0).alias("changes"))
+        counts.append((name, n))
+    d = d.withColumn("parts", F.filter(F.transform(F.split("t", "\n{2,}"), without_repeats), lambda p: p["text"] != ""))
+    counts.append(("repeats", F.aggregate("parts", F.lit(0), lambda s, p: s + p["count"])))
+    changes = F.filter(F.array(*[F.struct(F.lit(name).alias("rule"), n.alias("count")) for name, n in counts]), lambda x: x["count"] > 0)
+    revised = F.array_join(F.filter(F.transform("parts", lambda p: tidy(p["text"])), lambda p: p != ""), "\n\n")
+    d = d.withColumn("revised", revised)
+    return d.select("doc_id", "revised", changes.alias("changes"), "original_words", count_words(F.col("revised")).alias("revised_words"), F.regexp_count("original", F.lit("(?iu)" + VAGUE)).alias("vague"))

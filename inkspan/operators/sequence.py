@@ -48,12 +48,20 @@ def chunks(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Dat
     return out.select("doc_id", "chunk_index", F.size(part).alias("word_count"), F.array_join(part, " ").alias("chunk_text"))
 
 
-def analysis_windows(docs: DataFrame, size: int = 220, overlap: int = 55, text: str = "text") -> DataFrame:
-    """(doc_id, window_index, start_word, end_word, window_text), 1-based, the last window ending with the text."""
+SIZE, OVERLAP = 220, 55
+
+
+def window_starts(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Starts of windows over n words, 0-based; the last window ends with the text."""
     step = max(80, size - overlap)
+    regular = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0)), F.lit(step)), lambda x: x + size < n)
+    return F.when(n <= size, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(regular, F.array(n - size))))
+
+
+def analysis_windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
+    """(doc_id, window_index, start_word, end_word, window_text), 1-based, the last window ending with the text."""
     base = docs.select("doc_id", words(F.col(text)).alias("w")).where("size(w) > 0").withColumn("n", F.size("w"))
-    starts = F.when(F.col("n") <= size, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0), F.col("n"), F.lit(step)), lambda x: x + size < F.col("n")), F.array(F.col("n") - size))))
-    out = base.select("doc_id", "w", "n", F.posexplode(starts).alias("window_index", "s"))
+    out = base.select("doc_id", "w", "n", F.posexplode(window_starts(F.col("n"), size, overlap)).alias("window_index", "s"))
     return out.select("doc_id", "window_index", (F.col("s") + 1).alias("start_word"), F.least(F.col("s") + size, F.col("n")).alias("end_word"), F.array_join(F.slice("w", F.col("s") + 1, size), " ").alias("window_text"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -16,9 +17,9 @@ def rate_limit(events: DataFrame, limit: int = 10, seconds: int = 60) -> DataFra
 
 
 def latest_state(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    """The last row of every key."""
-    w = W.partitionBy(key).orderBy(F.desc(ts), F.desc(tie))
-    return events.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    """The last row of every key, combined before the shuffle."""
+    last = F.max_by(F.struct(*events.columns), F.struct(ts, tie))
+    return events.groupBy(F.col(key).alias("by")).agg(last.alias("row")).select("row.*")
 
 
 def stale_jobs(jobs: DataFrame, now, minutes: int = 10) -> DataFrame:
@@ -46,20 +47,18 @@ def breaker_step(state: tuple[int, float | None], at: float, ok: bool, threshold
 
 
 def circuit_breaker(log: DataFrame, threshold: int = 3, open_s: float = 60.0) -> DataFrame:
-    """(provider, ts, seq, ok) -> allowed: replays each provider's log in order."""
-
-    def replay(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values(["ts", "seq"])
-        state, out = (0, None), []
-        for t, ok in zip(frames.ts, frames.ok):
-            state, let = breaker_step(state, t.timestamp(), bool(ok), threshold, open_s)
-            out.append(let)
-        return frames.assign(allowed=out)[["provider", "ts", "seq", "ok", "allowed"]]
+    """(provider, ts, seq, ok) -> allowed: replays each provider's log in order, streaming through sorted partitions."""
 
-    return log.select("provider", "ts", "seq", "ok").groupBy("provider").applyInPandas(replay, "provider string, ts timestamp, seq long, ok boolean, allowed boolean")
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}  # providers of one partition; a state is two numbers
+        for rows in batches:
+            out = []
+            for provider, t, ok in zip(rows.provider, rows.ts, rows.ok):
+                states[provider], let = breaker_step(states.get(provider, (0, None)), t.timestamp(), bool(ok), threshold, open_s)
+                out.append(let)
+            yield rows.assign(allowed=out)
 
+    ordered = log.select("provider", "ts", "seq", "ok").repartition("provider").sortWithinPartitions("provider", "ts", "seq")
+    return ordered.mapInPandas(replay, "provider string, ts timestamp, seq long, ok boolean, allowed boolean")
 
-def streamed_rate_limit(events: DataFrame, limit: int = 10, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream; rows later than the watermark are dropped, which is a choice of this library."""
-    return rate_limit(events.withWatermark("ts", late), limit, seconds)
 

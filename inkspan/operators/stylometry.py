@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import clamp_score, let, ngrams, normalize_ws, sentences, tokens
-from inkspan.operators.sequence import analysis_windows
+from inkspan.functions.text import STOP_WORDS, clamp_score, found, java, let, ngrams, normalize_ws, sample_evidence, sentences, tokens, words
+from inkspan.operators.prep import analysis_text
+from inkspan.operators.sequence import SIZE, window_starts
 
 EDGE_L, EDGE_R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -25,8 +26,8 @@ GROUPS = (
         "варто зазначити|слід зазначити|важливо підкреслити|таким чином|у підсумку|на завершення|з огляду на це|по-перше|зокрема|з іншого боку|крім того|водночас",
     )),
     ("syntax", "structure", 1.15, (
-        r"not only(?![0-9A-Za-z_])[\s\S]{0,90}(?<![0-9A-Za-z_])but also",
-        r"it's not just(?![0-9A-Za-z_])[\s\S]{0,90}(?<![0-9A-Za-z_])it'?s",
+        r"not only\b[\s\S]{0,90}\bbut also",
+        r"it's not just\b[\s\S]{0,90}\bit'?s",
         r"(?:не лише|не тільки)[\s\S]{0,90}(?:а й|але й)",
         "по-перше|по-друге|по-третє",
         "firstly|secondly|thirdly",
@@ -46,19 +47,26 @@ GROUPS = (
 )
 IMPERSONAL = "розглянуто|проаналізовано|досліджено|визначено|встановлено|узагальнено|систематизовано|обґрунтовано|виявлено|сформовано|запропоновано|охарактеризовано"
 CITATION = r"\[[0-9]{1,3}\]|\([A-ZА-ЯІЇЄҐ][\p{L}'-]+,\s*20[0-9]{2}\)|https?://\S+|doi:\s*\S+"
-NUMBER = r"(?<![0-9A-Za-z_])[0-9]+(?:[.,][0-9]+)?\s*(?:%|грн|uah|usd|км|м|року|р\.|рік|years?)?"
+NUMBER = r"\b[0-9]+(?:[.,][0-9]+)?\s*(?:%|грн|uah|usd|км|м|року|р\.|рік|years?)?\b"
 FIRST_PERSON = "я|мені|мою|моє|ми|наш|наша|i|my|we|our"
 QUOTE = r"[\"“„«][^\"”»]{12,}[\"”»]"
 PLACEHOLDER = "lorem ipsum|consectetur adipiscing|suspendisse potenti"
 STRUCTURE = r"зміст|вступ|розділ\s+(?:[0-9]+|[ivx]+)|висновки|список\s+використаних\s+джерел"
 HEADING = r"^(?:зміст|вступ|висновки|список використаних джерел|розділ\s+(?:[0-9]+|[ivx]+)(?:\s+.+)?|introduction|conclusion|references|chapter\s+(?:[0-9]+|[ivx]+)(?:\s+.+)?)$"
+#: What the report calls each signal.
+LABELS = {
+    "rhythm": "Рівномірність речень (Low Burstiness)", "lexical": "Лексична одноманітність", "transition": "Часті формальні переходи", "hedge": "Обережні формулювання",
+    "starts": "Повтори на початку речень", "impersonal": "Безособовий стиль", "punctuation": "Одноманітна пунктуація", "lexicon": "AI-лексика і канцелярит", "links": "Шаблонні переходи та зв'язки",
+    "syntax": "Роботична структура та синтаксис", "academic": "Шаблон академічної генерації", "leak": "Prompt-leak та ШІ-відмови", "safeguard": "Запобіжники від false positive",
+    "segments": "Сегментна узгодженість AI-ознак", "excluded": "Вилучений неавторський вміст",
+}
 CHANNELS = {"statistical": 0.38, "pattern": 0.42, "structure": 0.20}
 #: Fixed values: (signal, channel, weight) of the drafts that aren't pattern groups.
 DRAFTS = (("rhythm", "statistical", 1.0), ("lexical", "statistical", 0.8), ("transition", "pattern", 0.85), ("hedge", "pattern", 0.45), ("starts", "structure", 0.75), ("impersonal", "pattern", 0.95), ("punctuation", "structure", 0.5))
 
 
 def matches(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit("(?iu)" + pattern))
+    return F.regexp_count(c, F.lit("(?iu)" + java(pattern)))
 
 
 def bounded(pattern: str) -> str:
@@ -66,13 +74,13 @@ def bounded(pattern: str) -> str:
 
 
 def mattr(t: Column, size: int = 50) -> Column:
-    """Mean share of distinct tokens in windows of `size`, the last of which ends with the text."""
+    """Mean share of distinct tokens in windows of `size`; one that ends with the text is added, even if it is there already."""
     return let(t, lambda x: _mattr(x, size))
 
 
 def _mattr(t: Column, size: int) -> Column:
     n = F.size(t)
-    starts = F.concat(F.filter(F.sequence(F.lit(1), n, F.lit(size // 2)), lambda i: i + size - 1 < n), F.array(n - size + 1))
+    starts = F.concat(F.filter(F.sequence(F.lit(1), n, F.lit(size // 2)), lambda i: i + size - 1 <= n), F.array(n - size + 1))
     ratios = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(t, i, size))) / size)
     mean = let(ratios, lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x) / F.size(r))
     return F.when(n == 0, F.lit(0.0)).when(n <= size, F.size(F.array_distinct(t)) / n).otherwise(mean)
@@ -92,22 +100,29 @@ def repeats(a: Column) -> tuple[Column, Column]:
     return F.size(again), let(again, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def single_pass(units: DataFrame, text: str = "text") -> DataFrame:
-    """`units` with word_count, the score of every signal, safeguard and probability."""
-    d = units.withColumn("norm", normalize_ws(F.col(text))).withColumn("words", tokens(F.col("norm"), True)).withColumn("content", tokens(F.col("norm")))
+def drafts() -> list[tuple[str, str, float]]:
+    return [*DRAFTS, *((n, c, w) for n, c, w, _ in GROUPS)]
+
+
+def single_pass(units: DataFrame, text: str = "text", evidence: bool = False) -> DataFrame:
+    """`units` with word_count, the score of every signal, safeguard, probability and the signals of 12 or more.
+
+    With `evidence` also what each signal rests on, as columns e_<signal>.
+    """
+    d = units.withColumn("norm", normalize_ws(F.col(text))).withColumn("words", tokens(F.col("norm"), True)).withColumn("content", F.filter("words", lambda w: ~w.isin(STOP_WORDS)))
     d = d.withColumn("sents", sentences(F.col("norm"))).withColumn("wc", F.size("words"))
     heading = lambda s: F.trim(F.regexp_replace(F.lower(s), "[.!?:;]+$", "")).rlike("(?iu)" + HEADING) & (F.size(tokens(s, True)) <= 8)
-    d = d.withColumn("prose", F.filter("sents", lambda s: ~heading(s)))
-    d = d.withColumn("lens", F.filter(F.transform("prose", lambda s: F.size(tokens(s, True)).cast("double")), lambda n: n > 0))
+    d = d.withColumn("prose", F.filter("sents", lambda s: ~heading(s))).withColumn("prose_words", F.transform("prose", lambda s: tokens(s, True)))
+    d = d.withColumn("lens", F.filter(F.transform("prose_words", lambda w: F.size(w).cast("double")), lambda n: n > 0))
     d = d.withColumn("cv", variation(F.col("lens"))).withColumn("mattr", mattr(F.col("words")))
-    starts = F.filter(F.transform("prose", lambda s: F.array_join(F.slice(tokens(s, True), 1, 3), " ")), lambda s: F.length(s) > 4)
+    starts = F.filter(F.transform("prose_words", lambda w: F.array_join(F.slice(w, 1, 3), " ")), lambda s: F.length(s) > 4)
     d = d.withColumn("start_list", starts).withColumn("grams", ngrams(F.col("content"), 4))
     same_starts, _ = repeats(F.col("start_list"))
-    _, extra = repeats(F.col("grams"))
     wc = F.col("wc")
     share = lambda names: F.size(F.filter("words", lambda w: w.isin(list(names)))) / F.greatest(F.lit(1), wc)
     marks = F.size(F.array_distinct(F.regexp_extract_all(F.regexp_replace("norm", "--|—|–", ""), F.lit(r"[;:!?()\[\]]"), F.lit(0))))
-    d = d.withColumn("gram_score", clamp_score(extra / F.greatest(F.lit(1.0), F.size("content") / 100) * 60))
+    extra = F.size("grams") - F.size(F.array_distinct("grams"))
+    d = d.withColumn("gram_score", clamp_score(extra / F.greatest(F.lit(1.0), F.size("content") / 100) * 60)).withColumn("marks", marks)
     d = d.withColumns({
         "rhythm": clamp_score((1 - F.least(F.lit(1.0), F.col("cv") / 0.55)) * 100 * F.when(F.size("prose") >= 4, 1.0).otherwise(0.6)),
         "lexical": clamp_score(F.greatest(F.lit(0.0), F.lit(0.82) - F.col("mattr")) * 190 + F.col("gram_score") * 0.45),
@@ -115,23 +130,24 @@ def single_pass(units: DataFrame, text: str = "text") -> DataFrame:
         "hedge": clamp_score(share(HEDGES) * 3500),
         "starts": clamp_score(same_starts / F.greatest(F.lit(1), F.size("start_list")) * 170),
         "impersonal": clamp_score(F.least(F.lit(1.0), matches(F.col("norm"), bounded(IMPERSONAL)) / F.greatest(F.lit(1.0), wc / 240) / 2.4) * 100),
-        "punctuation": F.when((F.size("sents") >= 6) & (marks <= 1), 25).otherwise(0),
+        "punctuation": F.when((F.size("sents") >= 6) & (F.col("marks") <= 1), 25).otherwise(0),
         "placeholder": F.col("norm").rlike("(?iu)" + PLACEHOLDER),
     } | {
         name: clamp_score(F.least(F.lit(1.0), sum(matches(F.col("norm"), p) for p in patterns) / F.greatest(F.lit(1.0), wc / 100) / 2.0) * 100)
         for name, _, _, patterns in GROUPS
     })
     count = lambda p: matches(F.col("norm"), p)
+    d = d.withColumns({"n_cite": count(CITATION), "n_number": count(NUMBER), "n_first": count(bounded(FIRST_PERSON)), "n_quote": count(QUOTE), "structured": F.col("norm").rlike("(?iu)" + bounded(STRUCTURE))})
     d = d.withColumn("safeguard", clamp_score(
-        count(CITATION) * 12 + F.least(F.lit(20.0), count(NUMBER) * 2.5) + F.least(F.lit(15.0), count(bounded(FIRST_PERSON)) * 3.5) + count(QUOTE) * 10
-        + F.when(wc < 180, 15).otherwise(0) + F.when(F.col("placeholder"), 85).otherwise(0) + F.when(F.col("norm").rlike("(?iu)" + bounded(STRUCTURE)), 25).otherwise(0)
+        F.col("n_cite") * 12 + F.least(F.lit(20.0), F.col("n_number") * 2.5) + F.least(F.lit(15.0), F.col("n_first") * 3.5) + F.col("n_quote") * 10
+        + F.when(wc < 180, 15).otherwise(0) + F.when(F.col("placeholder"), 85).otherwise(0) + F.when(F.col("structured"), 25).otherwise(0)
     ))
-    drafts = [*DRAFTS, *((n, c, w) for n, c, w, _ in GROUPS)]
+    names = drafts()
     for channel in CHANNELS:
-        own = [F.when(F.col(n) > 0, F.col(n) * min(1.15, max(0.45, w))) for n, c, w in drafts if c == channel]
+        own = [F.when(F.col(n) > 0, F.col(n) * min(1.15, max(0.45, w))) for n, c, w in names if c == channel]
         top = F.reverse(F.array_sort(F.filter(F.array(*own), lambda x: x.isNotNull())))
-        d = d.withColumn(f"c_{channel}", sum(F.coalesce(F.get(top, F.lit(k)), F.lit(0.0)) * w for k, w in enumerate((0.55, 0.30, 0.15))))
-    scores = F.array(*[F.col(n) for n, _, _ in drafts])
+        d = d.withColumn(f"c_{channel}", clamp_score(sum(F.coalesce(F.get(top, F.lit(k)), F.lit(0.0)) * w for k, w in enumerate((0.55, 0.30, 0.15)))))
+    scores = F.array(*[F.col(n) for n, _, _ in names])
     strong, weak = F.reverse(F.array_sort(F.filter(scores, lambda x: x >= 30))), F.size(F.filter(scores, lambda x: x >= 12))
     d = d.withColumn("strong_list", strong).withColumn("weak", weak)
     active = sum(F.when(F.col(f"c_{c}") >= 14, 1).otherwise(0) for c in CHANNELS)
@@ -140,44 +156,113 @@ def single_pass(units: DataFrame, text: str = "text") -> DataFrame:
     raw = weighted * F.when(active >= 3, 1.1).when(active == 2, 1.0).otherwise(0.78) * length
     raw = raw + F.greatest(F.lit(0), F.size("strong_list") - 1) * 4 + F.greatest(F.lit(0), F.col("weak") - 3) * 1.5
     best = F.slice("strong_list", 1, 3)
-    mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.lit(1), F.size(best))
+    mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x / F.greatest(F.lit(1), F.size(best)))
     floor = F.when(F.col("leak") >= 40, 45.0).when(F.size("strong_list") >= 3, F.greatest(F.lit(22.0), mean * 0.5)).when(F.col("weak") >= 5, 12.0).when(F.col("weak") >= 2, 5.0).otherwise(0.0)
     repeated = F.when(F.col("gram_score") > 60, F.col("gram_score") * 0.6).otherwise(0.0)
     d = d.withColumn("p", F.when(F.col("placeholder"), F.least(F.lit(10.0), weighted)).otherwise(F.greatest(raw, repeated, floor)))
     d = d.withColumn("probability", F.when(wc < 10, 0).otherwise(clamp_score(F.col("p"))))
-    return d.select(*units.columns, F.col("wc").alias("word_count"), *[n for n, _, _ in drafts], "safeguard", F.size("strong_list").alias("strong"), "weak", "probability")
+    ranked = F.array_sort(F.filter(F.array(*[F.struct((-F.col(n)).alias("minus"), F.lit(k).alias("k"), F.lit(LABELS[n]).alias("label")) for k, (n, _, _) in enumerate(names)]), lambda x: x["minus"] <= -12))
+    ranked = F.transform(ranked, lambda x: F.concat(x["label"], F.lit(": "), (-x["minus"]).cast("string"), F.lit("%")))
+    d = d.withColumn("ranked", F.when(wc < 10, F.array().cast("array<string>")).otherwise(ranked))
+    own = _evidence(d) if evidence else {}
+    return d.withColumns(own).select(*units.columns, wc.alias("word_count"), *[n for n, _, _ in names], "safeguard", F.size("strong_list").alias("strong"), "weak", "probability", "ranked", *own)
+
+
+def _evidence(d: DataFrame) -> dict[str, Column]:
+    norm, none = F.col("norm"), F.array().cast("array<string>")
+    # a filter over the repeated ones, which `array_except` of single ones would have to compare in pairs
+    again = lambda c: let(F.sort_array(c), lambda s: F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1) == x)) | ((i < F.size(s) - 1) & (F.get(s, i + 1) == x))))
+    counted = lambda c: let(again(c), lambda a: F.transform(F.array_intersect(c, a), lambda x: F.struct(x.alias("x"), F.size(F.filter(a, lambda y: y == x)).alias("n"))))
+    shown = lambda a: F.slice(F.transform(a, lambda e: F.concat(e["x"], F.lit(" ("), e["n"].cast("string"), F.lit("x)"))), 1, 4)
+    by_count = lambda a: F.transform(F.array_sort(F.transform(a, lambda e, i: F.struct((-e["n"]).alias("m"), i.alias("i"), e.alias("e")))), lambda t: t["e"])
+    rich = F.round(F.col("mattr") * 100).cast("int").cast("string")
+    note = lambda when, *parts: F.when(when, F.concat(*parts))
+    n = lambda c: F.col(c).cast("string")
+    guards = [
+        note(F.col("n_cite") > 0, n("n_cite"), F.lit(" посилань або бібліографічних маркерів")), note(F.col("n_number") >= 3, n("n_number"), F.lit(" числових/фактичних маркерів")),
+        note(F.col("n_first") >= 2, n("n_first"), F.lit(" маркерів авторської позиції")), note(F.col("n_quote") > 0, n("n_quote"), F.lit(" довгих цитат")),
+        note(F.col("wc") < 180, F.lit("короткий текст: нижча надійність AI-оцінки")), note(F.col("placeholder"), F.lit("lorem ipsum / шаблонний наповнювач")),
+        note(F.col("structured"), F.lit("академічна структура: вступ, розділи або висновки не вважаються AI-ознакою")),
+    ]
+    out = {
+        "rhythm": F.when(F.size("sents") >= 2, F.transform(F.slice("lens", 1, 8), lambda x: F.concat(x.cast("int").cast("string"), F.lit(" слів")))).otherwise(none),
+        "lexical": F.concat(F.array(F.concat(F.lit("локальна унікальність словника "), rich, F.lit("%"))), shown(by_count(counted(F.col("grams"))))),
+        "transition": sample_evidence(F.filter("words", lambda w: w.isin(list(TRANSITIONS)))),
+        "hedge": sample_evidence(F.filter("words", lambda w: w.isin(list(HEDGES)))),
+        "starts": shown(counted(F.col("start_list"))),
+        "impersonal": sample_evidence(found(norm, bounded(IMPERSONAL))),
+        "punctuation": F.when(F.col("marks") > 0, F.array(F.concat(n("marks"), F.lit(" типів пунктуації")))).otherwise(none),
+        "safeguard": F.array_compact(F.array(*guards)),
+    } | {name: sample_evidence(F.concat(*[found(norm, java(p)) for p in patterns])) for name, _, _, patterns in GROUPS}
+    return {f"e_{k}": v for k, v in out.items()}
+
+
+def signals(units: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, place, label, category, score, evidence): the visible signals of each text, the highest first, the safeguard last."""
+    d = single_pass(units.select("doc_id", text), text, evidence=True)
+    each = [F.struct((-F.col(n)).alias("minus"), F.lit(k).alias("k"), F.lit(LABELS[n]).alias("label"), F.lit(c).alias("category"), F.col(n).alias("score"), F.col(f"e_{n}").alias("evidence")) for k, (n, c, _) in enumerate(drafts())]
+    shown = F.slice(F.array_sort(F.filter(F.array(*each), lambda x: (x["score"] >= 5) | (F.size(x["evidence"]) > 0))), 1, 20)
+    last = F.struct(F.lit(0).alias("minus"), F.lit(99).alias("k"), F.lit(LABELS["safeguard"]).alias("label"), F.lit("safeguard").alias("category"), F.col("safeguard").alias("score"), F.col("e_safeguard").alias("evidence"))
+    d = d.where("word_count >= 10").select("doc_id", F.posexplode(F.concat(shown, F.array(last))).alias("place", "s"))
+    return d.select("doc_id", "place", "s.label", "s.category", "s.score", "s.evidence")
+
+
+def coverage(text: Column, lang: Column) -> Column:
+    """Struct (code, percent): which language a text is in, given its main language; other ones by their scripts' shares."""
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    total = F.greatest(F.lit(1), count(r"\p{L}{2,}"))
+    cyrillic, latin = count(r"\p{IsCyrillic}{2,}") / total, count(r"\p{IsLatin}{2,}") / total
+    as_ = lambda code, percent: F.struct(F.lit(code).alias("code"), (percent if isinstance(percent, Column) else F.lit(percent)).cast("int").alias("percent"))
+    out = F.when(F.length(text) < 50, as_("limited", 0)).when(lang == "uk", as_("uk", 95)).when(lang == "en", as_("en", 95)).when(lang == "ru", as_("limited", 30))
+    return out.when((cyrillic >= 0.18) & (latin >= 0.18), as_("mixed", F.round((cyrillic + latin) * 100))).otherwise(as_("limited", 35))
 
 
 def ensemble(docs: DataFrame, lang: str = "lang") -> DataFrame:
-    """(doc_id, word_count, probability, reliability, level, verdict, segments, spread): documents and windows in one pass."""
-    whole = docs.select("doc_id", F.lit(-1).alias("window_index"), "text", F.col(lang).alias("lang"))
-    parts = analysis_windows(docs).select("doc_id", "window_index", F.col("window_text").alias("text"), F.lit(None).cast("string").alias("lang"))
-    s = single_pass(whole.unionByName(parts)).select("doc_id", "window_index", "lang", "word_count", "probability", "strong", "weak")
+    """One row per row of `docs`: doc_id, word_count, probability, verdict, reliability, level, reason, language, percent,
+    exclusions, spread, and the five most suspicious segments with their places.
+
+    Texts are prepared first; documents and their windows are scored in one pass.
+    """
+    made = analysis_text(docs, lang).withColumn("unit", F.monotonically_increasing_id())
+    made = made.withColumn("cover", coverage(F.col("text"), F.col(lang)))
+    facts = F.struct("doc_id", F.col("cover.code").alias("language"), F.col("cover.percent").alias("percent"), "code_words", "quoted_words", "reference_words")
+    # the whole and the windows of a document come from one explode, so a text is prepared once
+    wins = F.transform(window_starts(F.size("w")), lambda st, i: F.struct(i.alias("window_index"), (st + 1).alias("start_word"), F.least(st + SIZE, F.size("w")).alias("end_word"), F.array_join(F.slice("w", st + 1, SIZE), " ").alias("text")))
+    all_ = F.struct(F.lit(-1).alias("window_index"), F.lit(0).alias("start_word"), F.lit(0).alias("end_word"), F.col("text").alias("text"))
+    wins = F.when(F.size("w") > 0, F.concat(F.array(all_), wins)).otherwise(F.array(all_))
+    each = made.withColumn("w", words(F.col("text"))).select("unit", facts.alias("facts"), F.explode(wins).alias("x"))
+    each = each.select("unit", "x.*", F.when(F.col("x.window_index") < 0, F.col("facts")).alias("facts"))
+    excerpt = F.when(F.length("text") > 280, F.concat(F.rtrim(F.substring("text", 1, 277)), F.lit("…"))).otherwise(F.col("text"))
+    s = single_pass(each).select("unit", "window_index", "start_word", "end_word", excerpt.alias("excerpt"), "facts", "word_count", "probability", "strong", F.slice("ranked", 1, 4).alias("evidence"))
     is_doc = F.col("window_index") < 0
-    w = F.when(~is_doc, F.col("probability"))
-    g = s.groupBy("doc_id").agg(
-        F.max(F.when(is_doc, F.col("probability"))).alias("doc"), F.max(F.when(is_doc, F.col("word_count"))).alias("word_count"), F.max(F.when(is_doc, F.col("lang"))).alias("lang"), F.max(F.when(is_doc, F.col("strong"))).alias("strong"),
-        F.array_sort(F.collect_list(w)).alias("ws"), F.count_if((~is_doc) & (F.col("probability") >= 18) & (F.col("weak") > 0)).alias("segments"),
-    )
+    own = lambda c: F.max(F.when(is_doc, F.col(c)))
+    seen = F.when(~is_doc & (F.col("probability") >= 18) & (F.size("evidence") > 0), F.struct((-F.col("probability")).alias("minus"), "window_index", "start_word", "end_word", "excerpt", "evidence"))
+    g = s.groupBy("unit").agg(own("facts").alias("facts"), own("probability").alias("doc"), own("word_count").alias("word_count"), own("strong").alias("strong"), F.array_sort(F.collect_list(F.when(~is_doc, F.col("probability")))).alias("ws"), F.array_sort(F.collect_list(seen)).alias("seen"))
     n = F.size("ws")
     rank = lambda r: F.get("ws", F.greatest(F.lit(0), F.ceil(n * r).cast("int") - 1))
     top = F.slice(F.reverse("ws"), 1, 3)
     mean3 = F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.lit(1), F.size(top))
     low, high = F.coalesce(F.array_min("ws"), F.lit(0)), F.coalesce(F.array_max("ws"), F.lit(0))
-    mixed = F.col("doc") * 0.36 + rank(0.5) * 0.14 + rank(0.75) * 0.20 + mean3 * 0.22 + F.size(F.filter("ws", lambda x: x >= 35)) / n * 8
+    mixed = F.col("doc") * 0.36 + rank(0.5) * 0.14 + rank(0.75) * 0.20 + mean3 * 0.22 + F.size(F.filter("ws", lambda x: x >= 35)) / n * 100 * 0.08
     floor = F.when(high >= 35, high * 0.56).when(mean3 >= 24, mean3 * 0.48).otherwise(0.0)
-    g = g.withColumn("probability", F.when(n <= 1, F.col("doc")).otherwise(clamp_score(F.greatest(mixed, floor)))).withColumn("spread", high - low).withColumn("limited", ~F.coalesce(F.col("lang"), F.lit("")).isin("en", "uk"))
-    wc = F.col("word_count")
-    parts_ = (
+    g = g.withColumn("probability", F.when(n <= 1, F.col("doc")).otherwise(clamp_score(F.greatest(mixed, floor)))).withColumn("spread", high - low)
+    code, wc = F.col("facts.language"), F.col("word_count")
+    scored = clamp_score(
         clamp_score(F.least(F.lit(1.0), F.greatest(F.lit(0), wc - 60) / 740) * 100) * 0.42 + clamp_score(F.least(F.lit(1.0), n / 6) * 100) * 0.2
         + clamp_score(100 - F.least(F.lit(100.0), F.col("spread") * 1.45)) * 0.23 + clamp_score(F.least(F.lit(1.0), F.col("strong") / 4) * 100) * 0.15
     )
     cap = F.when(wc < 80, 18).when(wc < 120, 30).when(wc < 240, 48).otherwise(100)
-    g = g.withColumn("reliability", F.least(clamp_score(parts_), cap, F.when(F.col("limited"), 28).otherwise(100)))
+    g = g.withColumn("reliability", F.least(scored, cap, F.when(code == "limited", 28).when(code == "mixed", 58).otherwise(100)))
     g = g.withColumn("level", F.when(F.col("reliability") >= 72, "high").when(F.col("reliability") >= 45, "medium").otherwise("low"))
+    reason = (
+        F.when(wc < 80, "short").when(code == "limited", "language").when(wc < 120, "unsteady").when(F.col("spread") >= 45, "mixed-origin").when(n < 3, "few-segments")
+        .when(F.col("level") == "high", "agreed").otherwise("moderate")
+    )
     p = F.col("probability")
+    lowest, highest = F.coalesce(F.array_min("ws"), p), F.coalesce(F.array_max("ws"), p)
     verdict = (
-        F.when(wc < 80, "insufficient").when(F.col("limited"), "uncertain").when((high >= 35) & (low <= 28) & (high - low >= 28), "mixed").when(p >= 70, "high").when(p >= 45, "elevated")
-        .when((F.col("level") == "low") | (p >= 12) | (F.col("segments") > 0), "uncertain").otherwise("low")
+        F.when(wc < 80, "insufficient").when(code == "limited", "uncertain").when((highest >= 35) & (lowest <= 28) & (highest - lowest >= 28), "mixed").when(p >= 70, "high").when(p >= 45, "elevated")
+        .when((F.col("level") == "low") | (p >= 12) | (F.size("seen") > 0), "uncertain").otherwise("low")
     )
-    return g.select("doc_id", "word_count", "probability", "reliability", "level", verdict.alias("verdict"), "segments", "spread")
+    segments = F.transform(F.slice("seen", 1, 5), lambda x: F.struct(x["window_index"].alias("index"), x["start_word"].alias("start_word"), x["end_word"].alias("end_word"), (-x["minus"]).alias("score"), x["excerpt"].alias("excerpt"), x["evidence"].alias("evidence")))
+    return g.select(F.col("facts.doc_id").alias("doc_id"), "word_count", "probability", verdict.alias("verdict"), "reliability", "level", reason.alias("reason"), code.alias("language"), "facts.percent", "facts.code_words", "facts.quoted_words", "facts.reference_words", n.alias("windows"), "spread", segments.alias("segments"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import align, corpus, match, prep, rewrite, state, stylometry
+from inkspan.operators import align, corpus, match, prep, probe, report, rewrite, state, stylometry
 from inkspan.operators.sequence import analysis_windows, chunks, full_coverage, winnow
+from inkspan.plans import oracles as O
+from inkspan.sources import html
 from inkspan.sources.files import page_texts
 
 
@@ -21,7 +23,12 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_stats(s, d):
-    return _t(s, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("n_words"), F.size(T.tokens(F.col("text"), True)).alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("text")))).alias("n_distinct"))
+    # the text is normalised once, and its tokens are found once
+    def counted(n):
+        content = lambda t: F.size(F.array_distinct(F.filter(t, lambda x: ~x.isin(T.STOP_WORDS))))
+        return T.let(T.tokens(n, True), lambda t: F.struct(F.size(T.words(n, True)).alias("n_words"), F.size(t).alias("n_tokens"), content(t).alias("n_distinct")))
+
+    return _t(s, d, "documents").select("doc_id", T.let(T.normalize_ws(F.col("text")), counted).alias("c")).select("doc_id", "c.*")
 
 
 def chunk_settings(s, d):
@@ -124,7 +131,7 @@ def unlabelled(s, d):
 
 def rerank_cosine(s, d):
     v = _t(s, d, "embeddings")
-    return corpus.rerank(v, v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10).select("query_id", "vec_id", "rank")
+    return corpus.rerank(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10).select("query_id", "vec_id", "rank")
 
 
 def index_to_text(s, d):
@@ -138,51 +145,156 @@ def type_token_ratio(s, d):
 
 
 def stylometry_units(s, d):
-    return stylometry.single_pass(_t(s, d, "documents").select("doc_id", "text")).drop("text")
+    return stylometry.single_pass(_t(s, d, "documents").select("doc_id", "text")).drop("text").withColumn("ranked", F.array_join("ranked", "; "))
+
+
+def signals(s, d):
+    return stylometry.signals(_t(s, d, "documents")).drop("evidence")
 
 
 def stylometry_verdicts(s, d):
-    return stylometry.ensemble(_t(s, d, "documents"))
+    return stylometry.ensemble(_t(s, d, "documents")).withColumn("segments", F.size("segments"))
+
+
+def suspicious_segments(s, d):
+    v = stylometry.ensemble(_t(s, d, "documents")).select("doc_id", F.posexplode("segments").alias("place", "x"))
+    return v.select("doc_id", "place", "x.index", "x.start_word", "x.end_word", "x.score", "x.excerpt", F.array_join("x.evidence", "; ").alias("evidence"))
 
 
 def verdict_by_label(s, d):
     return stylometry_verdicts(s, d).join(_t(s, d, "labels"), "doc_id").groupBy("quality", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def language_coverage(s, d):
+    return prep.analysis_text(_t(s, d, "documents"), "lang").select("doc_id", stylometry.coverage(F.col("text"), F.col("lang")).alias("c")).select("doc_id", "c.code", "c.percent")
+
+
 def prose_text(s, d):
     return prep.prose(_t(s, d, "documents"))
 
 
+def prose_of_pages(s, d):
+    """The sources of pages, which hold code, as text."""
+    return prep.prose(_t(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", ">", ">\n").alias("text")))
+
+
 def analysis_texts(s, d):
     return prep.analysis_text(_t(s, d, "documents"))
 
 
+def document_texts(s, d):
+    return prep.document_text(_t(s, d, "documents"))
+
+
 def rewritten(s, d):
-    return rewrite.rewrite(_t(s, d, "documents")).select("doc_id", "revised", F.size("changes").alias("n_rules"))
+    r = rewrite.rewrite(_t(s, d, "documents"))
+    changes = F.array_join(F.transform("changes", lambda x: F.concat(x["rule"], F.lit(":"), x["count"].cast("string"))), ", ")
+    return r.select("doc_id", "revised", changes.alias("changes"), "original_words", "revised_words")
 
 
 def revision_diff(s, d):
     c = _t(s, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
-    r = rewrite.rewrite(c).join(c.select("doc_id", F.col("text").alias("original")), "doc_id")
+    r = rewrite.rewrite(c).select("doc_id", "revised").join(c.select("doc_id", F.col("text").alias("original")), "doc_id")
     return align.word_diff(r).select("doc_id", F.size("parts").alias("n_parts"))
 
 
-OWN = (word_stats, chunk_settings, text_chunks, windows, fingerprints, candidate_pairs, ngram_containment, longest_runs, reuse_matches, reuse_scores, page_url_dedupe, page_interleave, page_text, hydrated, diagnostics, rate_limits, job_states, breaker, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, stylometry_verdicts, verdict_by_label, prose_text, analysis_texts, rewritten, revision_diff)
+def probe_queries(s, d):
+    return probe.search_queries(chunks(_t(s, d, "documents")))
+
+
+def deep_probe_queries(s, d):
+    return probe.search_queries(chunks(_t(s, d, "documents")), deep=True)
+
+
+def recommended_settings(s, d):
+    n = T.count_words(F.col("text"))
+    p = _t(s, d, "documents").select("doc_id", report.recommended(n).alias("p")).select("doc_id", "p.*")
+    return p.withColumn("duration", report.duration(F.col("seconds")))
+
+
+def document_modes(s, d):
+    docs = _t(s, d, "documents")
+    per = chunks(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    m = docs.join(per, "doc_id").select("doc_id", report.document_mode(T.count_words(F.col("text")), F.col("n_chunks")).alias("m"))
+    return m.select("doc_id", "m.long", "m.very_long", "m.search_limit", "m.page_limit", "m.concurrency")
+
+
+def accepted_texts(s, d):
+    return report.long_enough(_t(s, d, "documents")).select("doc_id", "accepted")
+
+
+def _snippets(s, d) -> DataFrame:
+    """Benchmark items as search results: snippets of thirty words, whose pages hold the whole."""
+    short = F.array_join(F.slice(T.words(F.col("snippet")), 1, 30), " ")
+    return _corpus(s, d).withColumn("snippet", short).withColumn("source_text", F.lit(None).cast("string"))
+
+
+def scan_matches(s, d):
+    """The scan in two phases: results by their snippets, then the pages of those that come near."""
+    pages = _corpus(s, d).select("url", F.col("source_text").alias("text"))
+    return report.scan(_t(s, d, "documents"), _snippets(s, d), pages).select("doc_id", "chunk_index", "url", "score", "longest_run", "confidence", "rank")
+
+
+def scan_reports(s, d):
+    docs = _t(s, d, "documents")
+    pages = _corpus(s, d).select("url", F.col("source_text").alias("text"))
+    return report.reports(docs, report.scan(docs, _snippets(s, d), pages), stylometry.ensemble(docs), _corpus(s, d), diagnostics(s, d))
+
+
+def page_counters(s, d):
+    e = _t(s, d, "events")
+    reads = e.select((F.col("event_type") != "click").alias("attempted"), F.when(F.col("event_type") != "error", F.col("props")).alias("text"), (F.col("event_type") == "view").alias("cache_hit"), (F.col("event_type") == "error").alias("negative_hit"))
+    return report.page_counters(reads)
+
+
+def search_notes(s, d):
+    return corpus.diagnostics_notes(diagnostics(s, d))
+
+
+def labels_of_scores(s, d):
+    return stylometry_verdicts(s, d).select("doc_id", T.risk_label(F.col("probability")).alias("label"), F.concat("verdict", F.lit("/"), "level").alias("caption"))
+
+
+def plain_as_html(s, d):
+    """Conversations as HTML, and the plain text of it."""
+    c = _t(s, d, "conversations").select("conv_id", "turn", html.from_plain(F.col("text")).alias("html"))
+    return c
+
+
+def rich_round_trip(s, d):
+    return plain_as_html(s, d).select("conv_id", "turn", html.text_of(F.col("html")).alias("text"))
+
+
+def file_facts(s, d):
+    t = _t(s, d, "documents").select("doc_id", report.file_evidence(F.octet_length("text"), T.count_words(F.col("text")), F.length("text"), F.lit("docx")).alias("e"))
+    return t.select("doc_id", "e.size_kb", "e.density", "e.words", "e.chars", "e.format_score")
+
+
+def match_excerpts(s, d):
+    return _t(s, d, "documents").select("doc_id", T.search_excerpt(F.col("text")).alias("excerpt"))
+
+
+def extracted(s, d):
+    return _t(s, d, "documents").select("doc_id", T.extracted_text(F.col("text")).alias("text"))
+
+
+OWN = (
+    word_stats, chunk_settings, text_chunks, windows, fingerprints, candidate_pairs, ngram_containment, longest_runs, reuse_matches, reuse_scores, page_url_dedupe, page_interleave, page_text, hydrated, diagnostics, rate_limits,
+    job_states, breaker, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, prose_text,
+    prose_of_pages, analysis_texts, document_texts, rewritten, revision_diff, probe_queries, deep_probe_queries, recommended_settings, document_modes, accepted_texts, scan_matches, scan_reports, page_counters, search_notes,
+    labels_of_scores, plain_as_html, rich_round_trip, file_facts, match_excerpts, extracted,
+)
 
 
 def queries() -> dict:
     return {f.__name__: f for f in OWN}
 
 
-STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-NORM = f"trim(regexp_replace(coalesce(text, ''), '{T.WS}+', ' ', 'g'))"
-WORDS = f"CASE WHEN {NORM} = '' THEN [] ELSE string_split({NORM}, ' ') END"
-TOKENS = rf"list_filter(regexp_split_to_array(regexp_replace(lower({NORM}), '[^\p{{L}}\p{{N}}\s''-]', ' ', 'g'), '\s+'), lambda t: length(t) > 2)"
+NORM, WORDS, TOKENS, STOP, FNV = O.norm("text"), O.words("text"), O.tokens(O.norm("text")), O.STOP, O.FNV
 GRAMS = "CASE WHEN len(t) >= 5 THEN list_distinct(list_transform(range(1, len(t) - 3), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] || ' ' || t[i + 4])) ELSE [] END"
 PAIRS = f"""td AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents), tb AS MATERIALIZED (SELECT item_id, {TOKENS} AS t FROM benchmark),
 a AS (SELECT doc_id, unnest({GRAMS}) AS g FROM td), b AS (SELECT item_id, unnest({GRAMS}) AS g FROM tb),
 p AS (SELECT doc_id, item_id, count(*) AS shared FROM a JOIN b USING (g) GROUP BY ALL)"""
-FNV = f"list_reduce(list_prepend({T.FNV_START}::BIGINT, list_transform(string_split(g, ''), lambda x: unicode(x)::BIGINT)), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) & {T.MASK})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -215,7 +327,37 @@ SELECT *, (row_number() OVER (ORDER BY pos, provider))::INT AS place FROM q""",
         "history": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
         "report_keys": "SELECT doc_id, sha256(text) || ':balanced' AS key FROM documents",
         "unlabelled": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-        "rerank_cosine": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS c FROM e, (SELECT * FROM e WHERE vec_id < 3) q),
+        "rerank_cosine": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.v, q.v) AS c FROM e, (SELECT * FROM e WHERE vec_id % 100 = 0) q),
 r AS (SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id))::INT AS rank FROM c) SELECT * FROM r WHERE rank <= 10""",
         "index_to_text": f"SELECT doc_id, {NORM} AS text FROM documents WHERE {NORM} <> ''",
+        "chunk_settings": f"WITH c AS (SELECT doc_id, {O.count_words('text')} AS n FROM documents), p AS (SELECT doc_id, n, {O.settings('n')} FROM c) SELECT doc_id, cw AS chunk_words, ov AS overlap, greatest(60, cw - ov) AS step, greatest(1, ceil(greatest(1, n - ov) / greatest(60, cw - ov)))::INT AS max_chunks FROM p",
+        "text_chunks": f"WITH {O.chunk_ctes()} SELECT doc_id, chunk_index, len(cws)::INT AS word_count, array_to_string(cws, ' ') AS chunk_text FROM chunk",
+        "reuse_matches": O.reuse() + " SELECT doc_id, chunk_index, url, score, overlap_percent, ngram_percent, hash_percent, full_text_rank, longest_run, confidence, excerpt, submitted_evidence, source_evidence, rank FROM matches",
+        "reuse_scores": O.reuse() + " " + O.REUSE_SCORE,
+        "type_token_ratio": f"WITH d AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT doc_id, CASE WHEN len(t) = 0 THEN 0.0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / len(t) ELSE list_sum(list_transform(list_append(range(0, len(t) - 49, 25), len(t) - 50), lambda i: len(list_distinct(list_slice(t, i + 1, i + 50))) / 50)) / (len(range(0, len(t) - 49, 25)) + 1) END AS mattr FROM d",
+        "stylometry_units": O.style_units(),
+        "signals": O.signals(),
+        "stylometry_verdicts": f"WITH {O.verdict_ctes()} SELECT * EXCLUDE (segs), least(5, len(segs))::INT AS segments FROM judged",
+        "suspicious_segments": f"WITH {O.verdict_ctes()}, e AS (SELECT doc_id, unnest(list_slice(segs, 1, 5)) AS x, unnest(range(0, least(5, len(segs)))) AS place FROM judged) SELECT doc_id, place::INT AS place, x.index::INT AS index, x.start_word::INT AS start_word, x.end_word::INT AS end_word, x.score AS score, x.excerpt AS excerpt, array_to_string(x.evidence, '; ') AS evidence FROM e",
+        "verdict_by_label": f"WITH {O.verdict_ctes()} SELECT quality, verdict, count(*) AS n FROM judged JOIN labels USING (doc_id) GROUP BY ALL",
+        "language_coverage": f"WITH {O.verdict_ctes()} SELECT doc_id, language AS code, percent FROM judged",
+        "labels_of_scores": f"WITH {O.verdict_ctes()} SELECT doc_id, CASE WHEN probability >= 70 THEN 'high' WHEN probability >= 38 THEN 'medium' ELSE 'low' END AS label, verdict || '/' || level AS caption FROM judged",
+        "prose_text": f"WITH src AS (SELECT doc_id, text AS raw FROM documents), {O.prose_ctes('src', 'doc_id')} SELECT doc_id, prose AS text, code_words, code_blocks FROM prosed",
+        "prose_of_pages": f"WITH src AS (SELECT page_id AS doc_id, replace(html, '>', '>' || chr(10)) AS raw FROM pages), {O.prose_ctes('src', 'doc_id')} SELECT doc_id, prose AS text, code_words, code_blocks FROM prosed",
+        "analysis_texts": f"WITH {O.prepared_ctes()} SELECT doc_id, text, analyzed_words, code_words, quoted_words, reference_words FROM ready",
+        "rewritten": O.rewritten(),
+        "probe_queries": O.probes(),
+        "deep_probe_queries": O.probes(True),
+        "document_modes": f"WITH {O.chunk_ctes()}, k AS (SELECT doc_id, count(*) AS c FROM chunk GROUP BY ALL), m AS (SELECT doc_id, n, c, n > 2000 OR c > 18 AS long, n > 8000 OR c > 45 AS very_long FROM c1 JOIN k USING (doc_id)) SELECT doc_id, long, very_long, CASE WHEN very_long THEN 3 WHEN long THEN 4 ELSE 8 END AS search_limit, CASE WHEN very_long THEN 32 WHEN long THEN 48 ELSE 80 END AS page_limit, CASE WHEN very_long THEN 8 ELSE 5 END AS concurrency FROM m",
+        "recommended_settings": f"""WITH a AS (SELECT doc_id, {O.count_words('text')} AS n FROM documents), b AS (SELECT *, CASE WHEN n > 20000 THEN 520 WHEN n > 10000 THEN 460 WHEN n > 5000 THEN 380 WHEN n > 2000 THEN 240 ELSE 120 END AS cw FROM a),
+c AS (SELECT *, least(floor(cw * 0.18), CASE WHEN n > 2000 THEN 44 ELSE 32 END)::INT AS ov FROM b), d AS (SELECT *, CASE WHEN n = 0 THEN 14 ELSE greatest(8, ceil(n / greatest(40, cw - ov)))::INT END AS most FROM c),
+e AS (SELECT *, n > 2000 OR most > 18 AS long, n > 8000 OR most > 45 AS very FROM d),
+f AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(18, 8 + greatest(1, ceil(most / CASE WHEN very THEN 8 ELSE 5 END)) * CASE WHEN very THEN 9 WHEN long THEN 12 ELSE 17 END) END::INT AS seconds FROM e)
+SELECT doc_id, cw AS chunk_words, ov AS overlap_words, most AS max_chunks, seconds, CASE WHEN seconds <= 0 THEN 'після додавання тексту' WHEN seconds < 60 THEN '~' || seconds || ' с' WHEN seconds % 60 > 0 THEN '~' || (seconds // 60) || ' хв ' || (seconds % 60) || ' с' ELSE '~' || (seconds // 60) || ' хв' END AS duration FROM f""",
+        "accepted_texts": "SELECT doc_id, length(coalesce(text, '')) >= 120 AS accepted FROM documents",
+        "page_counters": "SELECT count(*) FILTER (event_type <> 'click') AS attempted, count(*) FILTER (event_type <> 'error' AND props IS NOT NULL) AS verified, count(*) FILTER (event_type = 'error' OR props IS NULL) AS unavailable, count(*) FILTER (event_type = 'view') AS cache_hits, count(*) FILTER (event_type = 'error') AS negative_hits FROM events",
+        "search_notes": "SELECT 'p' || (user_id % 7) AS provider, 'p' || (user_id % 7) || ': ' || count(*) FILTER (event_type <> 'error') || '/' || count(*) || ', ' || count(*) || ' рез.' || CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN ', ' || count(*) FILTER (event_type = 'error') || ' пом.' ELSE '' END AS note FROM events GROUP BY 1",
+        "plain_as_html": f"""SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda p: regexp_replace(p, '^{T.WS}+|{T.WS}+$', '', 'g')), lambda p: p <> ''), lambda p: '<p>' || replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</p>'), '') AS html FROM conversations""",
+        "file_facts": f"WITH a AS (SELECT doc_id, strlen(text) AS b, {O.count_words('text')} AS words, length(text) AS chars FROM documents), k AS (SELECT *, greatest(1, round(b / 1024))::INT AS size_kb FROM a) SELECT doc_id, size_kb, round(words / size_kb * 10) / 10 AS density, words::INT AS words, chars::INT AS chars, 18 AS format_score FROM k",
+        "match_excerpts": f"WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, array_to_string(CASE WHEN len(w) <= 22 THEN w ELSE list_slice(w, len(w) // 2 - 10, len(w) // 2 + 11) END, ' ') AS excerpt FROM d",
     }

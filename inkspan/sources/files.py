@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
@@ -18,7 +19,9 @@ PLAIN = ("txt", "md", "markdown", "csv", "json", "rtf")
 LARGEST, PAGE_LEAST = 50 << 20, 160
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 DROPPED = {"script", "style", "noscript", "svg", "iframe", "nav", "header", "footer", "form"}
-BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"}
+READ, HEAD = {"article", "main"}, {"head", "title"}
+#: The white space of the ECMAScript `\\s`.
+WHITE = re.compile("[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 
 
 def docx_text(raw: bytes) -> str:
@@ -51,41 +54,52 @@ def docx_with(raw: bytes, revised: str) -> bytes:
 
 
 class _Reader(HTMLParser):
+    """The text of the body, and after it that of each article and main within, as the reference has it: their text comes twice."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out, self.skip = [], 0
+        self.parts, self.inside, self.skip, self.head = [[]], [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in DROPPED
-        if tag in BLOCKS:
-            self.out.append("\n")
+        self.head += tag in HEAD
+        if tag in READ and not self.skip:
+            self.inside.append((tag, len(self.parts)))
+            self.parts.append([])
 
     def handle_endtag(self, tag):
         self.skip -= tag in DROPPED and self.skip > 0
-        if tag in BLOCKS:
-            self.out.append("\n")
+        self.head -= tag in HEAD and self.head > 0
+        if tag in READ:
+            for k in range(len(self.inside) - 1, -1, -1):
+                if self.inside[k][0] == tag:
+                    del self.inside[k:]
+                    break
 
     def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data)
+        if not self.skip and not self.head:
+            self.parts[0].append(data)
+            for _, k in self.inside:
+                self.parts[k].append(data)
 
 
 def html_text(html: str | None) -> str:
+    """The readable text of a whole page, in normal white space."""
     r = _Reader()
     r.feed(html or "")
     r.close()  # else text after the last tag that looks like the start of a mark stays in the buffer
-    return " ".join("".join(r.out).split())
+    return WHITE.sub(" ", "".join("".join(p) for p in r.parts)).strip()
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """pages(url, html) -> (url, text), null where a page has too little."""
+    """pages(url, html) -> (url, text), null where a page has too little or isn't on the web."""
 
     @F.pandas_udf("string")
     def go(html: pd.Series) -> pd.Series:
         return html.map(html_text)
 
     t = go("html")
-    return pages.select("url", t.alias("text")).withColumn("text", F.when(F.length("text") > PAGE_LEAST, F.col("text")))
+    return pages.select("url", t.alias("text")).withColumn("text", F.when((F.length("text") > PAGE_LEAST) & F.col("url").rlike("(?i)^https?:"), F.col("text")))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
