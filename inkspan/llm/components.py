@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, as joins and aggregates over edges."""
+"""Connected components by alternating large-star and small-star steps, as joins and aggregates over edges.
+
+Defined results: edges with a null end and loops link nothing; repeated edges count once, in either direction; nodes
+without an edge aren't in the result; no edges give an empty result; other columns than u and v are not looked at.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Every round is written to the shared folder. The largest key of a join is a node's degree, which AQE can split.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

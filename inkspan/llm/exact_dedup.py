@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import ascii_lower, cut
+from inkspan.llm.common import ascii_lower, cut, quoted
 
 SALTS = 16
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    text = ascii_lower(F.coalesce(quoted(text_col).cast("string"), F.lit("")))
+    return docs.select(quoted(id_col).alias("doc_id"), text.alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
 
 
 def _groups(keyed: DataFrame, salts: int) -> DataFrame:
@@ -64,12 +64,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of `docs` that stay, with all their columns. Of rows that agree in id and text, the first in column order stays."""
-    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    staying = docs.withColumn("__key", F.sha2(text, 256)).join(
-        kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi"
-    )
-    return staying.dropDuplicates([id_col, "__key"]).drop("__key")
+    kept = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    text = ascii_lower(F.coalesce(quoted(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("own"), F.sha2(text, 256).alias("key"))
+    staying = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("key") == F.col("sha")), "left_semi")
+    return staying.dropDuplicates(["own", "key"]).select("row.*")
 
 
 ORACLE = """

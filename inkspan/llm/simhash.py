@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import cut
+from inkspan.llm.common import cut, quoted, unused
 from inkspan.llm.components import connected_components
 
 RADIUS, SHINGLE, TILE = 3, 3, 1024
@@ -145,5 +145,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` whose id is the least of their component, and rows without id; all columns stay."""
     comp = simhash_components(docs, id_col, text_col, **how)
-    gone = comp.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = comp.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, quoted(id_col).cast("long") == F.col(name), "left_anti")
