@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ INLINE = (
     r"\btype\s+[A-Za-z_$][0-9A-Za-z_$]*\s*=",
     r"\b(?:[a-z_$][0-9A-Za-z_$]*\.[a-z_$][0-9A-Za-z_$]*|[a-z]+(?:[A-Z][A-Za-z0-9_$]*)+|[a-z_$][0-9A-Za-z_$]*_[a-z_$][0-9A-Za-z_$]*)\s*\([^)]{0,80}\)\s*(?:=>|\{)?",
 )
+#: What a text must hold, in lower case, for each of these to match: all of the groups, any of a group. Most texts need no search.
+NEEDS = ((("sub", "function"),), (("console.log", "document.queryselector", "addeventlistener", "return"),), (("const", "let", "var"), ("=", ":")), (("function",), ("(",)), (("class", "interface"), ("{",)), (("type",), ("=",)), (("(",),))
 TITLE = (r"міністерство\s+освіти", r"заклад\s+вищої\s+освіти", "університет", "кафедра", r"курсова\s+робота", r"кваліфікаційна\s+робота", "виконав(?:ець|ла|)", "керівник", "студент(?:ка|)")
 BODY = r"(?iu)(?<![\p{L}\p{N}_])(вступ|розділ\s*1|розділ\s*i|chapter\s*1|introduction)(?![\p{L}\p{N}_])"
 TAIL = r"(?iu)(?<![\p{L}\p{N}_])(?:список\s+(?:використаних\s+)?джерел|бібліографія|references|bibliography)(?![\p{L}\p{N}_])"
@@ -41,10 +46,8 @@ LONG_QUOTE = r"[\"“„«][^\"”»]{40,}[\"”»]"
 def code_line(line: Column) -> Column:
     t = trim_ws(line)
     dense = F.regexp_count(t, F.lit(r"[{}()\[\];=<>`|]")) / F.greatest(F.lit(1), F.length(t)) > 0.16
-    any_ = F.lit(False)
-    for p in CODE_LINES:
-        any_ = any_ | line.rlike(java(p))
-    return (t != "") & (any_ | t.rlike(java(ASSIGNMENT)) | (dense & ~t.rlike("[А-Яа-яІіЇїЄєҐґ]{3,}")))
+    any_ = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in CODE_LINES)
+    return (t != "") & (line.rlike(java(any_)) | t.rlike(java(ASSIGNMENT)) | (dense & ~t.rlike("[А-Яа-яІіЇїЄєҐґ]{3,}")))
 
 
 def prose_lines(raw: Column) -> Column:
@@ -86,11 +89,13 @@ def prose_lines(raw: Column) -> Column:
 def with_prose(d: DataFrame, text: str) -> DataFrame:
     """`d` with prose, code_words and code_blocks: code lines and then code within lines are taken out."""
     d = d.withColumn("parted", prose_lines(F.col(text))).withColumn("prose", F.col("parted.text")).withColumn("code_words", F.col("parted.code_words"))
-    for p in INLINE:
-        d = d.withColumn("hits", F.regexp_extract_all("prose", F.lit(java(p)), F.lit(0)))
+    d = d.withColumn("low", F.lower("prose"))
+    for p, needs in zip(INLINE, NEEDS):
+        able = reduce(and_, [reduce(or_, [F.col("low").contains(x) for x in any_of]) for any_of in needs])
+        d = d.withColumn("hits", F.when(able, F.regexp_extract_all("prose", F.lit(java(p)), F.lit(0))).otherwise(F.array().cast("array<string>")))
         words = F.aggregate(F.transform("hits", count_words), F.lit(0), lambda s, x: s + x)
         d = d.withColumn("code_words", F.col("code_words") + words).withColumn("prose", F.when(F.size("hits") > 0, F.regexp_replace("prose", java(p), " ")).otherwise(F.col("prose")))
-    return d.withColumn("prose", normalize_ws(F.col("prose"))).withColumn("code_blocks", F.col("parted.blocks")).drop("parted", "hits")
+    return d.withColumn("prose", normalize_ws(F.col("prose"))).withColumn("code_blocks", F.col("parted.blocks")).drop("parted", "hits", "low")
 
 
 def prose(docs: DataFrame, text: str = "text") -> DataFrame:
