@@ -116,6 +116,16 @@ def repaired_name(c: Column) -> Column:
     return F.when(c.rlike("[ÐÑÃâ][\x80-\xbf]"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
 
 
+def redirect_target(c: Column) -> Column:
+    """The address that a redirecting URL carries, or the URL."""
+    return F.coalesce(F.try_url_decode(F.parse_url(c, F.lit("QUERY"), F.lit("uddg"))), c)
+
+
+def grouped_number(c: Column) -> Column:
+    """A whole number with no-break spaces between its groups of three digits."""
+    return F.replace(F.format_number(c, 0), F.lit(","), F.lit("\u00a0"))
+
+
 def report_key(text: Column, sensitivity: Column) -> Column:
     return F.concat(F.sha2(text, 256), F.lit(":"), sensitivity)
 

@@ -86,16 +86,33 @@ def prose_lines(raw: Column) -> Column:
     return let(F.split(F.regexp_replace(F.coalesce(raw, F.lit("")), "\r\n", "\n"), "\n"), parted)
 
 
+def without_inline(d: Column) -> Column:
+    """Struct (text, code_words, blocks) without the code within its lines; each step binds its text once."""
+
+    def step(pattern: str, needs: tuple):
+        def go(x: Column) -> Column:
+            able = reduce(and_, [reduce(or_, [x["low"].contains(n) for n in any_of]) for any_of in needs])
+            found = F.when(able, F.regexp_extract_all(x["text"], F.lit(java(pattern)), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+            def cut(hits: Column) -> Column:
+                left = F.when(F.size(hits) > 0, F.regexp_replace(x["text"], java(pattern), " ")).otherwise(x["text"])
+                words = F.aggregate(F.transform(hits, count_words), F.lit(0), lambda s, h: s + h)
+                return F.struct(left.alias("text"), x["low"].alias("low"), (x["code_words"] + words).alias("code_words"), x["blocks"].alias("blocks"))
+
+            return let(found, cut)
+
+        return go
+
+    out = let(d, lambda x: F.struct(x["text"].alias("text"), F.lower(x["text"]).alias("low"), x["code_words"].alias("code_words"), x["blocks"].alias("blocks")))
+    for pattern, needs in zip(INLINE, NEEDS):
+        out = let(out, step(pattern, needs))
+    return let(out, lambda x: F.struct(normalize_ws(x["text"]).alias("text"), x["code_words"].alias("code_words"), x["blocks"].alias("blocks")))
+
+
 def with_prose(d: DataFrame, text: str) -> DataFrame:
     """`d` with prose, code_words and code_blocks: code lines and then code within lines are taken out."""
-    d = d.withColumn("parted", prose_lines(F.col(text))).withColumn("prose", F.col("parted.text")).withColumn("code_words", F.col("parted.code_words"))
-    d = d.withColumn("low", F.lower("prose"))
-    for p, needs in zip(INLINE, NEEDS):
-        able = reduce(and_, [reduce(or_, [F.col("low").contains(x) for x in any_of]) for any_of in needs])
-        d = d.withColumn("hits", F.when(able, F.regexp_extract_all("prose", F.lit(java(p)), F.lit(0))).otherwise(F.array().cast("array<string>")))
-        words = F.aggregate(F.transform("hits", count_words), F.lit(0), lambda s, x: s + x)
-        d = d.withColumn("code_words", F.col("code_words") + words).withColumn("prose", F.when(F.size("hits") > 0, F.regexp_replace("prose", java(p), " ")).otherwise(F.col("prose")))
-    return d.withColumn("prose", normalize_ws(F.col("prose"))).withColumn("code_blocks", F.col("parted.blocks")).drop("parted", "hits", "low")
+    d = d.withColumn("parted", without_inline(prose_lines(F.col(text))))
+    return d.withColumn("prose", F.col("parted.text")).withColumn("code_words", F.col("parted.code_words")).withColumn("code_blocks", F.col("parted.blocks")).drop("parted")
 
 
 def prose(docs: DataFrame, text: str = "text") -> DataFrame:

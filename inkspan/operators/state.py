@@ -46,6 +46,15 @@ def breaker_step(state: tuple[int, float | None], at: float, ok: bool, threshold
     return (failures, at + open_s if failures >= threshold else None), True
 
 
+def outcomes(log: DataFrame, threshold: int = 3, open_s: float = 60.0) -> DataFrame:
+    """(provider, ts, seq, ok, timed_out, results) -> a row of counters for every task; one that the breaker stopped wasn't attempted."""
+    allowed = circuit_breaker(log, threshold, open_s).select("provider", "seq", "allowed")
+    n = lambda c: c.cast("int")
+    went, ok = F.col("allowed"), F.col("ok")
+    d = log.join(allowed, ["provider", "seq"])
+    return d.select("provider", "seq", n(went).alias("attempted"), n(went & ok).alias("succeeded"), n(went & ~ok).alias("failed"), n(went & ~ok & F.col("timed_out")).alias("timed_out"), F.when(went & ok, F.col("results")).otherwise(0).alias("results"), F.when(~went, "тимчасово призупинено після повторних помилок").alias("skipped_reason"))
+
+
 def circuit_breaker(log: DataFrame, threshold: int = 3, open_s: float = 60.0) -> DataFrame:
     """(provider, ts, seq, ok) -> allowed: replays each provider's log in order, streaming through sorted partitions."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import STOP_WORDS, clamp_score, found, java, let, ngrams, normalize_ws, sample_evidence, sentences, tokens, words
@@ -203,7 +204,9 @@ def signals(units: DataFrame, text: str = "text") -> DataFrame:
     each = [F.struct((-F.col(n)).alias("minus"), F.lit(k).alias("k"), F.lit(LABELS[n]).alias("label"), F.lit(c).alias("category"), F.col(n).alias("score"), F.col(f"e_{n}").alias("evidence")) for k, (n, c, _) in enumerate(drafts())]
     shown = F.slice(F.array_sort(F.filter(F.array(*each), lambda x: (x["score"] >= 5) | (F.size(x["evidence"]) > 0))), 1, 20)
     last = F.struct(F.lit(0).alias("minus"), F.lit(99).alias("k"), F.lit(LABELS["safeguard"]).alias("label"), F.lit("safeguard").alias("category"), F.col("safeguard").alias("score"), F.col("e_safeguard").alias("evidence"))
-    d = d.where("word_count >= 10").select("doc_id", F.posexplode(F.concat(shown, F.array(last))).alias("place", "s"))
+    d = d.select("doc_id", "word_count", F.posexplode(F.concat(shown, F.array(last))).alias("place", "s"))
+    # the zero makes the condition one that isn't pushed down, where the whole preparation of the text would be done once more
+    d = d.where(F.col("word_count") + F.floor(F.rand(0)) >= 10)
     return d.select("doc_id", "place", "s.label", "s.category", "s.score", "s.evidence")
 
 
@@ -237,7 +240,8 @@ def ensemble(docs: DataFrame, lang: str = "lang") -> DataFrame:
     is_doc = F.col("window_index") < 0
     own = lambda c: F.max(F.when(is_doc, F.col(c)))
     seen = F.when(~is_doc & (F.col("probability") >= 18) & (F.size("evidence") > 0), F.struct((-F.col("probability")).alias("minus"), "window_index", "start_word", "end_word", "excerpt", "evidence"))
-    g = s.groupBy("unit").agg(own("facts").alias("facts"), own("probability").alias("doc"), own("word_count").alias("word_count"), own("strong").alias("strong"), F.array_sort(F.collect_list(F.when(~is_doc, F.col("probability")))).alias("ws"), F.array_sort(F.collect_list(seen)).alias("seen"))
+    placed = F.array_sort(F.collect_list(F.when(~is_doc, F.struct((-F.col("probability")).alias("minus"), F.col("window_index").alias("i")))))
+    g = s.groupBy("unit").agg(placed.alias("placed"), own("facts").alias("facts"), own("probability").alias("doc"), own("word_count").alias("word_count"), own("strong").alias("strong"), F.array_sort(F.collect_list(F.when(~is_doc, F.col("probability")))).alias("ws"), F.array_sort(F.collect_list(seen)).alias("seen"))
     n = F.size("ws")
     rank = lambda r: F.get("ws", F.greatest(F.lit(0), F.ceil(n * r).cast("int") - 1))
     top = F.slice(F.reverse("ws"), 1, 3)
@@ -265,4 +269,18 @@ def ensemble(docs: DataFrame, lang: str = "lang") -> DataFrame:
         .when((F.col("level") == "low") | (p >= 12) | (F.size("seen") > 0), "uncertain").otherwise("low")
     )
     segments = F.transform(F.slice("seen", 1, 5), lambda x: F.struct(x["window_index"].alias("index"), x["start_word"].alias("start_word"), x["end_word"].alias("end_word"), (-x["minus"]).alias("score"), x["excerpt"].alias("excerpt"), x["evidence"].alias("evidence")))
-    return g.select(F.col("facts.doc_id").alias("doc_id"), "word_count", "probability", verdict.alias("verdict"), "reliability", "level", reason.alias("reason"), code.alias("language"), "facts.percent", "facts.code_words", "facts.quoted_words", "facts.reference_words", n.alias("windows"), "spread", segments.alias("segments"))
+    return g.select(F.col("facts.doc_id").alias("doc_id"), "word_count", "probability", verdict.alias("verdict"), "reliability", "level", reason.alias("reason"), code.alias("language"), "facts.percent", "facts.code_words", "facts.quoted_words", "facts.reference_words", n.alias("windows"), "spread", segments.alias("segments"), rank(0.75).alias("upper"), F.slice("placed", 1, 4).alias("strongest"))
+
+
+def report_signals(docs: DataFrame, lang: str = "lang") -> DataFrame:
+    """(doc_id, place, label, category, score, evidence): the windows' agreement, the text's own signals, and what was left out; 22 at most."""
+    prepared = analysis_text(docs)
+    own = signals(prepared).select("doc_id", (F.col("place") + 1).alias("place"), "label", "category", "score", "evidence")
+    d = ensemble(docs, lang)
+    told = F.transform("strongest", lambda x: F.concat(F.lit("сегмент "), (x["i"] + 1).cast("string"), F.lit(": "), (-x["minus"]).cast("string"), F.lit("%")))
+    line = lambda place, name, category, score, evidence: (F.lit(place).alias("place"), F.lit(LABELS[name]).alias("label"), F.lit(category).alias("category"), score.alias("score"), evidence.alias("evidence"))
+    agreement = d.where("windows > 1").select("doc_id", *line(0, "segments", "statistical", clamp_score(F.col("upper")), told))
+    left = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(t))) for c, t in (("code_words", " слів коду"), ("quoted_words", " слів у довгих цитатах"), ("reference_words", " слів у списку джерел"))]))
+    excluded = d.where("code_words + quoted_words + reference_words > 0").select("doc_id", *line(99, "excluded", "safeguard", F.lit(0), left))
+    every = agreement.unionByName(own).unionByName(excluded)
+    return every.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("place")) - 1).where("place < 22")

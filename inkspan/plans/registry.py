@@ -153,7 +153,7 @@ def signals(s, d):
 
 
 def stylometry_verdicts(s, d):
-    return stylometry.ensemble(_t(s, d, "documents")).withColumn("segments", F.size("segments"))
+    return stylometry.ensemble(_t(s, d, "documents")).withColumn("segments", F.size("segments")).drop("upper", "strongest")
 
 
 def suspicious_segments(s, d):
@@ -161,6 +161,20 @@ def suspicious_segments(s, d):
     return v.select("doc_id", "place", "x.index", "x.start_word", "x.end_word", "x.score", "x.excerpt", F.array_join("x.evidence", "; ").alias("evidence"))
 
 
+def report_signals(s, d):
+    return stylometry.report_signals(_t(s, d, "documents")).withColumn("evidence", F.array_join("evidence", "; "))
+
+
+def task_outcomes(s, d):
+    e = _t(s, d, "events")
+    log = e.select(F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("provider"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), (F.col("event_id") % 2 == 0).alias("timed_out"), F.lit(3).alias("results"))
+    return state.outcomes(log)
+
+
+def safe_pages(s, d):
+    return _t(s, d, "pages").select("page_id", html.sanitized_rich(F.col("html")).alias("html"))
+
+
 def verdict_by_label(s, d):
     return stylometry_verdicts(s, d).join(_t(s, d, "labels"), "doc_id").groupBy("quality", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
@@ -282,7 +296,7 @@ OWN = (
     word_stats, chunk_settings, text_chunks, windows, fingerprints, candidate_pairs, ngram_containment, longest_runs, reuse_matches, reuse_scores, page_url_dedupe, page_interleave, page_text, hydrated, diagnostics, rate_limits,
     job_states, breaker, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, prose_text,
     prose_of_pages, analysis_texts, document_texts, rewritten, revision_diff, probe_queries, deep_probe_queries, recommended_settings, document_modes, accepted_texts, scan_matches, scan_reports, page_counters, search_notes,
-    labels_of_scores, plain_as_html, rich_round_trip, file_facts, match_excerpts, extracted,
+    labels_of_scores, report_signals, task_outcomes, safe_pages, plain_as_html, rich_round_trip, file_facts, match_excerpts, extracted,
 )
 
 

@@ -199,3 +199,34 @@ def test_durations_and_labels(spark):
     d = spark.createDataFrame([(0,), (42,), (60,), (130,)], "s int").select(report.duration(F.col("s")).alias("d"))
     assert [r.d for r in d.collect()] == ["після додавання тексту", "~42 с", "~1 хв", "~2 хв 10 с"]
     assert one(spark, "HTTP 429 now", T.error_class) == "rate_limit"
+
+
+def test_rich_html_keeps_what_is_allowed():
+    src = '<style>.MsoNormal, p.x { color: red; behavior: url(a) }</style><p class="MsoNormal evil" onclick="x()" style="margin: 1pt; background: url(x)">a <font>b</font><script>c</script><a href="javascript:x" id="q1">d</a><a href="https://e.f">g</a></p><table width="50%" border="9x"><tr><td colspan="2">h</td></tr></table>'
+    assert html.rich_only(src) == '<p class="MsoNormal" style="color:red;margin:1pt">a b<a id="q1">d</a><a href="https://e.f">g</a></p><table width="50%"><tr><td colspan="2">h</td></tr></table>'
+    assert html.rich_only(None) == ""
+
+
+def test_report_signals_begin_with_the_windows(spark):
+    text = "Plain words about rivers and towns fill this line of text. " * 60 + "References. One two three"
+    d = spark.createDataFrame([(1, text, "en"), (2, "this short text holds enough words for signals but not for more than one window here", "en")], "doc_id int, text string, lang string")
+    rows = sorted(stylometry.report_signals(d).collect(), key=lambda r: (r.doc_id, r.place))
+    own = [r for r in rows if r.doc_id == 1]
+    assert own[0].label == stylometry.LABELS["segments"] and own[0].evidence[0].startswith("сегмент ") and own[-1].label == stylometry.LABELS["excluded"] and own[-1].evidence == ["4 слів у списку джерел"]
+    assert [r.place for r in own] == list(range(len(own))) and rows[-1].label == stylometry.LABELS["safeguard"]
+
+
+def test_stopped_tasks_are_not_attempted(spark):
+    from inkspan.operators import state
+
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([("p", t, k, False, k == 1, 3) for k in range(1, 6)] + [("q", t, 9, True, False, 3)], "provider string, ts timestamp, seq long, ok boolean, timed_out boolean, results int")
+    got = {r.seq: r for r in state.outcomes(log, 3, 60.0).collect()}
+    assert [got[k].attempted for k in (1, 2, 3, 4, 5)] == [1, 1, 1, 0, 0] and got[1].timed_out == 1 and got[4].skipped_reason and got[9].results == 3
+    merged = {r.provider: r for r in corpus.merge_diagnostics(state.outcomes(log, 3, 60.0), "seq").collect()}
+    assert (merged["p"].attempted, merged["p"].failed, merged["q"].results) == (3, 3, 3)
+
+
+def test_small_texts(spark):
+    assert one(spark, "https://d.com/l/?uddg=https%3A%2F%2Fa.b%2Fc", T.redirect_target) == "https://a.b/c" and one(spark, "https://a.b/", T.redirect_target) == "https://a.b/"
+    assert one(spark, "1234567", lambda c: T.grouped_number(c.cast("long"))) == "1 234 567"
