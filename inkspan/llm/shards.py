@@ -107,7 +107,8 @@ def write_shards(docs: DataFrame, path: str | None = None, limit: int = LIMIT, k
     """Write the rows of `docs`, one folder and one file a shard, and return the path. The folders' column is `shard`, with underscores if there is one."""
     path, name = path or scratch(session(docs), "shards"), unused("shard", docs)
     placed = place(docs, limit, key_col, id_col, text_col).select("row.*", F.col("shard_id").alias(name))
-    placed.repartition(int(session(docs).conf.get("spark.sql.shuffle.partitions")), name).write.partitionBy(name).parquet(path)
+    # a shard lies in one task; more tasks than usual keep few shards from meeting in one
+    placed.repartition(4 * int(session(docs).conf.get("spark.sql.shuffle.partitions")), name).write.partitionBy(name).parquet(path)
     return path
 
 
