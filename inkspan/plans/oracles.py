@@ -89,12 +89,15 @@ def winnowed(g: str) -> str:
     return f"CASE WHEN len({g}) = 0 THEN [] ELSE list_distinct(list_transform(range(1, len({g}) - least(4, len({g})) + 2), lambda i: list_min(list_slice({h}, i, i + least(4, len({g})) - 1)))) END"
 
 
-def reuse(s: Settings = Settings()) -> str:
+ITEMS = f"SELECT 'item:' || item_id AS url, CASE WHEN {count_words('text')} >= 18 THEN text ELSE 'item ' || item_id || ' ' || text END AS cand, text <> '' AS page FROM benchmark"
+
+
+def reuse(s: Settings = Settings(), candidates: str = ITEMS) -> str:
     """All pairs that share two neighbouring tokens or three of content, scored; without either a score is 21 at most."""
     return f"""WITH {chunk_ctes(s)},
 a0 AS MATERIALIZED (SELECT doc_id, chunk_index, array_to_string(cws, ' ') AS t, array_to_string(list_slice(cws, 1, 48), ' ') AS excerpt FROM chunk),
 a AS MATERIALIZED (SELECT *, {tokens('t')} AS sr, list_filter({tokens('t')}, lambda t: t NOT IN ({STOP})) AS st FROM a0),
-b0 AS MATERIALIZED (SELECT 'item:' || item_id AS url, CASE WHEN {count_words('text')} >= 18 THEN text ELSE 'item ' || item_id || ' ' || text END AS cand, text <> '' AS page FROM benchmark),
+b0 AS MATERIALIZED ({candidates}),
 b AS MATERIALIZED (SELECT *, list_slice({tokens(norm('cand'))}, 1, 8000) AS cr, list_slice(list_filter({tokens(norm('cand'))}, lambda t: t NOT IN ({STOP})), 1, 8000) AS ct FROM b0),
 ag AS MATERIALIZED (SELECT doc_id, chunk_index, sr, st, excerpt, {grams('sr', 2)} AS g2, {grams('st', 3)} AS g3, {grams('sr', 5)} AS g5 FROM a),
 aw AS MATERIALIZED (SELECT *, {winnowed('g5')} AS ws FROM ag),
@@ -117,6 +120,22 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
 matches AS (SELECT * FROM ranked WHERE rank <= 24)"""
 
 
+def scan(s: Settings = Settings()) -> str:
+    """Both phases: every item as a snippet of thirty words, and as its page; pages count where the snippet comes near."""
+    short = f"array_to_string(list_slice({words('text')}, 1, 30), ' ')"
+    page = f"CASE WHEN {count_words('text')} >= 18 THEN text ELSE 'item ' || item_id || ' ' || {short} END"
+    both = f"SELECT 'item:' || item_id || '|0' AS url, 'item ' || item_id || ' ' || {short} AS cand, false AS page FROM benchmark UNION ALL SELECT 'item:' || item_id || '|1', {page}, true FROM benchmark WHERE text <> ''"
+    return f"""{reuse(s, both)},
+per AS (SELECT doc_id, any_value(n) AS n, count(*) AS c FROM c4 GROUP BY doc_id),
+modes AS (SELECT doc_id, CASE WHEN n > 8000 OR c > 45 THEN 32 WHEN n > 2000 OR c > 18 THEN 48 ELSE 80 END AS page_limit FROM per),
+q0 AS (SELECT * EXCLUDE (url), split_part(url, '|', 1) AS url, split_part(url, '|', 2)::INT AS phase FROM scored),
+near AS (SELECT q0.doc_id, chunk_index, url, page_limit, row_number() OVER (PARTITION BY q0.doc_id ORDER BY score DESC, longest_run DESC, chunk_index, url) AS place FROM q0 JOIN modes USING (doc_id) WHERE phase = 0 AND (score >= {s.threshold - 10} OR longest_run >= 7)),
+every AS (SELECT * FROM q0 WHERE phase = 0 UNION ALL SELECT q0.* FROM q0 SEMI JOIN (SELECT * FROM near WHERE place <= page_limit) USING (doc_id, chunk_index, url) WHERE phase = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, url, chunk_index ORDER BY score DESC, phase) AS z FROM every),
+final AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, longest_run DESC, chunk_index, url)::INT AS rank FROM best WHERE z = 1 AND (score >= {s.threshold} OR longest_run >= 10))
+SELECT doc_id, chunk_index, url, score, longest_run, confidence, rank FROM final WHERE rank <= 24"""
+
+
 REUSE_SCORE = f"""SELECT doc_id, {clamp('sum(score * w) / sum(w)')} AS plagiarism_score FROM
 (SELECT *, greatest(0.35, 1 - i * 0.08) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS i FROM matches WHERE confidence = 'page') WHERE i < 8) GROUP BY doc_id"""
 

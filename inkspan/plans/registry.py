@@ -348,6 +348,7 @@ r AS (SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER B
         "text_chunks": f"WITH {O.chunk_ctes()} SELECT doc_id, chunk_index, len(cws)::INT AS word_count, array_to_string(cws, ' ') AS chunk_text FROM chunk",
         "reuse_matches": O.reuse() + " SELECT doc_id, chunk_index, url, score, overlap_percent, ngram_percent, hash_percent, full_text_rank, longest_run, confidence, excerpt, submitted_evidence, source_evidence, rank FROM matches",
         "reuse_scores": O.reuse() + " " + O.REUSE_SCORE,
+        "scan_matches": O.scan(),
         "type_token_ratio": f"WITH d AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT doc_id, CASE WHEN len(t) = 0 THEN 0.0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / len(t) ELSE list_sum(list_transform(list_append(range(0, len(t) - 49, 25), len(t) - 50), lambda i: len(list_distinct(list_slice(t, i + 1, i + 50))) / 50)) / (len(range(0, len(t) - 49, 25)) + 1) END AS mattr FROM d",
         "stylometry_units": O.style_units(),
         "signals": O.signals(),
