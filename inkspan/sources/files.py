@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import extracted_text
-from inkspan.operators.align import align_paragraphs
+from inkspan.operators.align import align_paragraphs, distribute
 
 PLAIN = ("txt", "md", "markdown", "csv", "json", "rtf")
 LARGEST, PAGE_LEAST = 50 << 20, 160
@@ -31,7 +31,7 @@ def docx_text(raw: bytes) -> str:
 
 
 def docx_with(raw: bytes, revised: str) -> bytes:
-    """The package with the paragraphs' texts replaced; other parts stay as they are."""
+    """The package with the paragraphs' texts replaced, each run's by what belongs to it; other parts stay as they are."""
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(raw)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
         for item in z.infolist():
@@ -44,9 +44,10 @@ def docx_with(raw: bytes, revised: str) -> bytes:
                 old = ["".join(t.text or "" for t in p.iter(WORD + "t")) for p in parts]
                 new = align_paragraphs(old, [x.strip() for x in revised.split("\n\n") if x.strip()])
                 for p, text in zip(parts, new):
-                    for k, t in enumerate(p.iter(WORD + "t")):
-                        t.text = text if k == 0 else ""
-                        if t.text != t.text.strip():
+                    runs = list(p.iter(WORD + "t"))
+                    for t, part in zip(runs, distribute([t.text or "" for t in runs], text)):
+                        t.text = part
+                        if part != part.strip():
                             t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
                 data = ET.tostring(root, encoding="utf-8", xml_declaration=True)
             to.writestr(item, data)

@@ -230,3 +230,35 @@ def test_stopped_tasks_are_not_attempted(spark):
 def test_small_texts(spark):
     assert one(spark, "https://d.com/l/?uddg=https%3A%2F%2Fa.b%2Fc", T.redirect_target) == "https://a.b/c" and one(spark, "https://a.b/", T.redirect_target) == "https://a.b/"
     assert one(spark, "1234567", lambda c: T.grouped_number(c.cast("long"))) == "1 234 567"
+
+
+def _docx(paragraphs):
+    import io
+    import zipfile
+
+    body = "".join("<w:p>" + "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in p) + "</w:p>" for p in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{files.WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/styles.xml", "<styles/>")
+    return out.getvalue()
+
+
+def test_documents_are_read_and_written_run_by_run(spark, tmp_path):
+    import io
+    import zipfile
+
+    raw = _docx([["The ", "quick", " fox &amp; hen"], ["Second paragraph"]])
+    assert files.docx_text(raw) == "The quick fox & hen\n\nSecond paragraph"
+    new = files.docx_with(raw, "The quick dog & hen\n\nSecond paragraph")
+    assert files.docx_text(new) == "The quick dog & hen\n\nSecond paragraph"
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        xml = z.read("word/document.xml").decode()
+        assert "<w:t>quick</w:t>" in xml and "dog &amp; hen</w:t>" in xml and 'space="preserve"' in xml and z.read("word/styles.xml") == b"<styles/>"
+    (tmp_path / "a.docx").write_bytes(raw)
+    (tmp_path / "b.md").write_text("One\r\n\r\n\r\n\r\ntwo  three")
+    (tmp_path / "c.xyz").write_text("x")
+    (tmp_path / "d.docx").write_bytes(b"no zip")
+    got = {r.path.rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert got["a.docx"].text.startswith("The quick fox") and got["b.md"].text == "One\n\ntwo three"
+    assert got["c.xyz"].method == "unsupported" and got["c.xyz"].error and got["d.docx"].text is None and got["d.docx"].error
