@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkspan.llm import decontaminate, exact_dedup, lattice, pii, quality, shards, simhash, token_counts, token_files, url_rules
+from inkspan.llm import byte_bpe, decontaminate, exact_dedup, lattice, merkle, pii, quality, shards, simhash, token_counts, token_files, url_rules, vector_codes
 from inkspan.llm.common import table
 from inkspan.llm.words import tokenizer_path
 
@@ -50,6 +50,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,9 +69,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_shards, op2_decontamination, op3_url_filters, op4_exact_dedup, op5_quality, op6_token_counts, op7_pii, op8_simhash, op9_sentencepiece, op10_token_files, pipeline)
+    own = (op1_shards, op2_decontamination, op3_url_filters, op4_exact_dedup, op5_quality, op6_token_counts, op7_pii, op8_simhash, op9_sentencepiece, op10_token_files, op11_byte_bpe, op12_vector_codes, op13_merkle, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_shards": shards.oracle(), "op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_shards": shards.oracle(), "op4_exact_dedup": exact_dedup.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_merkle": merkle.ORACLE}
