@@ -107,13 +107,14 @@ def url_key(c: Column) -> Column:
 
 def extracted_text(c: Column) -> Column:
     """Extracted text: LF line ends, single spaces, no more than one blank line, trimmed."""
-    t = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), rf"[\t\x0B\f\r \x{{00a0}}\x{{feff}}]+", " ")
+    t = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), WS.replace(r"\n", "") + "+", " ")
     return F.trim(trim_ws(F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), "\n{3,}", "\n\n")))
 
 
 def repaired_name(c: Column) -> Column:
-    """A file name whose UTF-8 bytes were read as Latin-1."""
-    return F.when(c.rlike("[ÐÑÃâ][\x80-\xbf]"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+    """A file name whose UTF-8 bytes were read as Latin-1: each character's low byte, as UTF-8, what isn't valid replaced."""
+    low = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.lpad(F.hex(F.ascii(x).bitwiseAND(F.lit(255))), 2, "0"))
+    return F.when(c.rlike(r"[ÐÑÒÃÂ]|\x{fffd}"), F.make_valid_utf8(F.unhex(F.array_join(low, "")).cast("string"))).otherwise(c)
 
 
 def redirect_target(c: Column) -> Column:
@@ -144,9 +145,17 @@ def risk_label(c: Column) -> Column:
     return F.when(c >= 70, "high").when(c >= 38, "medium").otherwise("low")
 
 
-def error_class(c: Column) -> Column:
-    t = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(t.rlike("rate.?limit|429"), "rate_limit").when(t.rlike("quota"), "quota").when(t.rlike("abort|timeout"), "timeout").when(t == "", "empty").otherwise(F.substring(c, 1, 180))
+def error_sentence(c: Column) -> Column:
+    """What a failed request is told as: by its kind, else the first 180 characters of its message."""
+    kind = lambda p: c.rlike("(?i)" + p)
+    # The report's sentences.
+    told = (
+        F.when(kind("rate.?limit|429"), "модель тимчасово обмежена лімітом запитів")
+        .when(kind("out of credits|quota"), "у провайдера закінчилася квота")
+        .when(kind("aborted|timeout"), "модель не відповіла вчасно")
+        .when(kind("empty response"), "модель повернула порожню відповідь")
+    )
+    return F.coalesce(told.otherwise(F.substring(c, 1, 180)), F.lit(""))
 
 
 def timed_out(c: Column) -> Column:

@@ -13,27 +13,27 @@ from inkspan.functions.text import count_words, java, let, normalize_ws, trim_ws
 # What marks a line of code, a title page, a body, a bibliography.
 CODE_LINES = (
     r"^\s*(?:import\s+.+\s+from\s+|export\s+(?:default\s+)?(?:function|class|const|let|var)\b)",
-    r"^\s*(?:const|let|var)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:=|:)",
-    r"^\s*(?:function\s+[A-Za-z_$][0-9A-Za-z_$]*\s*\(|class\s+[A-Za-z_$][0-9A-Za-z_$]*(?:\s+extends\s+[A-Za-z_$][0-9A-Za-z_$]*)?\s*\{|(?:interface|type|enum)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:\{|=))",
+    r"^\s*(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*(?:=|:)",
+    r"^\s*(?:function\s+[A-Za-z_$][\w$]*\s*\(|class\s+[A-Za-z_$][\w$]*(?:\s+extends\s+[A-Za-z_$][\w$]*)?\s*\{|(?:interface|type|enum)\s+[A-Za-z_$][\w$]*\s*(?:\{|=))",
     r"^\s*(?:return\b|if\s*\(|else\s*\{|for\s*\(|while\s*\(|switch\s*\(|case\s+.+:|try\s*\{|catch\s*\()",
-    r"^\s*(?:(?:public|private|protected)\s+(?:async\s+)?[A-Za-z_$][0-9A-Za-z_$]*\s*(?:\(|:|=)|def\s+[A-Za-z_][0-9A-Za-z_]*\s*\(|from\s+[0-9A-Za-z_.]+\s+import\s+|(?:package|using|namespace)\s+[0-9A-Za-z_.]+)",
-    r"(?i)^\s*(?:end\s+(?:sub|function|with)|(?:private|public)\s+(?:sub|function)\s+[0-9A-Za-z_]+|(?:sub|function)\s+[0-9A-Za-z_]+\s*\(|dim\s+[0-9A-Za-z_]+(?:\s+as\b|\s*=)|set\s+[0-9A-Za-z_]+\s*=|call\s+[0-9A-Za-z_]+\s*\(|next\b|loop\b)",
+    r"^\s*(?:(?:public|private|protected)\s+(?:async\s+)?[A-Za-z_$][\w$]*\s*(?:\(|:|=)|def\s+[A-Za-z_][\w]*\s*\(|from\s+[\w.]+\s+import\s+|(?:package|using|namespace)\s+[\w.]+)",
+    r"(?i)^\s*(?:end\s+(?:sub|function|with)|(?:private|public)\s+(?:sub|function)\s+\w+|(?:sub|function)\s+\w+\s*\(|dim\s+\w+(?:\s+as\b|\s*=)|set\s+\w+\s*=|call\s+\w+\s*\(|next\b|loop\b)",
     r"^\s*[{}()\[\];,.<>/]*\s*$",
     r"(?i)^\s*</?[a-z][^>]*>\s*$",
-    r"^\s*[\"']?[A-Za-z0-9_$-]+[\"']?\s*:\s*[\"'{\[0-9]",
+    r"^\s*[\"']?[A-Za-z0-9_$-]+[\"']?\s*:\s*[\"'{\[\d]",
     r"^\s*[.#]?[A-Za-z0-9_-]+\s*\{",
 )
 FENCE = r"^\s*```"
-ASSIGNMENT = r"=>|===|!==|==|!=|\+\+|--|\.[0-9A-Za-z_]+\(|:\s*(?:string|number|boolean|unknown|void)\b"
-SURE = r"\b(?:const|let|var)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*=|=>|===|!==|\.[0-9A-Za-z_]+\(|^\s*(?:import|export|function|class|def)\b"
+ASSIGNMENT = r"=>|===|!==|==|!=|\+\+|--|\.\w+\(|:\s*(?:string|number|boolean|unknown|void)\b"
+SURE = r"\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=|=>|===|!==|\.\w+\(|^\s*(?:import|export|function|class|def)\b"
 INLINE = (
     r"(?i)\b(?:end\s+sub|private\s+sub|public\s+sub|end\s+function|private\s+function|public\s+function)\b",
     r"(?i)\b(?:console\.log|document\.querySelector|addEventListener|return\s+false|return\s+true)\b",
-    r"\b(?:const|let|var)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:=|:\s*(?:string|number|boolean|unknown|object)\b)",
-    r"\bfunction\s+[A-Za-z_$][0-9A-Za-z_$]*\s*\([^)]{0,80}\)",
-    r"\b(?:class|interface)\s+[A-Za-z_$][0-9A-Za-z_$]*\s*(?:extends\s+[A-Za-z_$][0-9A-Za-z_$]*\s*)?\{",
-    r"\btype\s+[A-Za-z_$][0-9A-Za-z_$]*\s*=",
-    r"\b(?:[a-z_$][0-9A-Za-z_$]*\.[a-z_$][0-9A-Za-z_$]*|[a-z]+(?:[A-Z][A-Za-z0-9_$]*)+|[a-z_$][0-9A-Za-z_$]*_[a-z_$][0-9A-Za-z_$]*)\s*\([^)]{0,80}\)\s*(?:=>|\{)?",
+    r"\b(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*(?:=|:\s*(?:string|number|boolean|unknown|object)\b)",
+    r"\bfunction\s+[A-Za-z_$][\w$]*\s*\([^)]{0,80}\)",
+    r"\b(?:class|interface)\s+[A-Za-z_$][\w$]*\s*(?:extends\s+[A-Za-z_$][\w$]*\s*)?\{",
+    r"\btype\s+[A-Za-z_$][\w$]*\s*=",
+    r"\b(?:[a-z_$][\w$]*\.[a-z_$][\w$]*|[a-z]+(?:[A-Z][A-Za-z0-9_$]*)+|[a-z_$][\w$]*_[a-z_$][\w$]*)\s*\([^)]{0,80}\)\s*(?:=>|\{)?",
 )
 #: What a text must hold, in lower case, for each of these to match: all of the groups, any of a group. Most texts need no search.
 NEEDS = ((("sub", "function"),), (("console.log", "document.queryselector", "addeventlistener", "return"),), (("const", "let", "var"), ("=", ":")), (("function",), ("(",)), (("class", "interface"), ("{",)), (("type",), ("=",)), (("(",),))

@@ -32,7 +32,7 @@ GROUPS = (
         r"(?:не лише|не тільки)[\s\S]{0,90}(?:а й|але й)",
         "по-перше|по-друге|по-третє",
         "firstly|secondly|thirdly",
-        r"[0-9]\.\s.*[0-9]\.\s.*[0-9]\.\s",
+        r"\d\.\s.*\d\.\s.*\d\.\s",
     )),
     ("academic", "pattern", 0.55, (
         r"у\s+роботі\s+(?:розглянуто|проаналізовано|досліджено|визначено|узагальнено)",
@@ -48,7 +48,7 @@ GROUPS = (
 )
 IMPERSONAL = "розглянуто|проаналізовано|досліджено|визначено|встановлено|узагальнено|систематизовано|обґрунтовано|виявлено|сформовано|запропоновано|охарактеризовано"
 CITATION = r"\[[0-9]{1,3}\]|\([A-ZА-ЯІЇЄҐ][\p{L}'-]+,\s*20[0-9]{2}\)|https?://\S+|doi:\s*\S+"
-NUMBER = r"\b[0-9]+(?:[.,][0-9]+)?\s*(?:%|грн|uah|usd|км|м|року|р\.|рік|years?)?\b"
+NUMBER = r"\b\d+(?:[.,]\d+)?\s*(?:%|грн|uah|usd|км|м|року|р\.|рік|years?)?\b"
 FIRST_PERSON = "я|мені|мою|моє|ми|наш|наша|i|my|we|our"
 QUOTE = r"[\"“„«][^\"”»]{12,}[\"”»]"
 PLACEHOLDER = "lorem ipsum|consectetur adipiscing|suspendisse potenti"

@@ -48,16 +48,18 @@ def fingerprints(s, d):
     return b.select("item_id", F.explode("fp").alias("fingerprint"))
 
 
+def _grams(table, key: str) -> DataFrame:
+    return table.select(key, match.gram_hashes(T.tokens(F.col("text"), True), 5).alias("fp"))
+
+
 def candidate_pairs(s, d):
     """Documents and benchmark items that share a 5-gram, with how many."""
-    a = _t(s, d, "documents").select("doc_id", T.tokens(F.col("text"), True).alias("t")).select("doc_id", "t", T.ngrams(F.col("t"), 5).alias("fp"))
-    b = _t(s, d, "benchmark").select("item_id", T.tokens(F.col("text"), True).alias("t")).select("item_id", "t", T.ngrams(F.col("t"), 5).alias("fp"))
-    return match.candidate_pairs(a, b, ["doc_id"], ["item_id"])
+    return match.candidate_pairs(_grams(_t(s, d, "documents"), "doc_id"), _grams(_t(s, d, "benchmark"), "item_id"), ["doc_id"], ["item_id"])
 
 
 def ngram_containment(s, d):
     """Share of an item's distinct 5-grams that a document has, for pairs that share any."""
-    b = _t(s, d, "benchmark").select("item_id", F.size(F.array_distinct(T.ngrams(T.tokens(F.col("text"), True), 5))).alias("n"))
+    b = _grams(_t(s, d, "benchmark"), "item_id").select("item_id", F.size(F.array_distinct("fp")).alias("n"))
     return candidate_pairs(s, d).join(b, "item_id").select("doc_id", "item_id", (F.col("shared") / F.col("n")).alias("containment"))
 
 
@@ -65,7 +67,7 @@ def longest_runs(s, d):
     a = _t(s, d, "documents").select("doc_id", T.tokens(F.col("text"), True).alias("a"))
     b = _t(s, d, "benchmark").select("item_id", T.tokens(F.col("text"), True).alias("b"))
     pairs = candidate_pairs(s, d).select("doc_id", "item_id").join(a, "doc_id").join(b, "item_id")
-    return match.longest_run(pairs, ["doc_id", "item_id"], "a", "b").select("doc_id", "item_id", "longest_run")
+    return pairs.select("doc_id", "item_id", match.common_run(F.col("a"), F.col("b"))["longest_run"].alias("longest_run"))
 
 
 def reuse_matches(s, d):

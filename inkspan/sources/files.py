@@ -18,8 +18,9 @@ from inkspan.operators.align import align_paragraphs, distribute
 PLAIN = ("txt", "md", "markdown", "csv", "json", "rtf")
 LARGEST, PAGE_LEAST = 50 << 20, 160
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-DROPPED = {"script", "style", "noscript", "svg", "iframe", "nav", "header", "footer", "form"}
-READ, HEAD = {"article", "main"}, {"head", "title"}
+DROPPED = {"script", "style", "noscript", "svg", "iframe", "nav", "header", "footer", "form", "title"}
+READ = {"article", "main"}
+VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: The white space of the ECMAScript `\\s`.
 WHITE = re.compile("[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 
@@ -55,32 +56,38 @@ def docx_with(raw: bytes, revised: str) -> bytes:
 
 
 class _Reader(HTMLParser):
-    """The text of the body, and after it that of each article and main within, as the reference has it: their text comes twice."""
+    """The text of the body, and after it that of each article and main within, as the reference has it: their text comes twice.
+
+    An element ends with its end tag or that of an element around it. What stands in the head is dropped by its own
+    elements; other text and elements there belong to the body, whose tags may be missing.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts, self.inside, self.skip, self.head = [[]], [], 0, 0
+        self.parts, self.open = [[]], []
 
     def handle_starttag(self, tag, attrs):
-        self.skip += tag in DROPPED
-        self.head += tag in HEAD
-        if tag in READ and not self.skip:
-            self.inside.append((tag, len(self.parts)))
+        if tag in VOID:
+            return
+        part = len(self.parts) if tag in READ and not self.dropped() else None
+        if part:
             self.parts.append([])
+        self.open.append((tag, part))
+
+    def handle_startendtag(self, tag, attrs):
+        pass
 
     def handle_endtag(self, tag):
-        self.skip -= tag in DROPPED and self.skip > 0
-        self.head -= tag in HEAD and self.head > 0
-        if tag in READ:
-            for k in range(len(self.inside) - 1, -1, -1):
-                if self.inside[k][0] == tag:
-                    del self.inside[k:]
-                    break
+        at = max((k for k, (name, _) in enumerate(self.open) if name == tag), default=None)
+        if at is not None:
+            del self.open[at:]
+
+    def dropped(self) -> bool:
+        return any(name in DROPPED for name, _ in self.open)
 
     def handle_data(self, data):
-        if not self.skip and not self.head:
-            self.parts[0].append(data)
-            for _, k in self.inside:
+        if not self.dropped():
+            for k in [0, *(part for _, part in self.open if part)]:
                 self.parts[k].append(data)
 
 

@@ -52,10 +52,64 @@ def test_chunks_reach_the_last_word(spark):
     assert len(rows) > 3 and rows[-1].chunk_text.endswith("w419")
 
 
+def runs_of(spark, pairs):
+    d = spark.createDataFrame([(k, s, c) for k, (s, c) in enumerate(pairs)], "k int, s array<string>, c array<string>")
+    got = d.select("k", match.common_run(F.col("s"), F.col("c")).alias("r")).select("k", "r.*").collect()
+    return [(r.longest_run, r.run_start, r.candidate_start) for r in sorted(got, key=lambda r: r.k)]
+
+
 def test_longest_run_takes_the_first_of_equal_ones(spark):
-    d = spark.createDataFrame([(1, "a b c x a b c d".split(), "z a b c d a b".split())], "k int, s array<string>, c array<string>")
-    r = match.longest_run(d, ["k"], "s", "c").first()
-    assert (r.longest_run, r.run_start) == (4, 4)
+    assert runs_of(spark, [("a b c x a b c d".split(), "z a b c d a b".split()), ([], ["a"]), (["a"], ["b"]), (["a"], ["b", "a"])]) == [(4, 4, 1), (0, None, None), (0, None, None), (1, 0, 1)]
+
+
+def test_longest_run_against_all_starts(spark):
+    import random
+
+    r = random.Random(8)
+
+    def plain(s, c):
+        best = (0, None, None)
+        for i in range(len(s)):
+            for j in range(len(c)):
+                n = 0
+                while i + n < len(s) and j + n < len(c) and s[i + n] == c[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        return best
+
+    # few different tokens, so that nearly all repeat, and one token alone
+    pairs = [([r.choice("abc"[: 1 + k % 3]) for _ in range(r.randrange(40))], [r.choice("abc"[: 1 + k % 3]) for _ in range(r.randrange(70))]) for k in range(80)]
+    assert runs_of(spark, pairs) == [plain(s, c) for s, c in pairs]
+
+
+def test_rows_of_one_url_and_of_one_id_are_scored_apart(spark):
+    words = [f"word{k}" for k in range(60)]
+    text, other = " ".join(words), " ".join(words[30:50][::-1] + [f"else{k}" for k in range(40)])
+    schema = "title string, url string, snippet string, source_text string"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    one = [("t", "u", "s", " ".join(words[10:30] + [f"new{k}" for k in range(20)]))]
+    facts = lambda d, rows: [(r.doc_id, r.url, r.score, r.longest_run, r["rank"]) for r in match.reuse(d, spark.createDataFrame(rows, schema)).collect()]
+    alone = facts(docs, one)
+    assert alone[0][3] == 20
+    assert facts(docs, one * 3) == facts(docs, [*one, ("t", "u", "s", other)]) == facts(docs.union(docs), one) == alone
+    two = docs.union(spark.createDataFrame([(1, other)], "doc_id int, text string"))
+    assert facts(two, one) == alone
+
+
+def test_a_shuffled_index_finds_the_same_pairs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(match, "COMMON", 5)
+    r = random.Random(6)
+    common = "every page of this site ends with these very words".split()
+    items = [[f"w{r.randrange(3000)}" for _ in range(50)] + common for _ in range(40)]
+    docs = [(j, " ".join(x if k % (3 + j % 4) else f"new{k}" for k, x in enumerate(t))) for j, t in enumerate(items)] + [(k, " ".join([*common, *(f"d{k}v{j}" for j in range(60))])) for k in range(100, 160)]
+    corpus = spark.createDataFrame([("t", f"u{j}", "s", " ".join(t)) for j, t in enumerate(items)], "title string, url string, snippet string, source_text string")
+    parts = chunks(spark.createDataFrame(docs, "doc_id int, text string"))
+    found = [match.possible_pairs(parts, corpus, Settings(), slight=n) for n in (10**6, 0)]
+    small, large = ({(x.doc_id, x.chunk_index, x.url) for x in f.collect()} for f in found)
+    assert small and small <= large and len({d for d, _, _ in large}) >= 40
 
 
 def test_copied_passage_in_noise(spark):
@@ -114,8 +168,7 @@ def test_reuse_finds_what_scoring_all_pairs_finds(spark, how):
     texts = [("t", f"u{j}", "s", " ".join(t)) for j, t in enumerate(items)] + [("t", "short", " ".join(items[5]), "too short"), ("t", "none", " ".join(items[3]), None)]
     corpus = spark.createDataFrame(texts, "title string, url string, snippet string, source_text string")
     s = Settings(sensitivity=how)
-    pairs = chunks(docs, s).crossJoin(corpus).withColumn("cand_url", F.col("url"))
-    every = match.score_pairs(pairs, ["doc_id", "chunk_index", "cand_url"]).drop("cand_url")
+    every = match.score_pairs(chunks(docs, s).crossJoin(corpus), ["doc_id", "chunk_index"])
     rows = lambda d: {(x.doc_id, x.url, x.score, x.longest_run) for x in d.collect()}
     want = rows(match.ranked_matches(match.unique_matches(every, "url"), s))
     assert rows(match.reuse(docs, corpus, s)) == want

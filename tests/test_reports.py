@@ -63,6 +63,27 @@ def test_html_of_plain_text(spark):
     assert "<title>a &quot;t&quot;</title>" in page and page.endswith("<body><p>x</p></body>\n</html>")
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>t</title><body>hello there</body></html>", "hello there"),
+        ("<head><meta charset=x><style>p {}</style><p>no end of the head", "no end of the head"),
+        ("<title>t</title>text <main>and <article>more", "text and moreand moremore"),
+        ("<body><nav>menu<div>deep</nav>kept<form><p>asked</form> too", "kept too"),
+        ("<ul><li>one<li>two</ul><svg><title>s</title><path/></svg><br/>x", "onetwox"),
+    ],
+)
+def test_pages_with_tags_left_out(page, text):
+    assert files.html_text(page) == text
+
+
+def test_names_and_extracted_white_space(spark):
+    name = "Звіт про роботу.docx"
+    assert one(spark, name.encode().decode("latin-1"), T.repaired_name) == name
+    assert [one(spark, x, T.repaired_name) for x in ("plain.txt", "Ð", "a\ufffd", "Ò.txt")] == ["plain.txt", "\ufffd", "a\ufffd", "\ufffd.txt"]
+    assert one(spark, "a\u2009\u3000b\r\nc \u2028 d \n\n\n\n e\x85", T.extracted_text) == "a b\nc d\n\ne\x85"
+
+
 def test_page_text_is_the_body_and_its_articles():
     src = "<html><head><title>no</title></head><body>top <nav>menu</nav><article>one <b>two</b></article><p>three</body></html>"
     assert files.html_text(src) == "top one twothreeone two"
@@ -198,7 +219,8 @@ def test_streams(spark, tmp_path):
 def test_durations_and_labels(spark):
     d = spark.createDataFrame([(0,), (42,), (60,), (130,)], "s int").select(report.duration(F.col("s")).alias("d"))
     assert [r.d for r in d.collect()] == ["після додавання тексту", "~42 с", "~1 хв", "~2 хв 10 с"]
-    assert one(spark, "HTTP 429 now", T.error_class) == "rate_limit"
+    errors = {"HTTP 429 now": "модель тимчасово обмежена лімітом запитів", "Rate-limited": "модель тимчасово обмежена лімітом запитів", "out of credits": "у провайдера закінчилася квота", "Request ABORTED": "модель не відповіла вчасно", "an empty response": "модель повернула порожню відповідь", "x" * 200: "x" * 180, "": ""}
+    assert {k: one(spark, k, T.error_sentence) for k in errors} == errors
 
 
 def test_rich_html_keeps_what_is_allowed():
