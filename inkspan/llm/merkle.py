@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import cut, quoted
 
 FIELDS, FANOUT = ("doc_id", "source", "lang", "n_chars", "text"), 3
+#: Nodes of a file of a level, about a megabyte.
+FILE_NODES = 10_000
 PATH = "array<struct<left:string,right:string>>"
 
 
@@ -47,8 +49,8 @@ def digest(children: Column) -> Column:
     return F.sha2(F.array_join(children, ""), 256)
 
 
-def numbered(rows: DataFrame, group: str, *order: str) -> tuple[DataFrame, int]:
-    """`rows` with idx, their 0-based place in their group by `order`, and n, the size of the group; the largest n.
+def numbered(rows: DataFrame, group: str, *order: str) -> tuple[DataFrame, int, int]:
+    """`rows` with idx, their 0-based place in their group by `order`, and n, the size of the group; the largest n; how many rows there are.
 
     Rows are dealt out by ranges of (group, order) and written; a row's place is its row number within its range, and
     the rows of its group in the ranges before. A group has at most as many counts as there are ranges.
@@ -57,10 +59,11 @@ def numbered(rows: DataFrame, group: str, *order: str) -> tuple[DataFrame, int]:
     at = cut(rows.withColumn("tie", number).repartitionByRange(group, *order, "tie").drop("tie").withColumn("range", F.spark_partition_id()), "ranges")
     counts = at.groupBy(group, "range").agg(F.count(F.lit(1)).alias("rows"))
     counts = counts.withColumn("before", F.sum("rows").over(W.partitionBy(group).orderBy("range")) - F.col("rows"))
-    counts = cut(counts.withColumn("n", F.sum("rows").over(W.partitionBy(group))).drop("rows"), "counts")
+    counts = cut(counts.withColumn("n", F.sum("rows").over(W.partitionBy(group))), "counts")
     place = F.row_number().over(W.partitionBy(group, "range").orderBy(*order))
-    placed = at.withColumn("row", place).join(counts, [group, "range"]).withColumn("idx", F.col("before") + F.col("row") - 1).drop("range", "row", "before")
-    return placed, counts.agg(F.max("n")).first()[0] or 0
+    placed = at.withColumn("row", place).join(counts.drop("rows"), [group, "range"]).withColumn("idx", F.col("before") + F.col("row") - 1).drop("range", "row", "before")
+    largest, every = counts.agg(F.max("n"), F.sum("rows")).first()
+    return placed, largest or 0, every or 0
 
 
 @dataclass
@@ -72,17 +75,19 @@ class Tree:
     fanout: int
 
 
-def _runs(nodes: DataFrame, fanout: int, level: int) -> DataFrame:
+def _runs(nodes: DataFrame, fanout: int, level: int, most: int) -> DataFrame:
+    """One level's runs, written in files of some size: `most` is a bound of its nodes."""
     kids = F.array_sort(F.collect_list(F.struct("idx", *[c for c in nodes.columns if c not in ("grp", "idx", "n")])))
-    return cut(nodes.groupBy("grp", F.floor(F.col("idx") / fanout).alias("run")).agg(F.max("n").alias("n"), kids.alias("kids")), f"level{level}")
+    runs = nodes.groupBy("grp", F.floor(F.col("idx") / fanout).alias("run")).agg(F.max("n").alias("n"), kids.alias("kids"))
+    return cut(runs.coalesce(-(-most // FILE_NODES) or 1), f"level{level}")
 
 
-def climb(nodes: DataFrame, largest: int, fanout: int = FANOUT) -> Tree:
+def climb(nodes: DataFrame, largest: int, every: int, fanout: int = FANOUT) -> Tree:
     """nodes(grp, idx, n, node, extra...): each level's runs hashed into parents until every group has one node.
 
-    The number of levels follows from the size of the largest group.
+    The number of levels follows from the size of the largest group, and that of their files from the number of nodes.
     """
-    levels = [_runs(nodes, fanout, 0)]
+    levels = [_runs(nodes, fanout, 0, every)]
     tops = levels[0].where("n = 1").select("grp", F.lit(0).alias("level"), F.col("kids")[0]["node"].alias("node"))
     while largest > 1:
         up = F.floor((F.col("n") + (fanout - 1)) / fanout)
@@ -90,7 +95,8 @@ def climb(nodes: DataFrame, largest: int, fanout: int = FANOUT) -> Tree:
         largest, level = -(-largest // fanout), len(levels)
         tops = tops.unionByName(parents.where("n = 1").select("grp", F.lit(level).alias("level"), "node"))
         if largest > 1:
-            levels.append(_runs(parents.where("n > 1"), fanout, level))
+            # a group with several nodes has at most half as many runs
+            levels.append(_runs(parents.where("n > 1"), fanout, level, every // 2**level))
     return Tree(levels, tops, fanout)
 
 
@@ -125,9 +131,9 @@ def manifest(docs: DataFrame, also: Column | None = None, group: str = "source",
     """
     key = F.coalesce(F.concat(F.lit("="), quoted(group).cast("string")), F.lit(""))  # null before all others
     leaves = docs.select(key.alias("grp"), quoted(order).alias("id"), leaf_digest([quoted(f) for f in fields]).alias("node"), (also if also is not None else F.lit(None).cast("string")).alias("also"))
-    low = climb(*numbered(cut(leaves, "leaves"), "grp", "id", "node"), fanout)
+    low = climb(*numbered(cut(leaves, "leaves"), "grp", "id", "node"), fanout=fanout)
     tops = cut(low.tops.withColumnRenamed("grp", "own").withColumn("grp", F.lit(0)), "subroots")
-    high = climb(*numbered(tops, "grp", "own"), fanout)
+    high = climb(*numbered(tops, "grp", "own"), fanout=fanout)
     peak = high.tops.first()
     start = high.tops.select("grp", "level", F.array().cast(PATH).alias("path"))
     of = descend(high, start).select(F.col("own").alias("grp"), "level", F.col("node").alias("subroot"), "path")
