@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from inkspan.llm import byte_bpe, merkle, vector_codes
+from inkspan.llm import byte_bpe, exact_dedup, merkle, vector_codes
 from inkspan.llm.words import tokenizer_path
 
 RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
@@ -206,3 +206,13 @@ def test_small_trees(spark, n):
     rows = [(k, "s", "en", 1, "a\nb", "", "") for k in range(n)]
     got = merkle.proofs(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, plain_proofs(rows) if rows else []))
+
+
+def test_which_of_equal_rows_stays(spark):
+    rows = [(1, "Same" if k % 2 else "same", k, {"a": k}) for k in (5, 3, 9, 4)] + [(1, "same", None, None), (0, "same", 0, None), (2, "other", 2, {}), (None, "other", 1, {})]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, src int, m map<string,int>").repartition(7)
+    kept = sorted((r.doc_id, r.text, r.src) for r in exact_dedup.drop_copies(docs).collect())
+    assert kept == [(1, "Same", 3), (2, "other", 2)]
+    counts = exact_dedup.exact_dedup(docs, salts=2).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.keep_id, r.group_size) for r in counts if r.doc_id != 1) == [(False, 0, 1, 6), (False, 2, 2, 2), (True, None, 2, 2)]
+    assert [(r.doc_id, r.keep_id, r.group_size) for r in counts if r.doc_id == 1] == [(1, 1, 6)] * 5 and sum(r.kept for r in counts) == 2
