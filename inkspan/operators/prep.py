@@ -120,11 +120,11 @@ def prose(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_prose(docs.select("doc_id", F.col(text).alias("raw")), "raw").select("doc_id", F.col("prose").alias("text"), "code_words", "code_blocks")
 
 
-def document_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, skipped_title_words, code_words, code_blocks): prose without the title page."""
-    d = with_prose(docs.select("doc_id", F.col("text").alias("raw")), "raw").withColumn("body", without_title(F.col("prose")))
+def document_text(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, kept columns, text, skipped_title_words, code_words, code_blocks): prose without the title page."""
+    d = with_prose(docs.select("doc_id", *keep, F.col("text").alias("raw")), "raw").withColumn("body", without_title(F.col("prose")))
     skipped = count_words(F.substr("prose", F.lit(1), F.length("prose") - F.length("body")))
-    return d.select("doc_id", F.col("body").alias("text"), skipped.alias("skipped_title_words"), "code_words", "code_blocks")
+    return d.select("doc_id", *keep, F.col("body").alias("text"), skipped.alias("skipped_title_words"), "code_words", "code_blocks")
 
 
 def without_title(c: Column) -> Column:

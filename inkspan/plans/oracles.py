@@ -136,6 +136,45 @@ final AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
 SELECT doc_id, chunk_index, url, score, longest_run, confidence, rank FROM final WHERE rank <= 24"""
 
 
+def searched(candidates: str = ITEMS) -> str:
+    """CTEs to `listed`(doc_id, chunk_index, place, url, score): each chunk's candidates, every source scored for every query."""
+    terms = lambda x: rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+    return f"""pq AS MATERIALIZED ({probes()}),
+per AS (SELECT doc_id, any_value(n) AS n, count(*) AS c FROM c4 GROUP BY doc_id),
+modes AS MATERIALIZED (SELECT doc_id, n > 2000 OR c > 18 AS long, CASE WHEN n > 8000 OR c > 45 THEN 3 WHEN n > 2000 OR c > 18 THEN 4 ELSE 8 END AS search_limit, CASE WHEN n > 8000 OR c > 45 THEN 1 WHEN n > 2000 OR c > 18 THEN 2 ELSE 3 END AS query_limit, CASE WHEN n > 8000 OR c > 45 THEN 32 WHEN n > 2000 OR c > 18 THEN 48 ELSE 80 END AS page_limit FROM per),
+asked AS (SELECT pq.*, search_limit FROM pq JOIN modes USING (doc_id) WHERE place < query_limit),
+sl AS MATERIALIZED (SELECT url, {terms('cand')} AS t FROM ({candidates})), st AS (SELECT url, term, count(*) AS tf FROM (SELECT url, unnest(t) AS term FROM sl) GROUP BY ALL),
+idf AS (SELECT term, round(ln(1 + (SELECT count(*) FROM sl) / count(*)) * 1000)::BIGINT AS idf FROM st GROUP BY term),
+sw AS MATERIALIZED (SELECT url, term, idf * length(bin(tf)) AS w FROM st JOIN idf USING (term)),
+ql AS MATERIALIZED (SELECT query, query[1] = '"' AS exact, {terms('query')} AS t FROM (SELECT DISTINCT query FROM asked)),
+qs AS (SELECT query, url, sum(w)::BIGINT AS score FROM (SELECT DISTINCT query, unnest(t) AS term FROM ql) JOIN sw USING (term) GROUP BY ALL),
+hits AS (SELECT query, url, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, url) AS rank FROM qs JOIN ql USING (query) JOIN sl USING (url)
+  WHERE NOT exact OR contains(' ' || array_to_string(sl.t, ' ') || ' ', ' ' || array_to_string(ql.t, ' ') || ' ')),
+merged AS (SELECT doc_id, chunk_index, url, any_value(search_limit) AS search_limit, min({{'rank': rank, 'turn': place, 'score': score}}) AS f FROM asked JOIN hits USING (query) WHERE rank <= search_limit GROUP BY ALL),
+listed AS MATERIALIZED (SELECT doc_id, chunk_index, (row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY f) - 1)::INT AS place, url, f.score AS score, search_limit FROM merged QUALIFY place < least(10, search_limit))"""
+
+
+def searched_candidates() -> str:
+    return f"WITH {chunk_ctes()}, {searched()} SELECT doc_id, chunk_index, place, url AS source, score FROM listed"
+
+
+def searched_scan(s: Settings = Settings()) -> str:
+    """The scan of each chunk's own candidates: snippets of thirty words, whose pages hold the whole."""
+    short = f"array_to_string(list_slice({words('text')}, 1, 30), ' ')"
+    page = f"CASE WHEN {count_words('text')} >= 18 THEN text ELSE 'item ' || item_id || ' ' || {short} END"
+    both = f"SELECT 'item:' || item_id || '|0' AS url, 'item ' || item_id || ' ' || {short} AS cand, false AS page FROM benchmark UNION ALL SELECT 'item:' || item_id || '|1', {page}, true FROM benchmark WHERE text <> ''"
+    only = f"SELECT 'item:' || item_id AS url, 'item ' || item_id || ' ' || {short} AS cand FROM benchmark WHERE text <> ''"
+    return f"""{reuse(s, both)}, {searched(only)},
+q0 AS (SELECT scored.* EXCLUDE (url), split_part(scored.url, '|', 1) AS url, split_part(scored.url, '|', 2)::INT AS phase FROM scored),
+mine AS MATERIALIZED (SELECT q0.*, long, page_limit FROM q0 SEMI JOIN listed USING (doc_id, chunk_index, url) JOIN modes USING (doc_id)),
+first AS (SELECT * FROM mine WHERE phase = CASE WHEN long THEN 0 ELSE 1 END),
+near AS (SELECT doc_id, chunk_index, url, page_limit, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, longest_run DESC, chunk_index, url) AS turn FROM first WHERE long AND (score >= {s.threshold - 10} OR longest_run >= 7)),
+every AS (SELECT * FROM first UNION ALL SELECT mine.* FROM mine SEMI JOIN (SELECT * FROM near WHERE turn <= page_limit) USING (doc_id, chunk_index, url) WHERE phase = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, url, chunk_index ORDER BY score DESC, phase) AS z FROM every),
+final AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, longest_run DESC, chunk_index, url)::INT AS rank FROM best WHERE z = 1 AND (score >= {s.threshold} OR longest_run >= 10))
+SELECT doc_id, chunk_index, url, score, longest_run, confidence, rank FROM final WHERE rank <= 24"""
+
+
 REUSE_SCORE = f"""SELECT doc_id, {clamp('sum(score * w) / sum(w)')} AS plagiarism_score FROM
 (SELECT *, greatest(0.35, 1 - i * 0.08) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS i FROM matches WHERE confidence = 'page') WHERE i < 8) GROUP BY doc_id"""
 

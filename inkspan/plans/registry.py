@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import align, corpus, match, prep, probe, report, rewrite, state, stylometry
+from inkspan.operators import align, corpus, match, prep, probe, report, rewrite, scan, search, state, stylometry
 from inkspan.operators.sequence import analysis_windows, chunks, full_coverage, winnow
 from inkspan.plans import oracles as O
 from inkspan.sources import html
 from inkspan.sources.files import page_texts
+from inkspan.sources.tables import kept
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -251,6 +252,29 @@ def scan_matches(s, d):
     return report.scan(_t(s, d, "documents"), _snippets(s, d), pages).select("doc_id", "chunk_index", "url", "score", "longest_run", "confidence", "rank")
 
 
+def searched_candidates(s, d):
+    """Each chunk's candidates, found by its own queries."""
+    docs = _t(s, d, "documents")
+    parts = chunks(docs)
+    asked = kept(search.chunk_queries(parts, search.modes(docs, parts, False), False), "queries")
+    return search.chunk_candidates(search.build(corpus.complete(_corpus(s, d))), asked)
+
+
+def searched_matches(s, d):
+    """The scan of each chunk against its own candidates: snippets, whose pages are read."""
+    pages = _corpus(s, d).select("url", F.col("source_text").alias("text"))
+    ranked, _, _ = scan.searched_matches(_t(s, d, "documents"), _snippets(s, d), pages)
+    return ranked.select("doc_id", "chunk_index", "url", "score", "longest_run", "confidence", "rank")
+
+
+def document_scans(s, d):
+    """Reports of prepared documents, with their notes."""
+    pages = _corpus(s, d).select("url", F.col("source_text").alias("text"))
+    whole = scan.scan_documents(_t(s, d, "documents"), _snippets(s, d), pages)
+    told = whole.notes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "note"))), lambda x: x["note"]), " | ").alias("notes"))
+    return whole.reports.join(told, "doc_id")
+
+
 def scan_reports(s, d):
     docs = _t(s, d, "documents")
     pages = _corpus(s, d).select("url", F.col("source_text").alias("text"))
@@ -297,7 +321,7 @@ def extracted(s, d):
 OWN = (
     word_stats, chunk_settings, text_chunks, windows, fingerprints, candidate_pairs, ngram_containment, longest_runs, reuse_matches, reuse_scores, page_url_dedupe, page_interleave, page_text, hydrated, diagnostics, rate_limits,
     job_states, breaker, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, prose_text,
-    prose_of_pages, analysis_texts, document_texts, rewritten, revision_diff, probe_queries, deep_probe_queries, recommended_settings, document_modes, accepted_texts, scan_matches, scan_reports, page_counters, search_notes,
+    prose_of_pages, analysis_texts, document_texts, rewritten, revision_diff, probe_queries, deep_probe_queries, recommended_settings, document_modes, accepted_texts, scan_matches, searched_candidates, searched_matches, document_scans, scan_reports, page_counters, search_notes,
     labels_of_scores, report_signals, task_outcomes, safe_pages, plain_as_html, rich_round_trip, file_facts, match_excerpts, extracted,
 )
 
@@ -351,6 +375,8 @@ r AS (SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER B
         "reuse_matches": O.reuse() + " SELECT doc_id, chunk_index, url, score, overlap_percent, ngram_percent, hash_percent, full_text_rank, longest_run, confidence, excerpt, submitted_evidence, source_evidence, rank FROM matches",
         "reuse_scores": O.reuse() + " " + O.REUSE_SCORE,
         "scan_matches": O.scan(),
+        "searched_candidates": O.searched_candidates(),
+        "searched_matches": O.searched_scan(),
         "type_token_ratio": f"WITH d AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT doc_id, CASE WHEN len(t) = 0 THEN 0.0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / len(t) ELSE list_sum(list_transform(list_append(range(0, len(t) - 49, 25), len(t) - 50), lambda i: len(list_distinct(list_slice(t, i + 1, i + 50))) / 50)) / (len(range(0, len(t) - 49, 25)) + 1) END AS mattr FROM d",
         "stylometry_units": O.style_units(),
         "signals": O.signals(),
