@@ -3,7 +3,9 @@
 Fingerprints are compared exactly, tile against tile, with numpy exclusive-or and bit counts. Tiles hold fingerprints
 with the same population counts in each 16-bit quarter; the sum of the four differences of two such count vectors is a
 lower bound of the Hamming distance of their members, so a pair of tiles whose counts differ by more than the radius
-is skipped and no link is lost. Equal fingerprints are compared once. A tile pair gives a star per local component
+is skipped and no link is lost. Pairs are made of tile numbers alone, from a small table of the tiles of each count
+vector; then each side's members join by tile, so the many tiles of a common count vector meet in many tasks. Equal
+fingerprints are compared once. A tile pair gives a star per local component
 (at most one row per member), never all its pairs.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import cut, quoted, unused
 from inkspan.llm.components import connected_components
 
-RADIUS, SHINGLE, TILE = 3, 3, 1024
+RADIUS, SHINGLE, TILE = 3, 3, 4096
+#: Members of either side that are compared at once.
+SIDE = 1024
 #: A quarter's count takes 0 to 16.
 STEP = 17
 
@@ -85,14 +89,16 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
             x, y = cut_["pa"].view(np.uint64), cut_["pb"].view(np.uint64)
             ids = np.concatenate([cut_["ia"], cut_["ib"]])
             lab = ids.copy()
-            for lo in range(0, len(x), 512):
-                hit = np.bitwise_count(x[lo : lo + 512, None] ^ y[None, :]) <= radius
-                if same[k]:
-                    hit &= np.arange(lo, min(lo + 512, len(x)))[:, None] < np.arange(len(y))[None, :]
-                if not hit.any():
+            for lo, up in itertools.product(range(0, len(x), SIDE), range(0, len(y), SIDE)):
+                if same[k] and up < lo:
                     continue
+                hit = np.bitwise_count(x[lo : lo + SIDE, None] ^ y[None, up : up + SIDE]) <= radius
                 i, j = np.nonzero(hit)
-                i, j = i + lo, j if same[k] else j + len(x)
+                if same[k]:
+                    i, j = (z[i + lo < j + up] for z in (i, j))
+                if not len(i):
+                    continue
+                i, j = i + lo, j + up + (0 if same[k] else len(x))
                 while True:  # least label over the links, until nothing changes
                     least = np.minimum(lab[i], lab[j])
                     if (least == lab[i]).all() and (least == lab[j]).all():
@@ -117,15 +123,14 @@ def linked_prints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -
     tiles = cut(
         placed.groupBy("cell", "tile").agg(F.collect_list(F.struct("print", "rep")).alias("m")).select("cell", "tile", "m.print", "m.rep"), "tiles"
     )
-    left = tiles.select(
-        F.explode(F.array(*[F.lit(d) for d in _neighbours(radius)])).alias("step"), "cell", F.col("tile").alias("ta"), F.col("print").alias("pa"), F.col("rep").alias("ia")
-    ).withColumn("cell", F.col("cell") + F.col("step"))
-    right = tiles.select("cell", F.col("tile").alias("tb"), F.col("print").alias("pb"), F.col("rep").alias("ib"))
-    pairs = (
-        left.join(right.hint("merge"), "cell")
-        .where("step <> 0 OR ta <= tb")
-        .select("pa", "ia", "pb", "ib", F.expr("step = 0 AND ta = tb").alias("same"))
-    )
+    # numbers of the tiles to compare: at most 17^4 rows are broadcast, and no members are copied for a neighbour that isn't there
+    near = tiles.select("cell", F.col("tile").alias("ta"), F.explode(F.array(*[F.lit(d) for d in _neighbours(radius)])).alias("step"))
+    near = near.withColumn("other", F.col("cell") + F.col("step")).join(F.broadcast(sizes.select(F.col("cell").alias("other"), "tiles")), "other")
+    near = near.withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("step <> 0 OR ta <= tb")
+    a = tiles.select("cell", F.col("tile").alias("ta"), F.col("print").alias("pa"), F.col("rep").alias("ia"))
+    b = tiles.select(F.col("cell").alias("other"), F.col("tile").alias("tb"), F.col("print").alias("pb"), F.col("rep").alias("ib"))
+    pairs = near.select("cell", "ta", "other", "tb", F.expr("step = 0 AND ta = tb").alias("same"))
+    pairs = pairs.join(a.hint("merge"), ["cell", "ta"]).join(b.hint("merge"), ["other", "tb"]).select("pa", "ia", "pb", "ib", "same")
     return pairs.mapInArrow(lambda it: _link(it, radius), "u long, v long")
 
 
