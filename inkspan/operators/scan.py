@@ -78,14 +78,15 @@ def notes_of(facts: DataFrame) -> DataFrame:
     return facts.select("doc_id", F.posexplode(F.array_compact(every)).alias("place", "note"))
 
 
-def scan_documents(docs: DataFrame, corpus: DataFrame, pages: DataFrame, s: Settings = Settings()) -> Scan:
-    """Documents(doc_id, text, lang) scanned as the service does it.
+def scan_documents(docs: DataFrame, corpus: DataFrame, pages: DataFrame, s: Settings = Settings(), profiles: dict | None = None) -> Scan:
+    """Documents(doc_id, text, and lang unless profiles are given) scanned as the service does it.
 
     A text is refused if it is too short as it comes, or once code and title page are out. All that follows sees the
     prepared text: chunks, searches, matches, style. Documents of one id are one document.
     """
     raw = report.long_enough(docs)
-    made = prep.document_text(raw.where("accepted").select("doc_id", "lang", "text"), "lang").withColumn("text", normalize_ws(F.col("text")))
+    lang = ["lang"] if profiles is None else []
+    made = prep.document_text(raw.where("accepted").select("doc_id", *lang, "text"), *lang).withColumn("text", normalize_ws(F.col("text")))
     ready = report.long_enough(made)
     refused = raw.where("NOT accepted").select("doc_id", F.lit("received").alias("gate")).unionByName(ready.where("NOT accepted").select("doc_id", F.lit("prepared").alias("gate")))
     ready = kept(ready.where("accepted").drop("accepted"), "prepared")
@@ -99,6 +100,6 @@ def scan_documents(docs: DataFrame, corpus: DataFrame, pages: DataFrame, s: Sett
     reads = asked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if("verified").alias("verified"))
     facts = ready.select("doc_id", "skipped_title_words", "code_words", "code_blocks").join(diagnostics, "doc_id").join(reads, "doc_id", "left").join(of, "doc_id").fillna(0, ["pages", "verified"])
     titles = search.sources(corpus).select("url", "title")
-    made_reports = report.reports(ready, ranked, stylometry.ensemble(ready), titles, diagnostics.withColumn("skipped_reason", F.lit(None).cast("string")))
+    made_reports = report.reports(ready, ranked, stylometry.ensemble(ready, profiles=profiles), titles, diagnostics.withColumn("skipped_reason", F.lit(None).cast("string")))
     made_reports = made_reports.join(of.select("doc_id", F.col("n_words").alias("word_count"), F.col("n_chunks").alias("chunks_checked")), "doc_id").join(ready.select("doc_id", "skipped_title_words"), "doc_id")
     return Scan(refused, ranked, notes_of(facts), diagnostics, made_reports)

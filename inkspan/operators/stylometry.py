@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkspan.functions.text import STOP_WORDS, clamp_score, found, java, let, ngrams, normalize_ws, sample_evidence, sentences, tokens, words
+from inkspan.operators.language import identified
 from inkspan.operators.prep import analysis_text
 from inkspan.operators.sequence import SIZE, window_starts
 
@@ -220,13 +221,15 @@ def coverage(text: Column, lang: Column) -> Column:
     return out.when((cyrillic >= 0.18) & (latin >= 0.18), as_("mixed", F.round((cyrillic + latin) * 100))).otherwise(as_("limited", 35))
 
 
-def ensemble(docs: DataFrame, lang: str = "lang") -> DataFrame:
+def ensemble(docs: DataFrame, lang: str = "lang", profiles: dict | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, word_count, probability, verdict, reliability, level, reason, language, percent,
     exclusions, spread, and the five most suspicious segments with their places.
 
-    Texts are prepared first; documents and their windows are scored in one pass.
+    Texts are prepared first; documents and their windows are scored in one pass. With profiles the language is that of
+    the prepared text by them, and `docs` needs no column of it.
     """
-    made = analysis_text(docs, lang).withColumn("unit", F.monotonically_increasing_id())
+    made = analysis_text(docs, lang) if profiles is None else identified(analysis_text(docs), profiles, out=lang)
+    made = made.withColumn("unit", F.monotonically_increasing_id())
     made = made.withColumn("cover", coverage(F.col("text"), F.col(lang)))
     facts = F.struct("doc_id", F.col("cover.code").alias("language"), F.col("cover.percent").alias("percent"), "code_words", "quoted_words", "reference_words")
     # the whole and the windows of a document come from one explode, so a text is prepared once

@@ -175,6 +175,17 @@ final AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC,
 SELECT doc_id, chunk_index, url, score, longest_run, confidence, rank FROM final WHERE rank <= 24"""
 
 
+def language(length: int = 300) -> str:
+    """CTEs to `far`(doc_id, language, distance), by trigrams of whole texts."""
+    return f"""l0 AS (SELECT doc_id, lang, ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INT % 5 = 0 AS held_out, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) AS s FROM documents),
+lt AS MATERIALIZED (SELECT doc_id, lang, held_out, CASE WHEN s = '' THEN [] ELSE string_split(' ' || s || ' ', '') END AS c FROM l0),
+lg AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS g FROM lt),
+ln_ AS MATERIALIZED (SELECT doc_id, lang, held_out, g, count(*) AS n FROM lg GROUP BY ALL),
+lp AS (SELECT lang AS language, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS r FROM ln_ WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY r < {length}),
+ld AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS r FROM ln_ QUALIFY r < {length}),
+far AS (SELECT doc_id, language, sum(coalesce(abs(ld.r - lp.r), {length}))::BIGINT AS distance FROM ld CROSS JOIN (SELECT DISTINCT language FROM lp) LEFT JOIN lp USING (language, g) GROUP BY ALL)"""
+
+
 REUSE_SCORE = f"""SELECT doc_id, {clamp('sum(score * w) / sum(w)')} AS plagiarism_score FROM
 (SELECT *, greatest(0.35, 1 - i * 0.08) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS i FROM matches WHERE confidence = 'page') WHERE i < 8) GROUP BY doc_id"""
 

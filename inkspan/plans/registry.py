@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import align, corpus, match, prep, probe, report, rewrite, scan, search, state, stylometry
+from inkspan.operators import align, corpus, language, match, prep, probe, report, rewrite, scan, search, state, stylometry
 from inkspan.operators.sequence import analysis_windows, chunks, full_coverage, winnow
 from inkspan.plans import oracles as O
 from inkspan.sources import html
@@ -186,6 +186,26 @@ def language_coverage(s, d):
     return prep.analysis_text(_t(s, d, "documents"), "lang").select("doc_id", stylometry.coverage(F.col("text"), F.col("lang")).alias("c")).select("doc_id", "c.code", "c.percent")
 
 
+def _profiles(docs: DataFrame) -> dict:
+    return language.profiles(docs.where(~language.held_out(F.col("doc_id"))))
+
+
+def language_distances(s, d):
+    """Each document's distance to each language's profile, learnt from four fifths of the documents."""
+    docs = _t(s, d, "documents")
+    made = _profiles(docs)
+    names = F.array(*map(F.lit, sorted(made)))
+    far = docs.select("doc_id", F.posexplode(language.distances(F.col("text"), made)).alias("k", "distance"))
+    return far.select("doc_id", F.get(names, F.col("k")).alias("language"), "distance")
+
+
+def language_confusion(s, d):
+    """Documents by language, by the language they are taken for, and by whether the profiles have seen them."""
+    docs = _t(s, d, "documents")
+    found = language.identified(docs.select("doc_id", "text", "lang"), _profiles(docs), out="found")
+    return found.groupBy("lang", "found", language.held_out(F.col("doc_id")).alias("held_out")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def prose_text(s, d):
     return prep.prose(_t(s, d, "documents"))
 
@@ -320,7 +340,7 @@ def extracted(s, d):
 
 OWN = (
     word_stats, chunk_settings, text_chunks, windows, fingerprints, candidate_pairs, ngram_containment, longest_runs, reuse_matches, reuse_scores, page_url_dedupe, page_interleave, page_text, hydrated, diagnostics, rate_limits,
-    job_states, breaker, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, prose_text,
+    job_states, breaker, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, language_distances, language_confusion, prose_text,
     prose_of_pages, analysis_texts, document_texts, rewritten, revision_diff, probe_queries, deep_probe_queries, recommended_settings, document_modes, accepted_texts, scan_matches, searched_candidates, searched_matches, document_scans, scan_reports, page_counters, search_notes,
     labels_of_scores, report_signals, task_outcomes, safe_pages, plain_as_html, rich_round_trip, file_facts, match_excerpts, extracted,
 )
@@ -385,6 +405,8 @@ r AS (SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER B
         "verdict_by_label": f"WITH {O.verdict_ctes()} SELECT quality, verdict, count(*) AS n FROM judged JOIN labels USING (doc_id) GROUP BY ALL",
         "language_coverage": f"WITH {O.verdict_ctes()} SELECT doc_id, language AS code, percent FROM judged",
         "labels_of_scores": f"WITH {O.verdict_ctes()} SELECT doc_id, CASE WHEN probability >= 70 THEN 'high' WHEN probability >= 38 THEN 'medium' ELSE 'low' END AS label, verdict || '/' || level AS caption FROM judged",
+        "language_distances": f"WITH {O.language()} SELECT doc_id, language, distance FROM far",
+        "language_confusion": f"WITH {O.language()}, best AS (SELECT doc_id, min({{'d': distance, 'l': language}}).l AS found FROM far GROUP BY doc_id) SELECT lang, found, held_out, count(*) AS n FROM lt LEFT JOIN best USING (doc_id) GROUP BY ALL",
         "prose_text": f"WITH src AS (SELECT doc_id, text AS raw FROM documents), {O.prose_ctes('src', 'doc_id')} SELECT doc_id, prose AS text, code_words, code_blocks FROM prosed",
         "prose_of_pages": f"WITH src AS (SELECT page_id AS doc_id, replace(html, '>', '>' || chr(10)) AS raw FROM pages), {O.prose_ctes('src', 'doc_id')} SELECT doc_id, prose AS text, code_words, code_blocks FROM prosed",
         "analysis_texts": f"WITH {O.prepared_ctes()} SELECT doc_id, text, analyzed_words, code_words, quoted_words, reference_words FROM ready",
