@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cache, reduce
+from operator import or_
+from re import _parser as parsing
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +90,49 @@ def found(c: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit("(?iu)" + pattern), F.lit(0)), normalize_ws), lambda x: x != "")
 
 
+def folded(c: Column) -> Column:
+    """A text in which what a pattern finds without regard to case stands in lower case: each character's upper case's lower case."""
+    # letters that a case mapping of whole strings treats otherwise: the dotted capital I, and rare forms of Cyrillic ones
+    rare = "\u0130" + "".join(map(chr, range(0x1C80, 0x1C89)))
+    return F.lower(F.upper(F.translate(c, rare, "iвдосттъѣꙋ")))
+
+
+@cache
+def literals(pattern: str) -> tuple[str, ...] | None:
+    """Lower-case strings of which every match of a pattern holds one, the longest that can be told; None if it can't be."""
+
+    def of(items) -> set[str] | None:
+        """The best of what the items of a sequence need: the longest least string, then the fewest strings."""
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is parsing.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append({run})
+                run = ""
+            if op is parsing.SUBPATTERN:
+                found.append(of(value[-1]))
+            elif op is parsing.BRANCH:
+                each = [of(b) for b in value[1]]
+                found.append(set().union(*each) if all(each) else None)
+            elif op in (parsing.MAX_REPEAT, parsing.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+            elif op is parsing.IN:
+                found.append({chr(v) if k is parsing.LITERAL else str(d) for k, v in value for d in (range(10) if k is parsing.CATEGORY else "x")} if all(k is parsing.LITERAL or v is parsing.CATEGORY_DIGIT for k, v in value) else None)
+        return max(filter(None, found), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    # letters of any kind stand for no literal, and a class is as good as a range of them
+    need = of(parsing.parse(pattern.replace(r"\p{L}", "a-z")))
+    return tuple(sorted({n.lower() for n in need})) if need else None
+
+
+def may_match(low: Column, pattern: str) -> Column:
+    """Whether a folded text holds what a pattern needs; most texts don't, and need no search for it."""
+    need = literals(pattern)
+    return reduce(or_, [low.contains(n) for n in need]) if need else F.lit(True)
+
+
 def sample_evidence(values: Column, most: int = 4) -> Column:
     """The first distinct values, of 120 characters each at most."""
     return F.slice(F.array_distinct(F.transform(values, lambda x: F.substring(x, 1, 120))), 1, most)

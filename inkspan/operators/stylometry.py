@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import STOP_WORDS, clamp_score, found, java, let, ngrams, normalize_ws, sample_evidence, sentences, tokens, words
+from inkspan.functions.text import STOP_WORDS, clamp_score, folded, found, java, let, may_match, ngrams, normalize_ws, sample_evidence, sentences, tokens, words
 from inkspan.operators.language import identified
 from inkspan.operators.prep import analysis_text
 from inkspan.operators.sequence import SIZE, window_starts
@@ -67,14 +67,29 @@ CHANNELS = {"statistical": 0.38, "pattern": 0.42, "structure": 0.20}
 DRAFTS = (("rhythm", "statistical", 1.0), ("lexical", "statistical", 0.8), ("transition", "pattern", 0.85), ("hedge", "pattern", 0.45), ("starts", "structure", 0.75), ("impersonal", "pattern", 0.95), ("punctuation", "structure", 0.5))
 
 
-def matches(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit("(?iu)" + java(pattern)))
+def matches(c: Column, pattern: str, low: Column | None = None) -> Column:
+    """How often a pattern matches, whatever the case. With the folded text, texts without its literals aren't searched."""
+    n = F.regexp_count(c, F.lit("(?iu)" + java(pattern)))
+    return n if low is None else F.when(may_match(low, _core(pattern)), n).otherwise(0)
 
 
 def bounded(pattern: str) -> str:
     return f"{EDGE_L}(?:{pattern}){EDGE_R}"
 
 
+def _core(pattern: str) -> str:
+    return pattern.removeprefix(EDGE_L).removesuffix(EDGE_R)
+
+
+def holds(c: Column, pattern: str, low: Column) -> Column:
+    return may_match(low, _core(pattern)) & c.rlike("(?iu)" + pattern)
+
+
+def listed(low: Column, names: str) -> Column:
+    """The words of a folded text that are among the names, bounded as `bounded` bounds them."""
+    return F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w.isin(names.split("|")))
+
+
 def mattr(t: Column, size: int = 50) -> Column:
     """Mean share of distinct tokens in windows of `size`; one that ends with the text is added, even if it is there already."""
     return let(t, lambda x: _mattr(x, size))
@@ -112,7 +127,7 @@ def single_pass(units: DataFrame, text: str = "text", evidence: bool = False) ->
     With `evidence` also what each signal rests on, as columns e_<signal>.
     """
     d = units.withColumn("norm", normalize_ws(F.col(text))).withColumn("words", tokens(F.col("norm"), True)).withColumn("content", F.filter("words", lambda w: ~w.isin(STOP_WORDS)))
-    d = d.withColumn("sents", sentences(F.col("norm"))).withColumn("wc", F.size("words"))
+    d = d.withColumn("sents", sentences(F.col("norm"))).withColumn("wc", F.size("words")).withColumn("low", folded(F.col("norm")))
     heading = lambda s: F.trim(F.regexp_replace(F.lower(s), "[.!?:;]+$", "")).rlike("(?iu)" + HEADING) & (F.size(tokens(s, True)) <= 8)
     d = d.withColumn("prose", F.filter("sents", lambda s: ~heading(s))).withColumn("prose_words", F.transform("prose", lambda s: tokens(s, True)))
     d = d.withColumn("lens", F.filter(F.transform("prose_words", lambda w: F.size(w).cast("double")), lambda n: n > 0))
@@ -131,15 +146,15 @@ def single_pass(units: DataFrame, text: str = "text", evidence: bool = False) ->
         "transition": clamp_score(share(TRANSITIONS) * 3500),
         "hedge": clamp_score(share(HEDGES) * 3500),
         "starts": clamp_score(same_starts / F.greatest(F.lit(1), F.size("start_list")) * 170),
-        "impersonal": clamp_score(F.least(F.lit(1.0), matches(F.col("norm"), bounded(IMPERSONAL)) / F.greatest(F.lit(1.0), wc / 240) / 2.4) * 100),
+        "impersonal": clamp_score(F.least(F.lit(1.0), F.size(listed(F.col("low"), IMPERSONAL)) / F.greatest(F.lit(1.0), wc / 240) / 2.4) * 100),
         "punctuation": F.when((F.size("sents") >= 6) & (F.col("marks") <= 1), 25).otherwise(0),
-        "placeholder": F.col("norm").rlike("(?iu)" + PLACEHOLDER),
+        "placeholder": holds(F.col("norm"), PLACEHOLDER, F.col("low")),
     } | {
-        name: clamp_score(F.least(F.lit(1.0), sum(matches(F.col("norm"), p) for p in patterns) / F.greatest(F.lit(1.0), wc / 100) / 2.0) * 100)
+        name: clamp_score(F.least(F.lit(1.0), sum(matches(F.col("norm"), p, F.col("low")) for p in patterns) / F.greatest(F.lit(1.0), wc / 100) / 2.0) * 100)
         for name, _, _, patterns in GROUPS
     })
-    count = lambda p: matches(F.col("norm"), p)
-    d = d.withColumns({"n_cite": count(CITATION), "n_number": count(NUMBER), "n_first": count(bounded(FIRST_PERSON)), "n_quote": count(QUOTE), "structured": F.col("norm").rlike("(?iu)" + bounded(STRUCTURE))})
+    count = lambda p: matches(F.col("norm"), p, F.col("low"))
+    d = d.withColumns({"n_cite": count(CITATION), "n_number": count(NUMBER), "n_first": F.size(listed(F.col("low"), FIRST_PERSON)), "n_quote": count(QUOTE), "structured": holds(F.col("norm"), bounded(STRUCTURE), F.col("low"))})
     d = d.withColumn("safeguard", clamp_score(
         F.col("n_cite") * 12 + F.least(F.lit(20.0), F.col("n_number") * 2.5) + F.least(F.lit(15.0), F.col("n_first") * 3.5) + F.col("n_quote") * 10
         + F.when(wc < 180, 15).otherwise(0) + F.when(F.col("placeholder"), 85).otherwise(0) + F.when(F.col("structured"), 25).otherwise(0)
@@ -172,6 +187,7 @@ def single_pass(units: DataFrame, text: str = "text", evidence: bool = False) ->
 
 def _evidence(d: DataFrame) -> dict[str, Column]:
     norm, none = F.col("norm"), F.array().cast("array<string>")
+    where = lambda p: F.when(may_match(F.col("low"), _core(p)), found(norm, java(p))).otherwise(none)
     # a filter over the repeated ones, which `array_except` of single ones would have to compare in pairs
     again = lambda c: let(F.sort_array(c), lambda s: F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1) == x)) | ((i < F.size(s) - 1) & (F.get(s, i + 1) == x))))
     counted = lambda c: let(again(c), lambda a: F.transform(F.array_intersect(c, a), lambda x: F.struct(x.alias("x"), F.size(F.filter(a, lambda y: y == x)).alias("n"))))
@@ -192,10 +208,10 @@ def _evidence(d: DataFrame) -> dict[str, Column]:
         "transition": sample_evidence(F.filter("words", lambda w: w.isin(list(TRANSITIONS)))),
         "hedge": sample_evidence(F.filter("words", lambda w: w.isin(list(HEDGES)))),
         "starts": shown(counted(F.col("start_list"))),
-        "impersonal": sample_evidence(found(norm, bounded(IMPERSONAL))),
+        "impersonal": sample_evidence(where(bounded(IMPERSONAL))),
         "punctuation": F.when(F.col("marks") > 0, F.array(F.concat(n("marks"), F.lit(" типів пунктуації")))).otherwise(none),
         "safeguard": F.array_compact(F.array(*guards)),
-    } | {name: sample_evidence(F.concat(*[found(norm, java(p)) for p in patterns])) for name, _, _, patterns in GROUPS}
+    } | {name: sample_evidence(F.concat(*[where(p) for p in patterns])) for name, _, _, patterns in GROUPS}
     return {f"e_{k}": v for k, v in out.items()}
 
 

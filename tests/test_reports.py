@@ -284,3 +284,22 @@ def test_documents_are_read_and_written_run_by_run(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
     assert got["a.docx"].text.startswith("The quick fox") and got["b.md"].text == "One\n\ntwo three"
     assert got["c.xyz"].method == "unsupported" and got["c.xyz"].error and got["d.docx"].text is None and got["d.docx"].error
+
+
+def test_texts_without_a_patterns_literals_need_no_search(spark):
+    every = [p for _, _, _, ps in stylometry.GROUPS for p in ps] + [stylometry.CITATION, stylometry.NUMBER, stylometry.QUOTE]
+    pieces = "NOT ONLY this but also that|It's not just x it's y|ROBUŞT ROBUST robuſt roBust|Ключова роль, важливий підхід|не лише це, а й те|1. a 2. b 3. c|у  роботі розглянуто|[12] (Іваненко, 2021) HTTP://x.y doi: 1|«довга цитата про щось важливе» \"short\"|I DON'T HAVE ACCESS|İn conclusion, İ cannot|ᲀАЖЛИВО ЗАЗНАЧИТИ|Kelvin 12 км|у сучасному світі|nothing here at all".split("|")
+    r = random.Random(1)
+    texts = pieces + [" ".join(r.choice(pieces) for _ in range(4)) for _ in range(30)] + ["", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.folded(F.col("t")).alias("low"))
+    both = lambda p: F.struct(F.coalesce(stylometry.matches(F.col("t"), p), F.lit(0)).alias("plain"), F.coalesce(stylometry.matches(F.col("t"), p, F.col("low")), F.lit(0)).alias("gated"))
+    got = d.select("t", *[both(p).alias(f"p{k}") for k, p in enumerate(every)]).collect()
+    assert all(x[f"p{k}"].plain == x[f"p{k}"].gated for x in got for k in range(len(every)))
+    assert sum(x[f"p{k}"].plain > 0 for x in got for k in range(len(every))) > 60
+    words = d.select(F.size(stylometry.listed(F.coalesce("low", F.lit("")), stylometry.FIRST_PERSON)).alias("a"), F.coalesce(stylometry.matches(F.col("t"), stylometry.bounded(stylometry.FIRST_PERSON)), F.lit(0)).alias("b"))
+    assert all(x.a == x.b for x in words.collect())
+
+
+@pytest.mark.parametrize("pattern,need", [("abc|de", ("abc", "de")), ("a(?:bcd|xy)?e+f", ("a",)), (r"\s*x{0,3}", None), (r"[12]yz\d", ("yz",)), ("(?:AB|cde)fg", ("ab", "cde"))])
+def test_literals_of_patterns(pattern, need):
+    assert T.literals(pattern) == need
