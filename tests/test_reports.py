@@ -300,6 +300,6 @@ def test_texts_without_a_patterns_literals_need_no_search(spark):
     assert all(x.a == x.b for x in words.collect())
 
 
-@pytest.mark.parametrize("pattern,need", [("abc|de", ("abc", "de")), ("a(?:bcd|xy)?e+f", ("a",)), (r"\s*x{0,3}", None), (r"[12]yz\d", ("yz",)), ("(?:AB|cde)fg", ("ab", "cde"))])
+@pytest.mark.parametrize("pattern,need", [("abc|de", ("abc", "de")), ("a(?:bcd|xy)?e+f", ("a",)), (r"\s*x{0,3}", None), (r"[12]yz\d", ("yz",)), ("(?:AB|cde)fg", ("fg",)), ("(?:AB|cde)f", ("ab", "cde"))])
 def test_literals_of_patterns(pattern, need):
     assert T.literals(pattern) == need
