@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import BATCH_BYTES, batches_by_bytes, quoted, unused
+from inkspan.llm.common import batches_by_bytes, quoted, unused
 
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
 # Symbols: the five classes (white space inside a run), the last white space before something else, a contraction's
@@ -42,7 +42,9 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_SPACE, TWO_LEFT, ONE_
 #: Characters of a block of the scan.
 BLOCK = 128
 #: Distinct slices that a worker keeps, and the longest kept; a full cache is emptied.
-MOST, LONGEST = 400_000, 64
+MOST, LONGEST = 200_000, 64
+#: Bytes that are split and merged at once; a few dozen bytes of memory go with each.
+PIECE = 1 << 20
 #: Slices from here on are merged with a heap.
 HEAP_FROM = 48
 
@@ -169,17 +171,18 @@ class Merger:
         return self._heap(word) if len(word) >= HEAP_FROM else self._plain(word)
 
     def _plain(self, word: bytes) -> list[int]:
+        rank_of, none = self.ranks.get, len(self.words)
         parts = [word[k : k + 1] for k in range(len(word))]
-        rank = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            best, at = min(((r, k) for k, r in enumerate(rank) if r is not None), default=(None, 0))
-            if best is None:
-                return [self.ranks[p] for p in parts]
+        rank = [rank_of(a + b, none) for a, b in zip(parts, parts[1:])]
+        while rank and (best := min(rank)) < none:
+            at = rank.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del rank[at]
-            for k in (at - 1, at):
-                if 0 <= k < len(rank):
-                    rank[k] = self.ranks.get(parts[k] + parts[k + 1])
+            if at < len(rank):
+                rank[at] = rank_of(parts[at] + parts[at + 1], none)
+            if at:
+                rank[at - 1] = rank_of(parts[at - 1] + parts[at], none)
+        return [self.ranks[p] for p in parts]
 
     def _heap(self, word: bytes) -> list[int]:
         """The same for long slices: parts in a linked list, their pairs in a heap with outdated ones skipped."""
@@ -250,7 +253,7 @@ def pieces(data: bytes, ends: list[int], most: int) -> Iterator[tuple[int, int]]
         a = b
 
 
-def encode_batch(texts: pa.Array, path: str, most: int = BATCH_BYTES) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def encode_batch(texts: pa.Array, path: str, most: int = PIECE) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(ids, byte offsets of the slices' first ids' ends) per text: ids as uint32, and for each id the end of its bytes."""
     m = merger(path)
     raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.cast(pa.binary())]
