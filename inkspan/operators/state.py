@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -71,3 +72,48 @@ def circuit_breaker(log: DataFrame, threshold: int = 3, open_s: float = 60.0) ->
     return ordered.mapInPandas(replay, "provider string, ts timestamp, seq long, ok boolean, allowed boolean")
 
 
+def bounded_cache(lookups: DataFrame, capacity: int = 500, seconds: float = 1800.0) -> DataFrame:
+    """(cache, key, ts, seq, value) -> hit, negative: replays each cache's lookups in order, at most `capacity` entries in memory a cache.
+
+    A lookup that finds no live entry stores its value; at capacity the entry that came first goes before. A cache's
+    lookups depend on one another, so a cache is one ordered log; more caches are more tasks.
+    """
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, entries = None, {}  # rows come by cache: only the last one's entries are held
+        for rows in batches:
+            hits, negative = [], []
+            for cache, key, t, value in zip(rows.cache, rows.key, rows.ts, rows.value):
+                if cache != name:
+                    name, entries = cache, {}
+                at = t.timestamp()
+                if key in entries and entries[key][0] < at:
+                    del entries[key]
+                hits.append(key in entries)
+                negative.append(bool(hits[-1] and entries[key][1]))
+                if not hits[-1]:
+                    if len(entries) >= capacity:
+                        del entries[next(iter(entries))]
+                    entries[key] = (at + seconds, pd.isna(value))
+            yield rows.drop(columns="value").assign(hit=hits, negative=negative)
+
+    ordered = lookups.select("cache", "key", "ts", "seq", "value").repartition("cache").sortWithinPartitions("cache", "ts", "seq")
+    return ordered.mapInPandas(replay, "cache string, key string, ts timestamp, seq long, hit boolean, negative boolean")
+
+
+def as_of(lookups: DataFrame, reads: DataFrame, seconds: int) -> DataFrame:
+    """lookups(key, ts, seq) with the state of what reads(key, ts, seq, value) left: hit, negative, read_at of the last read that is still fresh.
+
+    A read is fresh for `seconds`, so it can serve lookups of its own time bucket of that length and of the next. Both
+    sides meet by (key, bucket), in one window over the times: a key with many lookups is spread over its buckets, and
+    no pair of rows is made. A read at a lookup's time serves it; of reads of one time the last by seq counts.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = F.floor(micros("ts") / (seconds * 1_000_000))
+    r = reads.select("key", "ts", "seq", F.struct(F.col("ts").alias("at"), "value").alias("read"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    both = lookups.select("key", "ts", "seq", F.lit(None).cast(dict(r.dtypes)["read"]).alias("read"), bucket.alias("bucket"), F.lit(1).alias("kind"))
+    both = both.unionByName(r.withColumn("kind", F.lit(0)))
+    last = F.last("read", ignorenulls=True).over(W.partitionBy("key", "bucket").orderBy("ts", "kind", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
+    d = both.withColumn("last", last).where("kind = 1")
+    hit = F.coalesce(micros("ts") < micros("last.at") + seconds * 1_000_000, F.lit(False))
+    return d.select("key", "ts", "seq", hit.alias("hit"), (hit & F.col("last.value").isNull()).alias("negative"), F.when(hit, F.col("last.at")).alias("read_at"))

@@ -186,6 +186,33 @@ ld AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC,
 far AS (SELECT doc_id, language, sum(coalesce(abs(ld.r - lp.r), {length}))::BIGINT AS distance FROM ld CROSS JOIN (SELECT DISTINCT language FROM lp) LEFT JOIN lp USING (language, g) GROUP BY ALL)"""
 
 
+def breaker(threshold: int = 3, open_s: int = 60) -> str:
+    """Each provider's log replayed row by row: a run of failures opens the breaker, a later call closes it."""
+    return f"""WITH RECURSIVE log AS MATERIALIZED (SELECT 'p' || (user_id % 7) AS provider, ts, event_id AS seq, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS k FROM events),
+go(provider, k, failures, until, allowed) AS (
+  SELECT DISTINCT provider, 0::BIGINT, 0, NULL::TIMESTAMP, NULL::BOOLEAN FROM log
+  UNION ALL
+  SELECT x.provider, x.k, CASE WHEN shut THEN failures WHEN ok THEN 0 ELSE since + 1 END, CASE WHEN shut THEN until WHEN ok THEN NULL WHEN since + 1 >= {threshold} THEN ts + INTERVAL {open_s} SECONDS END, NOT shut
+  FROM (SELECT log.provider, log.k, log.ts, log.ok, go.failures, go.until, coalesce(log.ts < go.until, false) AS shut, CASE WHEN go.until IS NULL THEN go.failures ELSE 0 END AS since FROM go JOIN log ON log.provider = go.provider AND log.k = go.k + 1) x)
+SELECT provider, ts, seq, ok, allowed FROM go JOIN log USING (provider, k)"""
+
+
+def extracted() -> str:
+    white = T.WS.replace(r"\n", "")
+    t = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
+    for pattern, to in ((white + "+", "' '"), (" *\\n *", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)")):
+        t = f"regexp_replace({t}, '{pattern}', {to}, 'g')"
+    return f"SELECT doc_id, trim(regexp_replace({t}, '^{T.WS}+|{T.WS}+$', '', 'g')) AS text FROM documents"
+
+
+def rich_round_trip() -> str:
+    """Paragraphs by blank lines, trimmed; lines without blanks around them and runs of blanks; never two blank lines."""
+    lines = "list_transform(string_split(p, chr(10)), lambda x: regexp_replace(trim(x, chr(9) || ' '), '[ \\t]{2,}', ' ', 'g'))"
+    parts = f"list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda p: regexp_replace(p, '^{T.WS}+|{T.WS}+$', '', 'g')), lambda p: p <> '')"
+    whole = f"array_to_string(list_transform({parts}, lambda p: array_to_string({lines}, chr(10))), chr(10) || chr(10))"
+    return f"SELECT conv_id, turn, regexp_replace(regexp_replace({whole}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{T.WS}+|{T.WS}+$', '', 'g') AS text FROM conversations"
+
+
 REUSE_SCORE = f"""SELECT doc_id, {clamp('sum(score * w) / sum(w)')} AS plagiarism_score FROM
 (SELECT *, greatest(0.35, 1 - i * 0.08) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS i FROM matches WHERE confidence = 'page') WHERE i < 8) GROUP BY doc_id"""
 

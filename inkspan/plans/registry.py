@@ -120,6 +120,23 @@ def breaker(s, d):
     return state.circuit_breaker(e.select(F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string")).alias("provider"), "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok")))
 
 
+def _lookups(s, d) -> DataFrame:
+    """Events as lookups: seven caches, a key a user, and values that are null after errors."""
+    e = _t(s, d, "events")
+    return e.select(F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("cache"), F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("value"), "event_type")
+
+
+def cache_replay(s, d):
+    """Which lookups a cache of eight entries for ten hours answers."""
+    return state.bounded_cache(_lookups(s, d), 8, 36000.0)
+
+
+def page_lookups(s, d):
+    """Which views find what the last other event of their user left within the hour before."""
+    e = _lookups(s, d)
+    return state.as_of(e.where("event_type = 'view'"), e.where("event_type <> 'view'"), 3600)
+
+
 def history(s, d):
     return corpus.newest(_t(s, d, "events").select("event_id", "ts", "event_type"), "ts", "event_id")
 
@@ -340,7 +357,7 @@ def extracted(s, d):
 
 OWN = (
     word_stats, chunk_settings, text_chunks, windows, fingerprints, candidate_pairs, ngram_containment, longest_runs, reuse_matches, reuse_scores, page_url_dedupe, page_interleave, page_text, hydrated, diagnostics, rate_limits,
-    job_states, breaker, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, language_distances, language_confusion, prose_text,
+    job_states, breaker, cache_replay, page_lookups, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, language_distances, language_confusion, prose_text,
     prose_of_pages, analysis_texts, document_texts, rewritten, revision_diff, probe_queries, deep_probe_queries, recommended_settings, document_modes, accepted_texts, scan_matches, searched_candidates, searched_matches, document_scans, scan_reports, page_counters, search_notes,
     labels_of_scores, report_signals, task_outcomes, safe_pages, plain_as_html, rich_round_trip, file_facts, match_excerpts, extracted,
 )
@@ -384,6 +401,12 @@ SELECT *, (row_number() OVER (ORDER BY pos, provider))::INT AS place FROM q""",
 0::BIGINT AS timed_out, count(*) AS results, arg_max(CASE WHEN event_type = 'error' THEN event_type END, CASE WHEN event_type = 'error' THEN event_id END) AS skipped_reason FROM events GROUP BY 1""",
         "rate_limits": "SELECT user_id, time_bucket(INTERVAL 60 SECONDS, ts) AS window_start, count(*) AS requests, greatest(0, count(*) - 1)::BIGINT AS refused FROM events GROUP BY 1, 2",
         "job_states": "SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+        "page_lookups": """WITH l AS (SELECT user_id::VARCHAR AS key, ts, event_id AS seq FROM events WHERE event_type = 'view'), r AS (SELECT user_id::VARCHAR AS key, ts, event_id AS seq, CASE WHEN event_type <> 'error' THEN event_type END AS value FROM events WHERE event_type <> 'view'),
+j AS (SELECT l.key, l.ts, l.seq, r.ts AS found, r.value, row_number() OVER (PARTITION BY l.seq ORDER BY r.ts DESC NULLS LAST, r.seq DESC) AS k FROM l LEFT JOIN r ON r.key = l.key AND r.ts <= l.ts AND l.ts < r.ts + INTERVAL 1 HOUR)
+SELECT key, ts, seq, found IS NOT NULL AS hit, found IS NOT NULL AND value IS NULL AS negative, found AS read_at FROM j WHERE k = 1""",
+        "breaker": O.breaker(),
+        "extracted": O.extracted(),
+        "rich_round_trip": O.rich_round_trip(),
         "history": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
         "report_keys": "SELECT doc_id, sha256(text) || ':balanced' AS key FROM documents",
         "unlabelled": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

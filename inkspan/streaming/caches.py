@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkspan.operators.state import breaker_step, rate_limit
@@ -36,16 +37,25 @@ def breaker(log: DataFrame, threshold: int = 3, open_s: float = 60.0) -> DataFra
         for t, ok in zip(rows.ts, rows.ok):
             now, let = breaker_step(now, t.timestamp(), bool(ok), threshold, open_s)
             out.append(let)
-        state.update((now[0], now[1] or 0.0))
+        if now == (0, None):
+            state.remove()  # as if the provider had never failed
+        else:
+            state.update((now[0], now[1] or 0.0))
         yield rows.assign(allowed=out)[["provider", "ts", "seq", "ok", "allowed"]]
 
     return log.select("provider", "ts", "seq", "ok").groupBy("provider").applyInPandasWithState(step, "provider string, ts timestamp, seq long, ok boolean, allowed boolean", "failures int, until double", "append", GroupStateTimeout.NoTimeout)
 
 
-def cached(lookups: DataFrame, seconds: float) -> DataFrame:
-    """(key, ts, value) -> hit, negative: whether a lookup finds its key's value still fresh; a stored null is a hit, too."""
+def cached(lookups: DataFrame, seconds: float, late: str = "10 minutes") -> DataFrame:
+    """(key, ts, value) -> hit, negative: whether a lookup finds its key's value still fresh; a stored null is a hit, too.
+
+    A key's state goes when the watermark has passed its expiry, and rows later than the watermark are dropped.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until, empty = state.get if state.exists else (0.0, False)
         rows = pd.concat(list(frames)).sort_values("ts")
         hits, negative = [], []
@@ -56,9 +66,64 @@ def cached(lookups: DataFrame, seconds: float) -> DataFrame:
                 until, empty = at + seconds, value is None
             negative.append(bool(hits[-1] and empty))
         state.update((until, empty))
+        state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs()) + 1)
         yield rows.assign(hit=hits, negative=negative)[["key", "ts", "hit", "negative"]]
 
-    return lookups.select("key", "ts", "value").groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, hit boolean, negative boolean", "until double, empty boolean", "append", GroupStateTimeout.NoTimeout)
+    return lookups.select("key", "ts", "value").withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, hit boolean, negative boolean", "until double, empty boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class BoundedCache(StatefulProcessor):
+    """A cache of at most `capacity` entries that live for `seconds`, one for each key of the grouping.
+
+    A lookup that finds no live entry stores its value. At capacity a store first drops the entry that came first, also
+    if it then overwrites another; an overwritten entry keeps its place. Expired entries count until they are looked
+    up. Entries are a map state; the order in which they came is a second one, from number to key, read from a moving
+    first number on. State per cache is bounded by the capacity.
+    """
+
+    def __init__(self, capacity: int, seconds: float) -> None:
+        self.capacity, self.seconds = capacity, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getMapState("entries", "key string", "number long, until double, empty boolean")
+        self.order = handle.getMapState("order", "number long", "key string")
+        self.counts = handle.getValueState("counts", "first long, next long, size long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, next_, size = self.counts.get() if self.counts.exists() else (0, 0, 0)
+        table = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        hits, negative = [], []
+        for k, t, value in zip(table.key, table.ts, table.value):
+            at = t.timestamp()
+            entry = self.entries.getValue((k,)) if self.entries.containsKey((k,)) else None
+            if entry is not None and entry[1] < at:  # expired: it goes
+                self.entries.removeKey((k,))
+                self.order.removeKey((entry[0],))
+                size, entry = size - 1, None
+            hits.append(entry is not None)
+            negative.append(bool(entry and entry[2]))
+            if entry is not None:
+                continue
+            if size >= self.capacity:
+                while not self.order.containsKey((first,)):
+                    first += 1
+                self.entries.removeKey(self.order.getValue((first,)))
+                self.order.removeKey((first,))
+                first, size = first + 1, size - 1
+            self.entries.updateValue((k,), (next_, at + self.seconds, pd.isna(value)))
+            self.order.updateValue((next_,), (k,))
+            next_, size = next_ + 1, size + 1
+        self.counts.update((first, next_, size))
+        yield table.assign(hit=hits, negative=negative)[["cache", "key", "ts", "seq", "hit", "negative"]]
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_cache(lookups: DataFrame, capacity: int = 500, seconds: float = 1800.0) -> DataFrame:
+    """(cache, key, ts, seq, value) -> hit, negative, as the batch form `state.bounded_cache` has it. Needs the RocksDB state store."""
+    grouped = lookups.select("cache", "key", "ts", "seq", "value").groupBy("cache")
+    return grouped.transformWithStateInPandas(BoundedCache(capacity, seconds), "cache string, key string, ts timestamp, seq long, hit boolean, negative boolean", "Append", "None")
 
 
 def job_states(events: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import align, corpus, prep, probe, report, rewrite, stylometry
+from inkspan.operators import align, corpus, prep, probe, report, rewrite, state, stylometry
 from inkspan.sources import files, html
 from inkspan.streaming import caches
 
@@ -303,3 +303,64 @@ def test_texts_without_a_patterns_literals_need_no_search(spark):
 @pytest.mark.parametrize("pattern,need", [("abc|de", ("abc", "de")), ("a(?:bcd|xy)?e+f", ("a",)), (r"\s*x{0,3}", None), (r"[12]yz\d", ("yz",)), ("(?:AB|cde)fg", ("fg",)), ("(?:AB|cde)f", ("ab", "cde"))])
 def test_literals_of_patterns(pattern, need):
     assert T.literals(pattern) == need
+
+
+def plain_cache(log, capacity, seconds):
+    """Lookups in order against a dictionary a cache, which keeps the order of first insertion."""
+    caches_, out = {}, {}
+    for cache, key, ts, seq, value in sorted(log, key=lambda x: (x[2], x[3])):
+        entries = caches_.setdefault(cache, {})
+        if key in entries and entries[key][0] < ts:
+            del entries[key]
+        out[seq] = (key in entries, key in entries and entries[key][1])
+        if key not in entries:
+            if len(entries) >= capacity:
+                del entries[min(entries, key=lambda k: entries[k][2])]
+            entries[key] = (ts + dt.timedelta(seconds=seconds), value is None, seq)
+    return out
+
+
+LOOKUPS = "cache string, key string, ts timestamp, seq long, value string"
+
+
+def lookup_log(n, seed=3):
+    r, t = random.Random(seed), dt.datetime(2024, 1, 1)
+    times = sorted(t + dt.timedelta(seconds=r.randrange(400)) for _ in range(n))
+    return [(r.choice("ab"), f"k{r.randrange(9)}", at, k, r.choice([None, "v"])) for k, at in enumerate(times)]
+
+
+def test_bounded_cache_against_a_dictionary(spark):
+    log = lookup_log(300)
+    got = state.bounded_cache(spark.createDataFrame(log, LOOKUPS).repartition(3), 4, 60.0).collect()
+    assert {x.seq: (x.hit, x.negative) for x in got} == plain_cache(log, 4, 60.0)
+    assert state.bounded_cache(spark.createDataFrame([], LOOKUPS)).count() == 0
+
+
+def test_bounded_cache_in_a_stream(spark, tmp_path):
+    log = lookup_log(160, seed=5)
+    name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src = str(tmp_path / "in")
+        for part in (log[:70], log[70:]):  # two micro-batches: the state lives on between them
+            spark.createDataFrame(part, LOOKUPS).coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(LOOKUPS).parquet(src)
+            q = caches.bounded_cache(stream, 4, 60.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        got = spark.read.parquet(str(tmp_path / "out")).collect()
+    finally:
+        spark.conf.set(name, old)
+    assert {x.seq: (x.hit, x.negative) for x in got} == plain_cache(log, 4, 60.0)
+
+
+def test_as_of_against_all_reads(spark):
+    r, t = random.Random(9), dt.datetime(2024, 1, 1)
+    row = lambda k: (r.choice("xy"), t + dt.timedelta(seconds=r.randrange(600)), k)
+    lookups, reads = [row(k) for k in range(150)], [(*row(k), r.choice([None, "page"])) for k in range(40)]
+    reads += [(k, at, 1000 + j, None) for j, (k, at, _, _) in enumerate(reads[:5])]  # of one time, the last by seq
+    got = state.as_of(spark.createDataFrame(lookups, "key string, ts timestamp, seq long"), spark.createDataFrame(reads, "key string, ts timestamp, seq long, value string"), 30).collect()
+    expected = {}
+    for key, ts, seq in lookups:
+        live = max(((a, s, v is None) for k, a, s, v in reads if k == key and a <= ts < a + dt.timedelta(seconds=30)), default=None)
+        expected[seq] = (live is not None, bool(live and live[2]), live and live[0])
+    assert {x.seq: (x.hit, x.negative, x.read_at) for x in got} == expected
