@@ -213,6 +213,39 @@ def rich_round_trip() -> str:
     return f"SELECT conv_id, turn, regexp_replace(regexp_replace({whole}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^{T.WS}+|{T.WS}+$', '', 'g') AS text FROM conversations"
 
 
+def task_outcomes() -> str:
+    went = "CASE WHEN allowed THEN 1 ELSE 0 END"
+    return f"""WITH b AS ({breaker()}) SELECT provider, seq, ({went})::INT AS attempted, ({went} * ok::INT)::INT AS succeeded, ({went} * (NOT ok)::INT)::INT AS failed,
+({went} * (NOT ok)::INT * (seq % 2 = 0)::INT)::INT AS timed_out, ({went} * ok::INT * 3)::INT AS results, CASE WHEN NOT allowed THEN 'тимчасово призупинено після повторних помилок' END AS skipped_reason FROM b"""
+
+
+def document_texts() -> str:
+    """Prose without the title page: two of its marks and a heading of the body in the first 5000 characters."""
+    head = "substr(prose, 1, 5000)"
+    marks = " + ".join(f"regexp_matches({head}, {q('(?i)' + ws(m))})::INT" for m in prep.TITLE)
+    body = f"(?is)^((?:.*?{OUT})?){ws('(?:вступ|розділ' + chr(92) + 's*1|розділ' + chr(92) + 's*i|chapter' + chr(92) + 's*1|introduction)')}(?:$|{OUT})"
+    return f"""WITH src AS (SELECT doc_id, text AS raw FROM documents), {prose_ctes('src', 'doc_id')},
+t0 AS (SELECT *, {marks} AS marks, regexp_matches({head}, {q(body)}) AS found, length(regexp_extract({head}, {q(body)}, 1)) AS pos FROM prosed),
+t1 AS (SELECT *, CASE WHEN marks >= 2 AND found AND pos > 40 AND length(substr(prose, pos + 1)) > 120 THEN substr(prose, pos + 1) ELSE prose END AS body FROM t0)
+SELECT doc_id, body AS text, {count_words('substr(prose, 1, length(prose) - length(body))')}::INT AS skipped_title_words, code_words, code_blocks FROM t1"""
+
+
+def scan_reports() -> str:
+    """Scores, verdicts and the summary's sentences for the scan in two phases; all searches count for every document."""
+    # The report's sentences.
+    said = """CASE verdict WHEN 'insufficient' THEN 'Для локального AI-висновку недостатньо авторського тексту.' WHEN 'mixed' THEN 'Локальний AI-аналіз виявив неоднорідні сегменти; індикатор ризику: ' || probability || '%.' WHEN 'uncertain' THEN 'Локальний AI-аналіз невизначений; індикатор ризику: ' || probability || '%.'
+  WHEN 'high' THEN 'Локальний AI-аналіз показує високий ризик; індикатор: ' || probability || '%.' WHEN 'elevated' THEN 'Локальний AI-аналіз показує підвищений ризик; індикатор: ' || probability || '%.' ELSE 'Локальний AI-аналіз показує низький ризик; індикатор: ' || probability || '%.' END"""
+    return f"""WITH matches AS MATERIALIZED ({scan()}), verdicts AS MATERIALIZED (WITH {verdict_ctes()} SELECT doc_id, probability, verdict FROM judged), scores AS ({REUSE_SCORE}),
+per AS (SELECT doc_id, count(*) AS n_matches, count(*) FILTER (confidence = 'page') AS n_confirmed, arg_min(score, rank) FILTER (confidence = 'page') AS top_score, arg_min('item ' || split_part(url, ':', 2), rank) FILTER (confidence = 'page') AS top_title FROM matches GROUP BY doc_id),
+total AS (SELECT count(*) AS attempted, count(*) FILTER (event_type <> 'error') AS succeeded FROM events),
+r AS (SELECT doc_id, coalesce(plagiarism_score, 0) AS plagiarism_score, probability, verdict, coalesce(n_matches, 0) AS n_matches, coalesce(n_confirmed, 0) AS n_confirmed, top_score, top_title, attempted, succeeded, {said} AS said FROM verdicts LEFT JOIN per USING (doc_id) LEFT JOIN scores USING (doc_id), total)
+SELECT doc_id, plagiarism_score, probability, verdict, n_matches, n_confirmed, CASE
+  WHEN n_matches = 0 AND succeeded = 0 AND attempted > 0 THEN 'Вебпошук не завершено: усі ' || attempted || ' запитів завершилися помилкою. Відсутність збігів не підтверджена. ' || said
+  WHEN n_matches = 0 THEN 'Сильних збігів у відкритих вебджерелах не знайдено. ' || said
+  WHEN n_confirmed = 0 THEN 'Знайдено ' || n_matches || ' можливих джерел у пошукових уривках, але текст сторінок не підтверджено. Вони не впливають на ризик плагіату. ' || said
+  ELSE 'Найсильніший підтверджений збіг: ' || top_score || '% з "' || top_title || '". Загальний ризик плагіату: ' || plagiarism_score || '%. ' || said || CASE WHEN n_matches > n_confirmed THEN ' Ще ' || (n_matches - n_confirmed) || ' пошукових підказок потребують підтвердження.' ELSE '' END END AS summary FROM r"""
+
+
 REUSE_SCORE = f"""SELECT doc_id, {clamp('sum(score * w) / sum(w)')} AS plagiarism_score FROM
 (SELECT *, greatest(0.35, 1 - i * 0.08) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS i FROM matches WHERE confidence = 'page') WHERE i < 8) GROUP BY doc_id"""
 

@@ -405,6 +405,9 @@ SELECT *, (row_number() OVER (ORDER BY pos, provider))::INT AS place FROM q""",
 j AS (SELECT l.key, l.ts, l.seq, r.ts AS found, r.value, row_number() OVER (PARTITION BY l.seq ORDER BY r.ts DESC NULLS LAST, r.seq DESC) AS k FROM l LEFT JOIN r ON r.key = l.key AND r.ts <= l.ts AND l.ts < r.ts + INTERVAL 1 HOUR)
 SELECT key, ts, seq, found IS NOT NULL AS hit, found IS NOT NULL AND value IS NULL AS negative, found AS read_at FROM j WHERE k = 1""",
         "breaker": O.breaker(),
+        "task_outcomes": O.task_outcomes(),
+        "document_texts": O.document_texts(),
+        "scan_reports": O.scan_reports(),
         "extracted": O.extracted(),
         "rich_round_trip": O.rich_round_trip(),
         "history": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
