@@ -185,12 +185,20 @@ def single_pass(units: DataFrame, text: str = "text", evidence: bool = False) ->
     return d.withColumns(own).select(*units.columns, wc.alias("word_count"), *[n for n, _, _ in names], "safeguard", F.size("strong_list").alias("strong"), "weak", "probability", "ranked", *own)
 
 
+def counted(c: Column) -> Column:
+    """Structs (first, x, n) of the elements that occur n >= 2 times, in the order of their first places: runs of the sorted places."""
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda e, i: F.when((i == 0) | (F.get(s, i - 1)["x"] != e["x"]), i)), lambda i: i.isNotNull())
+        return let(heads, lambda h: F.transform(h, lambda p, k: F.struct(F.get(s, p)["i"].alias("first"), F.get(s, p)["x"].alias("x"), (F.coalesce(F.get(h, k + 1), F.size(s)) - p).alias("n"))))
+
+    places = F.sort_array(F.transform(c, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    return F.array_sort(F.filter(let(places, runs), lambda e: e["n"] >= 2))
+
+
 def _evidence(d: DataFrame) -> dict[str, Column]:
     norm, none = F.col("norm"), F.array().cast("array<string>")
     where = lambda p: F.when(may_match(F.col("low"), _core(p)), found(norm, java(p))).otherwise(none)
-    # a filter over the repeated ones, which `array_except` of single ones would have to compare in pairs
-    again = lambda c: let(F.sort_array(c), lambda s: F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1) == x)) | ((i < F.size(s) - 1) & (F.get(s, i + 1) == x))))
-    counted = lambda c: let(again(c), lambda a: F.transform(F.array_intersect(c, a), lambda x: F.struct(x.alias("x"), F.size(F.filter(a, lambda y: y == x)).alias("n"))))
     shown = lambda a: F.slice(F.transform(a, lambda e: F.concat(e["x"], F.lit(" ("), e["n"].cast("string"), F.lit("x)"))), 1, 4)
     by_count = lambda a: F.transform(F.array_sort(F.transform(a, lambda e, i: F.struct((-e["n"]).alias("m"), i.alias("i"), e.alias("e")))), lambda t: t["e"])
     rich = F.round(F.col("mattr") * 100).cast("int").cast("string")
@@ -221,9 +229,9 @@ def signals(units: DataFrame, text: str = "text") -> DataFrame:
     each = [F.struct((-F.col(n)).alias("minus"), F.lit(k).alias("k"), F.lit(LABELS[n]).alias("label"), F.lit(c).alias("category"), F.col(n).alias("score"), F.col(f"e_{n}").alias("evidence")) for k, (n, c, _) in enumerate(drafts())]
     shown = F.slice(F.array_sort(F.filter(F.array(*each), lambda x: (x["score"] >= 5) | (F.size(x["evidence"]) > 0))), 1, 20)
     last = F.struct(F.lit(0).alias("minus"), F.lit(99).alias("k"), F.lit(LABELS["safeguard"]).alias("label"), F.lit("safeguard").alias("category"), F.col("safeguard").alias("score"), F.col("e_safeguard").alias("evidence"))
-    d = d.select("doc_id", "word_count", F.posexplode(F.concat(shown, F.array(last))).alias("place", "s"))
-    # the zero makes the condition one that isn't pushed down, where the whole preparation of the text would be done once more
-    d = d.where(F.col("word_count") + F.floor(F.rand(0)) >= 10)
+    every = F.concat(shown, F.array(last))
+    # texts of fewer than ten words have no rows; a filter on the count would be pushed down and the text prepared once more
+    d = d.select("doc_id", F.posexplode(F.when(F.col("word_count") >= 10, every)).alias("place", "s"))
     return d.select("doc_id", "place", "s.label", "s.category", "s.score", "s.evidence")
 
 

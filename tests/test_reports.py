@@ -364,3 +364,9 @@ def test_as_of_against_all_reads(spark):
         live = max(((a, s, v is None) for k, a, s, v in reads if k == key and a <= ts < a + dt.timedelta(seconds=30)), default=None)
         expected[seq] = (live is not None, bool(live and live[2]), live and live[0])
     assert {x.seq: (x.hit, x.negative, x.read_at) for x in got} == expected
+
+
+def test_repeated_elements_are_counted_in_first_order(spark):
+    lists = [[], ["a"], list("abcabxcz"), ["x"] * 5 + ["y", "b", "y"], ["ж", "a", "ж"]]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<string>").select("k", stylometry.counted(F.col("x")).alias("c")).collect()
+    assert {r.k: [(e.x, e.n) for e in r.c] for r in got} == {k: [(y, x.count(y)) for y in dict.fromkeys(x) if x.count(y) > 1] for k, x in enumerate(lists)}
