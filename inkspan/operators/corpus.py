@@ -24,11 +24,15 @@ def interleave(candidates: DataFrame, group: str, pos: str, block: int = 1024) -
     """Round robin over groups, as a place in the whole list. (group, pos) are unique; pos counts from 1.
 
     A place is the rows of all groups before this row's block of positions, and the place within the block, so no task
-    sees more than a block of every group.
+    sees more than a block of every group. The rows before a block are running sums in two steps: over blocks of blocks,
+    whose number alone goes to one task, and over the blocks within each.
     """
     rows = candidates.withColumn("at_block", F.floor(F.col(pos) / block))
-    sums = rows.groupBy("at_block").agg(F.count(F.lit(1)).alias("rows"))
-    before = sums.alias("a").join(sums.alias("b"), F.expr("b.at_block < a.at_block"), "left").groupBy(F.col("a.at_block").alias("at_block")).agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("before"))
+    sums = rows.groupBy("at_block").agg(F.count(F.lit(1)).alias("rows")).withColumn("wide", F.floor(F.col("at_block") / block))
+    within_wide = W.partitionBy("wide").orderBy("at_block")
+    wide = sums.groupBy("wide").agg(F.sum("rows").alias("wide_rows")).withColumn("wide_before", F.sum("wide_rows").over(W.orderBy("wide")) - F.col("wide_rows"))
+    before = sums.withColumn("own_before", F.sum("rows").over(within_wide) - F.col("rows")).join(wide, "wide")
+    before = before.select("at_block", (F.col("wide_before") + F.col("own_before")).alias("before"))
     within = F.row_number().over(W.partitionBy("at_block").orderBy(pos, group))
     return rows.withColumn("within", within).join(before, "at_block").withColumn("place", (F.col("before") + F.col("within")).cast("int")).drop("at_block", "before", "within")
 

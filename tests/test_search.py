@@ -127,3 +127,12 @@ def test_modes_limit_queries_and_candidates(spark):
     d = spark.createDataFrame([(1, k) for k in range(30)], "doc_id int, f int")
     count = lambda deep, most: report.limited(d, ["doc_id"], ["f"], deep, F.lit(most)).count()
     assert [count(False, 50), count(True, 50), count(True, 5)] == [10, 18, 5] and Settings().threshold == 32
+
+
+@pytest.mark.parametrize("block", [2, 3, 1024])
+def test_interleaving_in_blocks_of_any_size(spark, block):
+    from inkspan.operators import corpus
+
+    rows = [(g, p) for g, n in (("a", 50), ("b", 3), ("c", 21)) for p in range(1, n + 1)]
+    got = {(r.g, r.p): r.place for r in corpus.interleave(spark.createDataFrame(rows, "g string, p int"), "g", "p", block=block).collect()}
+    assert got == {r: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
