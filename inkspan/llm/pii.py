@@ -46,7 +46,8 @@ GENERATORS = {
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}(?![A-Za-z0-9_+/-])"),
-    "email_masked": re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z0-9-]{1,63}){1,4}"),
+    # possessive, and only from the start of a run, so that runs of any length are read once
+    "email_masked": re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z0-9-]++)+"),
 }
 CUES = {"phone_local": ("phone", "tel", "call", "mobile", "fax"), "ssn": ("ssn", "social", "security"), "iban": ("iban", "account", "bank"), "secret": ("token", "key", "secret", "password", "pwd", "api"), "email_masked": ("mail", "contact", "write")}
 AGAINST = ("order", "invoice", "isbn", "version", "page", "part", "item", "serial", "build", "http", "www", "ref", "id", "date")
