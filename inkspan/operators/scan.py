@@ -11,18 +11,19 @@ from inkspan.functions.text import normalize_ws
 from inkspan.operators import corpus as C
 from inkspan.operators import match, prep, report, search, stylometry
 from inkspan.operators.sequence import Settings, chunks
-from inkspan.sources.tables import kept
+from inkspan.sources.tables import counted, kept
 
 
 @dataclass
 class Scan:
-    """refused(doc_id, gate), matches, notes(doc_id, place, note), diagnostics(doc_id, provider, ...), reports."""
+    """refused(doc_id, gate), matches, notes(doc_id, place, note), diagnostics(doc_id, provider, ...), reports; counters of the run."""
 
     refused: DataFrame
     matches: DataFrame
     notes: DataFrame
     diagnostics: DataFrame
     reports: DataFrame
+    counters: dict[str, int]
 
 
 PROVIDER = "local"
@@ -34,28 +35,31 @@ def candidate_pairs(candidates: DataFrame, parts: DataFrame, corpus: DataFrame)
     return candidates.select("doc_id", "chunk_index", "source").join(p, ["doc_id", "chunk_index"]).join(search.sources(corpus), "source").drop("source")
 
 
-def searched_matches(docs: DataFrame, corpus: DataFrame, pages: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ranked matches, queries with results, pages read) of documents whose chunks are looked for in a corpus(title, url, snippet, source_text).
+def searched_matches(docs: DataFrame, corpus: DataFrame, pages: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """(ranked matches, queries with results, pages read, counters) of documents whose chunks are looked for in a corpus(title, url, snippet, source_text).
 
     Candidates of documents that aren't long are read before they are scored; of the others those whose snippet comes
     near the threshold are read and scored once more. Of both the higher score counts.
     """
     deep = s.sensitivity == "deep"
-    parts = kept(chunks(docs, s), "chunks")
+    every = F.count(F.lit(1))
+    parts, n_parts = counted(chunks(docs, s), "chunks", every.alias("chunks"))
     of = kept(search.modes(docs, parts, deep), "modes")
     index = search.build(C.complete(corpus))
-    queries = kept(search.chunk_queries(parts, of, deep), "queries")
-    candidates = kept(search.chunk_candidates(index, queries, deep), "candidates")
+    queries, n_queries = counted(search.chunk_queries(parts, of, deep), "queries", every.alias("queries"))
+    candidates, n_candidates = counted(search.chunk_candidates(index, queries, deep), "candidates", every.alias("candidates"))
     pairs = candidate_pairs(candidates, parts, corpus).join(of.select("doc_id", "long"), "doc_id")
-    read = kept(C.hydrate(pairs, pages).drop("url_key"), "read")
+    verified = F.length(F.coalesce("source_text", F.lit(""))) > 0
+    read, n_read = counted(C.hydrate(pairs, pages).drop("url_key"), "read", F.count_if(verified).alias("verified"), F.count_if(~verified).alias("unavailable"))
     scored = lambda d: match.score_pairs(d, ["doc_id", "chunk_index"])
     first = kept(scored(read.where("NOT long").drop("long").unionByName(pairs.where("long").drop("long"))), "scored")
     targets = report.hydration_targets(first, of, s).select("doc_id", "chunk_index", "url").distinct()
     again = read.join(targets, ["doc_id", "chunk_index", "url"], "left_semi").drop("long")
-    every = first.withColumn("phase", F.lit(0)).unionByName(scored(again).withColumn("phase", F.lit(1)))
-    asked = read.where("NOT long").drop("long").unionByName(again).select("doc_id", F.col("url"), (F.length(F.coalesce("source_text", F.lit(""))) > 0).alias("verified")).distinct()
-    ranked = match.ranked_matches(match.unique_matches(every, "phase"), s).drop("phase")
-    return ranked, queries.join(candidates.groupBy("doc_id", "chunk_index").agg(F.count(F.lit(1)).alias("results")), ["doc_id", "chunk_index"], "left"), asked
+    both = first.withColumn("phase", F.lit(0)).unionByName(scored(again).withColumn("phase", F.lit(1)))
+    asked = read.where("NOT long").drop("long").unionByName(again).select("doc_id", F.col("url"), verified.alias("verified")).distinct()
+    ranked = match.ranked_matches(match.unique_matches(both, "phase"), s).drop("phase")
+    queries = queries.join(candidates.groupBy("doc_id", "chunk_index").agg(every.alias("results")), ["doc_id", "chunk_index"], "left")
+    return ranked, queries, asked, n_parts | n_queries | n_candidates | n_read
 
 
 def _note(when: Column, *parts) -> Column:
@@ -89,9 +93,10 @@ def scan_documents(docs: DataFrame, corpus: DataFrame, pages: DataFrame, s: Sett
     made = prep.document_text(raw.where("accepted").select("doc_id", *lang, "text"), *lang).withColumn("text", normalize_ws(F.col("text")))
     ready = report.long_enough(made)
     refused = raw.where("NOT accepted").select("doc_id", F.lit("received").alias("gate")).unionByName(ready.where("NOT accepted").select("doc_id", F.lit("prepared").alias("gate")))
-    ready = kept(ready.where("accepted").drop("accepted"), "prepared")
-    ranked, queries, asked = searched_matches(ready.select("doc_id", "text"), corpus, pages, s)
-    ranked = kept(ranked, "ranked")
+    ready, n_ready = counted(ready, "prepared", F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"))
+    ready = ready.where("accepted").drop("accepted")
+    ranked, queries, asked, n_found = searched_matches(ready.select("doc_id", "text"), corpus, pages, s)
+    ranked, n_ranked = counted(ranked, "ranked", F.count(F.lit(1)).alias("matches"))
     of = search.modes(ready, chunks(ready, s), s.sensitivity == "deep").select("doc_id", "n_words", "n_chunks", "long")
     per = queries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("attempted"))
     found = queries.select("doc_id", "chunk_index", "results").distinct().groupBy("doc_id").agg(F.coalesce(F.sum("results"), F.lit(0)).alias("results"))
@@ -102,4 +107,4 @@ def scan_documents(docs: DataFrame, corpus: DataFrame, pages: DataFrame, s: Sett
     titles = search.sources(corpus).select("url", "title")
     made_reports = report.reports(ready, ranked, stylometry.ensemble(ready, profiles=profiles), titles, diagnostics.withColumn("skipped_reason", F.lit(None).cast("string")))
     made_reports = made_reports.join(of.select("doc_id", F.col("n_words").alias("word_count"), F.col("n_chunks").alias("chunks_checked")), "doc_id").join(ready.select("doc_id", "skipped_title_words"), "doc_id")
-    return Scan(refused, ranked, notes_of(facts), diagnostics, made_reports)
+    return Scan(refused, ranked, notes_of(facts), diagnostics, made_reports, n_ready | n_found | n_ranked)

@@ -300,7 +300,7 @@ def searched_candidates(s, d):
 def searched_matches(s, d):
     """The scan of each chunk against its own candidates: snippets, whose pages are read."""
     pages = _corpus(s, d).select("url", F.col("source_text").alias("text"))
-    ranked, _, _ = scan.searched_matches(_t(s, d, "documents"), _snippets(s, d), pages)
+    ranked, *_ = scan.searched_matches(_t(s, d, "documents"), _snippets(s, d), pages)
     return ranked.select("doc_id", "chunk_index", "url", "score", "longest_run", "confidence", "rank")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def kept_dir(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, *counters: Column) -> tuple[DataFrame, dict]:
+    """`df` kept, and counters of its rows, taken while it is written: no second pass."""
+    seen = Observation(name)
+    out = kept(df.observe(seen, *counters), name)
+    return out, seen.get

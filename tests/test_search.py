@@ -110,6 +110,8 @@ def test_documents_are_scanned_as_prepared(spark):
     pages = spark.createDataFrame([("https://a.b/c", f"before it {passage} and after it there is more text of the page")], "url string, text string")
     got = scan.scan_documents(spark.createDataFrame(docs, "doc_id int, text string, lang string"), corpus, pages)
     assert sorted((x.doc_id, x.gate) for x in got.refused.collect()) == [(2, "received"), (3, "prepared"), (4, "received")]
+    c = got.counters
+    assert (c["accepted"], c["refused"], c["matches"], c["verified"], c["unavailable"]) == (2, 1, 1, 1, 0) and c["chunks"] == 2 <= c["queries"] and c["candidates"] == 1
     hit = got.matches.collect()
     assert [(x.doc_id, x.url, x.confidence) for x in hit] == [(1, "https://a.b/c", "page")] and hit[0].longest_run >= 20
     notes = [x.note for x in sorted(got.notes.where("doc_id = 1").collect(), key=lambda x: x.place)]
@@ -136,3 +138,9 @@ def test_interleaving_in_blocks_of_any_size(spark, block):
     rows = [(g, p) for g, n in (("a", 50), ("b", 3), ("c", 21)) for p in range(1, n + 1)]
     got = {(r.g, r.p): r.place for r in corpus.interleave(spark.createDataFrame(rows, "g string, p int"), "g", "p", block=block).collect()}
     assert got == {r: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+
+
+def test_nothing_is_scanned(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = scan.scan_documents(none("doc_id int, text string, lang string"), none(CORPUS), none("url string, text string"))
+    assert got.reports.count() == got.matches.count() == got.notes.count() == 0 and set(got.counters.values()) == {0}
