@@ -62,6 +62,26 @@ LABELS = {
     "syntax": "Роботична структура та синтаксис", "academic": "Шаблон академічної генерації", "leak": "Prompt-leak та ШІ-відмови", "safeguard": "Запобіжники від false positive",
     "segments": "Сегментна узгодженість AI-ознак", "excluded": "Вилучений неавторський вміст",
 }
+#: Fixed values: (signal, least score, what is said from there on, what is said below); {cv}, {mattr} and {n} are filled in. For pattern groups it's the number of matches that counts.
+DETAILS = (
+    ("rhythm", 50, 'Текст має надто рівномірну структуру речень (CV: {cv}). Людський текст зазвичай чергує довгі й короткі речення, ШІ пише "гладко".', "Варіативність довжини речень виглядає природною."),
+    ("lexical", 50, "Локальна різноманітність словника низька або є повторювані фрази (MATTR: {mattr}%).", "Локальна різноманітність словника не виглядає підозрілою (MATTR: {mattr}%)."),
+    ("transition", 40, "Висока концентрація слів-зв'язок (тому, однак, крім того), що часто використовуються мовними моделями для логічної 'склейки'.", "Перехідні слова у нормі."),
+    ("hedge", 40, "У тексті часто повторюються модальні або обережні слова; ця ознака враховується лише разом з іншими сигналами.", "Обережні формулювання не домінують."),
+    ("starts", 40, "Виявлено шаблони у початку речень. ШІ схильний починати кілька речень поспіль однаковими конструкціями.", "Початки речень різноманітні."),
+    ("impersonal", 45, "Стиль написання відсторонений та надто об'єктивізований. Хоча це типово для науки, надмірна кількість таких слів — маркер ШІ.", "Стиль подачі не виглядає шаблонно-академічним."),
+    ("punctuation", 25, "Пунктуація надто проста або рівна. Людські автори частіше використовують дужки, крапки з комою, тире або окличні знаки (подвійні дефіси не рахуються).", "Пунктуаційний малюнок не виглядає шаблонним."),
+)
+GROUP_DETAIL = "Знайдено {n} маркерів. Вони часто зустрічаються у згенерованих текстах.", "Явних маркерів цієї групи не знайдено."
+SAFEGUARD_DETAIL = "Контекстні фактори, що знижують надійність автоматичного висновку, але не доводять людське авторство."
+#: The sentences for the reasons of a verdict's reliability, those of a language by its percentage, and what is added for what was left out.
+REASONS = {
+    "short": "Після вилучення коду, цитат і службових частин лишилося замало авторського тексту для стилометричного висновку.", "unsteady": "Текст надто короткий для стійкого стилометричного висновку.",
+    "mixed-origin": "Сегменти сильно відрізняються між собою; документ може мати змішане походження або різні жанри.", "few-segments": "Для перевірки доступно мало незалежних сегментів.",
+    "agreed": "Обсяг достатній, а сегментні оцінки узгоджені.", "moderate": "Оцінка має помірну доказовість і потребує ручної перевірки сигналів.",
+}
+LANGUAGE_REASONS = {0: "У тексті недостатньо мовного матеріалу для визначення покриття.", 30: "Російська мова має обмежену підтримку та не рекомендується для аналізу.", 35: "Мовне покриття детектора обмежене; результат слід читати як невизначений сигнал."}
+LEFT_OUT = " Неавторський або технічний вміст вилучено: {n} слів."
 CHANNELS = {"statistical": 0.38, "pattern": 0.42, "structure": 0.20}
 #: Fixed values: (signal, channel, weight) of the drafts that aren't pattern groups.
 DRAFTS = (("rhythm", "statistical", 1.0), ("lexical", "statistical", 0.8), ("transition", "pattern", 0.85), ("hedge", "pattern", 0.45), ("starts", "structure", 0.75), ("impersonal", "pattern", 0.95), ("punctuation", "structure", 0.5))
@@ -117,6 +137,22 @@ def repeats(a: Column) -> tuple[Column, Column]:
     return F.size(again), let(again, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def filled(sentence: str, **values: Column) -> Column:
+    """A sentence with its {names} replaced."""
+    out = F.lit(sentence)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string")) if "{" + name + "}" in sentence else out
+    return out
+
+
+def reason_text(code: Column, percent: Column, word_count: Column, excluded: Column) -> Column:
+    """The sentence for a reason of `ensemble`, and how many words were left out of a text that isn't too short."""
+    told = F.when(code == "language", F.coalesce(*[F.when(percent == p, t) for p, t in LANGUAGE_REASONS.items()]))
+    for name, sentence in REASONS.items():
+        told = told.when(code == name, sentence)
+    return F.concat(told, F.when((excluded > 0) & (word_count >= 80), filled(LEFT_OUT, n=excluded)).otherwise(""))
+
+
 def drafts() -> list[tuple[str, str, float]]:
     return [*DRAFTS, *((n, c, w) for n, c, w, _ in GROUPS)]
 
@@ -124,7 +160,7 @@ def drafts() -> list[tuple[str, str, float]]:
 def single_pass(units: DataFrame, text: str = "text", evidence: bool = False) -> DataFrame:
     """`units` with word_count, the score of every signal, safeguard, probability and the signals of 12 or more.
 
-    With `evidence` also what each signal rests on, as columns e_<signal>.
+    With `evidence` also what each signal rests on, as columns e_<signal>, and what is said of it, as d_<signal>.
     """
     d = units.withColumn("norm", normalize_ws(F.col(text))).withColumn("words", tokens(F.col("norm"), True)).withColumn("content", F.filter("words", lambda w: ~w.isin(STOP_WORDS)))
     d = d.withColumn("sents", sentences(F.col("norm"))).withColumn("wc", F.size("words")).withColumn("low", folded(F.col("norm")))
@@ -149,10 +185,8 @@ def single_pass(units: DataFrame, text: str = "text", evidence: bool = False) ->
         "impersonal": clamp_score(F.least(F.lit(1.0), F.size(listed(F.col("low"), IMPERSONAL)) / F.greatest(F.lit(1.0), wc / 240) / 2.4) * 100),
         "punctuation": F.when((F.size("sents") >= 6) & (F.col("marks") <= 1), 25).otherwise(0),
         "placeholder": holds(F.col("norm"), PLACEHOLDER, F.col("low")),
-    } | {
-        name: clamp_score(F.least(F.lit(1.0), sum(matches(F.col("norm"), p, F.col("low")) for p in patterns) / F.greatest(F.lit(1.0), wc / 100) / 2.0) * 100)
-        for name, _, _, patterns in GROUPS
-    })
+    } | {f"m_{name}": sum(matches(F.col("norm"), p, F.col("low")) for p in patterns) for name, _, _, patterns in GROUPS})
+    d = d.withColumns({name: clamp_score(F.least(F.lit(1.0), F.col(f"m_{name}") / F.greatest(F.lit(1.0), wc / 100) / 2.0) * 100) for name, *_ in GROUPS})
     count = lambda p: matches(F.col("norm"), p, F.col("low"))
     d = d.withColumns({"n_cite": count(CITATION), "n_number": count(NUMBER), "n_first": F.size(listed(F.col("low"), FIRST_PERSON)), "n_quote": count(QUOTE), "structured": holds(F.col("norm"), bounded(STRUCTURE), F.col("low"))})
     d = d.withColumn("safeguard", clamp_score(
@@ -220,19 +254,21 @@ def _evidence(d: DataFrame) -> dict[str, Column]:
         "punctuation": F.when(F.col("marks") > 0, F.array(F.concat(n("marks"), F.lit(" типів пунктуації")))).otherwise(none),
         "safeguard": F.array_compact(F.array(*guards)),
     } | {name: sample_evidence(F.concat(*[where(p) for p in patterns])) for name, _, _, patterns in GROUPS}
-    return {f"e_{k}": v for k, v in out.items()}
+    said = {name: F.when(F.col(name) >= least, filled(high, cv=F.format_string("%.2f", "cv"), mattr=rich)).otherwise(filled(low, mattr=rich)) for name, least, high, low in DETAILS}
+    said |= {name: F.when(F.col(f"m_{name}") > 0, filled(GROUP_DETAIL[0], n=F.col(f"m_{name}"))).otherwise(GROUP_DETAIL[1]) for name, *_ in GROUPS} | {"safeguard": F.lit(SAFEGUARD_DETAIL)}
+    return {f"e_{k}": v for k, v in out.items()} | {f"d_{k}": v for k, v in said.items()}
 
 
 def signals(units: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, place, label, category, score, evidence): the visible signals of each text, the highest first, the safeguard last."""
+    """(doc_id, place, label, category, score, detail, evidence): the visible signals of each text, the highest first, the safeguard last."""
     d = single_pass(units.select("doc_id", text), text, evidence=True)
-    each = [F.struct((-F.col(n)).alias("minus"), F.lit(k).alias("k"), F.lit(LABELS[n]).alias("label"), F.lit(c).alias("category"), F.col(n).alias("score"), F.col(f"e_{n}").alias("evidence")) for k, (n, c, _) in enumerate(drafts())]
+    each = [F.struct((-F.col(n)).alias("minus"), F.lit(k).alias("k"), F.lit(LABELS[n]).alias("label"), F.lit(c).alias("category"), F.col(n).alias("score"), F.col(f"d_{n}").alias("detail"), F.col(f"e_{n}").alias("evidence")) for k, (n, c, _) in enumerate(drafts())]
     shown = F.slice(F.array_sort(F.filter(F.array(*each), lambda x: (x["score"] >= 5) | (F.size(x["evidence"]) > 0))), 1, 20)
-    last = F.struct(F.lit(0).alias("minus"), F.lit(99).alias("k"), F.lit(LABELS["safeguard"]).alias("label"), F.lit("safeguard").alias("category"), F.col("safeguard").alias("score"), F.col("e_safeguard").alias("evidence"))
+    last = F.struct(F.lit(0).alias("minus"), F.lit(99).alias("k"), F.lit(LABELS["safeguard"]).alias("label"), F.lit("safeguard").alias("category"), F.col("safeguard").alias("score"), F.col("d_safeguard").alias("detail"), F.col("e_safeguard").alias("evidence"))
     every = F.concat(shown, F.array(last))
     # texts of fewer than ten words have no rows; a filter on the count would be pushed down and the text prepared once more
     d = d.select("doc_id", F.posexplode(F.when(F.col("word_count") >= 10, every)).alias("place", "s"))
-    return d.select("doc_id", "place", "s.label", "s.category", "s.score", "s.evidence")
+    return d.select("doc_id", "place", "s.label", "s.category", "s.score", "s.detail", "s.evidence")
 
 
 def coverage(text: Column, lang: Column) -> Column:

@@ -271,7 +271,7 @@ n5 AS MATERIALIZED (SELECT *, coalesce(list_avg(lens), 0) AS mean, {clamp("(len(
 n6 AS MATERIALIZED (SELECT *, CASE WHEN len(lens) < 2 OR mean = 0 THEN 1.0 ELSE sqrt(list_sum(list_transform(lens, lambda x: (x - mean) * (x - mean))) / len(lens)) / mean END AS cv FROM n5),
 n7 AS MATERIALIZED (SELECT *, {clamp("(1 - least(1.0, cv / 0.55)) * 100 * CASE WHEN len(prose) >= 4 THEN 1.0 ELSE 0.6 END")} AS rhythm, {clamp("greatest(0.0, 0.82 - mattr) * 190 + gram_score * 0.45")} AS lexical, {share(S.TRANSITIONS)} AS transition, {share(S.HEDGES)} AS hedge,
   {clamp("len(list_filter(starts, lambda s: len(list_filter(starts, lambda t: t = s)) >= 2)) / greatest(1, len(starts)) * 170")} AS starts_score, {clamp(f"least(1.0, {whole_words('norm', S.IMPERSONAL)} / greatest(1.0, wc / 240) / 2.4) * 100")} AS impersonal,
-  CASE WHEN len(sents) >= 6 AND marks <= 1 THEN 25 ELSE 0 END AS punctuation, {', '.join(f'{group(p)} AS {n}' for n, _, _, p in S.GROUPS)},
+  CASE WHEN len(sents) >= 6 AND marks <= 1 THEN 25 ELSE 0 END AS punctuation, {', '.join(f"({' + '.join(hits('norm', x) for x in p)}) AS m_{n}, {group(p)} AS {n}" for n, _, _, p in S.GROUPS)},
   regexp_matches(norm, {q('(?i)' + S.PLACEHOLDER)}) AS placeholder, {hits('norm', S.CITATION)} AS n_cite, {hits('norm', S.NUMBER)} AS n_number, {whole_words('norm', S.FIRST_PERSON)} AS n_first, {hits('norm', S.QUOTE)} AS n_quote,
   regexp_matches(norm, {q(f'(?i)(?:^|{OUT})(?:{ws(S.STRUCTURE)})(?:$|{OUT})')}) AS structured FROM n6),
 n8 AS MATERIALIZED (SELECT * EXCLUDE (starts), starts_score AS starts FROM n7),
@@ -292,12 +292,22 @@ def style_units() -> str:
 
 def signals() -> str:
     seen = {"rhythm": "len(sents) >= 2", "lexical": "true", "transition": "transition > 0", "hedge": "hedge > 0", "starts": "starts > 0", "impersonal": "impersonal > 0", "punctuation": "marks > 0"}
-    rows = ", ".join(f"{{'m': -{n}, 'k': {k}, 'l': {q(S.LABELS[n])}, 'c': '{c}', 'seen': {n} >= 5 OR {seen.get(n, f'{n} > 0')}}}" for k, (n, c, _) in enumerate(S.drafts()))
-    last = f"{{'m': -safeguard, 'k': 99, 'l': {q(S.LABELS['safeguard'])}, 'c': 'safeguard', 'seen': true}}"
+    fill = lambda t: f"replace(replace({q(t)}, '{{cv}}', printf('%.2f', cv)), '{{mattr}}', round(mattr * 100)::INT::VARCHAR)"
+    said = {n: f"CASE WHEN {n} >= {least} THEN {fill(high)} ELSE {fill(low)} END" for n, least, high, low in S.DETAILS}
+    said |= {n: f"CASE WHEN m_{n} > 0 THEN replace({q(S.GROUP_DETAIL[0])}, '{{n}}', m_{n}::VARCHAR) ELSE {q(S.GROUP_DETAIL[1])} END" for n, *_ in S.GROUPS}
+    rows = ", ".join(f"{{'m': -{n}, 'k': {k}, 'l': {q(S.LABELS[n])}, 'c': '{c}', 'd': {said[n]}, 'seen': {n} >= 5 OR {seen.get(n, f'{n} > 0')}}}" for k, (n, c, _) in enumerate(S.drafts()))
+    last = f"{{'m': -safeguard, 'k': 99, 'l': {q(S.LABELS['safeguard'])}, 'c': 'safeguard', 'd': {q(S.SAFEGUARD_DETAIL)}, 'seen': true}}"
     return f"""WITH src AS (SELECT doc_id, text AS txt FROM documents), {style_ctes('src', 'doc_id')},
 l AS (SELECT doc_id, list_append(list_sort(list_filter([{rows}], lambda x: x.seen)), {last}) AS xs FROM scored WHERE wc >= 10),
 e AS (SELECT doc_id, unnest(xs) AS x, unnest(range(0, len(xs))) AS place FROM l)
-SELECT doc_id, place::INT AS place, x.l AS label, x.c AS category, (-x.m)::INT AS score FROM e"""
+SELECT doc_id, place::INT AS place, x.l AS label, x.c AS category, (-x.m)::INT AS score, x.d AS detail FROM e"""
+
+
+def reasons() -> str:
+    """The sentences for the reliability of verdicts."""
+    by = " ".join(f"WHEN reason = {q(k)} THEN {q(v)}" for k, v in S.REASONS.items()) + " " + " ".join(f"WHEN percent = {k} THEN {q(v)}" for k, v in S.LANGUAGE_REASONS.items())
+    left = "code_words + quoted_words + reference_words"
+    return f"WITH {verdict_ctes()} SELECT doc_id, CASE {by} END || CASE WHEN {left} > 0 AND word_count >= 80 THEN replace({q(S.LEFT_OUT)}, '{{n}}', ({left})::VARCHAR) ELSE '' END AS reason FROM judged"
 
 
 def prose_ctes(source: str, keys: str) -> str:

@@ -176,6 +176,13 @@ def stylometry_verdicts(s, d):
     return stylometry.ensemble(_t(s, d, "documents")).withColumn("segments", F.size("segments")).drop("upper", "strongest")
 
 
+def reliability_reasons(s, d):
+    """Why each verdict is as reliable as it is, as a sentence."""
+    v = stylometry.ensemble(_t(s, d, "documents"))
+    left = F.col("code_words") + F.col("quoted_words") + F.col("reference_words")
+    return v.select("doc_id", stylometry.reason_text(F.col("reason"), F.col("percent"), F.col("word_count"), left).alias("reason"))
+
+
 def suspicious_segments(s, d):
     v = stylometry.ensemble(_t(s, d, "documents")).select("doc_id", F.posexplode("segments").alias("place", "x"))
     return v.select("doc_id", "place", "x.index", "x.start_word", "x.end_word", "x.score", "x.excerpt", F.array_join("x.evidence", "; ").alias("evidence"))
@@ -357,7 +364,7 @@ def extracted(s, d):
 
 OWN = (
     word_stats, chunk_settings, text_chunks, windows, fingerprints, candidate_pairs, ngram_containment, longest_runs, reuse_matches, reuse_scores, page_url_dedupe, page_interleave, page_text, hydrated, diagnostics, rate_limits,
-    job_states, breaker, cache_replay, page_lookups, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, suspicious_segments, verdict_by_label, language_coverage, language_distances, language_confusion, prose_text,
+    job_states, breaker, cache_replay, page_lookups, history, report_keys, unlabelled, rerank_cosine, index_to_text, type_token_ratio, stylometry_units, signals, stylometry_verdicts, reliability_reasons, suspicious_segments, verdict_by_label, language_coverage, language_distances, language_confusion, prose_text,
     prose_of_pages, analysis_texts, document_texts, rewritten, revision_diff, probe_queries, deep_probe_queries, recommended_settings, document_modes, accepted_texts, scan_matches, searched_candidates, searched_matches, document_scans, scan_reports, page_counters, search_notes,
     labels_of_scores, report_signals, task_outcomes, safe_pages, plain_as_html, rich_round_trip, file_facts, match_excerpts, extracted,
 )
@@ -427,6 +434,7 @@ r AS (SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER B
         "stylometry_units": O.style_units(),
         "signals": O.signals(),
         "stylometry_verdicts": f"WITH {O.verdict_ctes()} SELECT * EXCLUDE (segs), least(5, len(segs))::INT AS segments FROM judged",
+        "reliability_reasons": O.reasons(),
         "suspicious_segments": f"WITH {O.verdict_ctes()}, e AS (SELECT doc_id, unnest(list_slice(segs, 1, 5)) AS x, unnest(range(0, least(5, len(segs)))) AS place FROM judged) SELECT doc_id, place::INT AS place, x.index::INT AS index, x.start_word::INT AS start_word, x.end_word::INT AS end_word, x.score AS score, x.excerpt AS excerpt, array_to_string(x.evidence, '; ') AS evidence FROM e",
         "verdict_by_label": f"WITH {O.verdict_ctes()} SELECT quality, verdict, count(*) AS n FROM judged JOIN labels USING (doc_id) GROUP BY ALL",
         "language_coverage": f"WITH {O.verdict_ctes()} SELECT doc_id, language AS code, percent FROM judged",
