@@ -54,11 +54,12 @@ def classes() -> np.ndarray:
     """The class of every code point, as the library's regex engine has them."""
     import tiktoken
 
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
     out = np.full(0x110000, OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
         bytes_only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        out[np.frombuffer(bytes_only.decode(bytes_only.encode_ordinary(every)).encode("utf-32-le"), np.uint32)] = kind
+        for first in range(0, len(out), 1 << 14):  # what matches is encoded, the rest is left out
+            some = "".join(map(chr, (c for c in range(first, first + (1 << 14)) if not 0xD800 <= c < 0xE000)))
+            out[np.frombuffer(bytes_only.decode(bytes_only.encode_ordinary(some)).encode("utf-32-le"), np.uint32)] = kind
     out[ord(" ")] = SPACE
     return out
 
@@ -323,7 +324,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of each text's ids and of what they decode to."""
-    both = decode(encode(docs, path, id_col, text_col, offsets=False), path)
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    # both in one worker a task: ids go from one to the other in batches
+    both = rows.mapInArrow(lambda it: _decode(_encode(it, path, False), path, 1), f"doc_id {rows.dtypes[0][1]}, ids array<int>, decoded binary")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
