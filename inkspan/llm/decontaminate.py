@@ -11,8 +11,8 @@ at the last place of the document. Any other window of that similarity begins wi
 is no less similar; so the best window of every pair is among those laid. The radius of 19 bits is the method's own
 limit: a similarity of 0.8 differs in 10 bits on average, and in over 19 with a chance of about 0.03 %.
 
-Documents are read twice, whatever the benchmark's size: for the places of shared shingles, and, only those that hold
-enough of them, for the windows. Text is never shuffled while the found pairs of a block are few enough to broadcast.
+Documents are read once for the places of shared shingles and, only those that hold enough of them, once more for the
+windows of every 200 000 found pairs. Text is never shuffled, as the found pairs of a block are few enough to broadcast.
 
 Defined results: null texts are empty; an item without words matches nothing; one of fewer than five words is one
 shingle of all its words; a document shorter than the item is one window; equal items each match; rows with null ids
