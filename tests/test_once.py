@@ -24,3 +24,7 @@ def test_few_row_groups_are_dealt_out(spark, tmp_path):
     sizes = spread(spark.read.parquet(str(tmp_path / "t"))).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(sizes) >= TURNS * 4 and max(r["count"] for r in sizes) < 2 * 5000 / len(sizes)
     assert "Repartition" in plan(registry.document_texts(spark, SMALL))
+
+
+def test_ranked_matches_are_made_once_for_a_report(spark):
+    assert plan(registry.scan_reports(spark, SMALL)).count("row_number()") == 1  # that of the confirmed score
