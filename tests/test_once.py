@@ -28,3 +28,15 @@ def test_few_row_groups_are_dealt_out(spark, tmp_path):
 
 def test_ranked_matches_are_made_once_for_a_report(spark):
     assert plan(registry.scan_reports(spark, SMALL)).count("row_number()") == 1  # that of the confirmed score
+
+
+def test_white_space_at_the_ends_alone_is_trimmed(spark):
+    # the next-line character is no white space of the standard, and what stands before it is not at the end
+    rows = [("a \u0085",), ("  a b﻿\n",), (" \t",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.trim_ws(F.col("t"))).collect()]
+    assert got == ["a \u0085", "a b", "", "", None]
+
+
+def test_a_line_is_trimmed_once(spark):
+    d = spark.createDataFrame([("x = 1;",)], "t string").select(prep.code_line(F.col("t")))
+    assert plan(d).count("trim(") == 1
