@@ -40,3 +40,8 @@ def test_white_space_at_the_ends_alone_is_trimmed(spark):
 def test_a_line_is_trimmed_once(spark):
     d = spark.createDataFrame([("x = 1;",)], "t string").select(prep.code_line(F.col("t")))
     assert plan(d).count("trim(") == 1
+
+
+def test_a_chunk_is_parted_into_words_once(spark):
+    d = spark.createDataFrame([(1, 0, "some words of a chunk")], "doc_id int, chunk_index int, chunk_text string")
+    assert plan(probe.search_queries(d).select("doc_id", "query")).count("\\x{1680}") <= plan(d.select(T.words(F.col("chunk_text")))).count("\\x{1680}")
