@@ -45,3 +45,28 @@ def test_a_line_is_trimmed_once(spark):
 def test_a_chunk_is_parted_into_words_once(spark):
     d = spark.createDataFrame([(1, 0, "some words of a chunk")], "doc_id int, chunk_index int, chunk_text string")
     assert plan(probe.search_queries(d).select("doc_id", "query")).count("\\x{1680}") <= plan(d.select(T.words(F.col("chunk_text")))).count("\\x{1680}")
+
+
+def test_rerank_ranks_what_tiles_leave(spark, monkeypatch):
+    import random
+
+    from inkspan.operators import corpus
+
+    rng = random.Random(4)
+    monkeypatch.setattr(corpus, "TILE", 40)
+    monkeypatch.setattr(corpus, "BLOCK", 3)
+    rows = [(k, [rng.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for k in range(200)] + [(300, None), (301, [1.0, None, 2.0, 3.0]), (302, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id % 20 = 0 OR vec_id > 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = corpus.rerank(v, q, 5)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString() and "near" in plan(found)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in found.collect()}
+    cos = lambda a, b: None if not a or not b or len(a) != len(b) or None in a or None in b else sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
+    for k, a in rows:
+        if k % 20 == 0 or k > 300:
+            each = [(i, cos(b, a)) for i, b in rows]
+            best = sorted(each, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:5]
+            told = [got[k, r] for r in range(1, 6)]
+            near = dict(each)
+            assert [near[i] is None for i in told] == [c is None for _, c in best]
+            assert all(c is None and i == j or c is not None and abs(near[i] - c) < 1e-12 for i, (j, c) in zip(told, best))
