@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
+from inkspan.operators import corpus
 from inkspan.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -36,6 +37,17 @@ def test_modes_shuffle_no_texts(spark):
     assert made == registry.text_chunks(spark, SMALL).select("doc_id").distinct().count()
 
 
+def test_an_index_is_made_and_read_beside_its_text(spark):
+    d = spark.createDataFrame([(1, "b a  b\nc a"), (2, " "), (3, None), (4, "x"), (4, "y x y")], "doc_id int, text string")
+    i = corpus.word_index(d)
+    assert "Exchange" not in steps(corpus.text_of_index(i).select("doc_id", "text")).replace("RoundRobin", "")
+    assert sorted((r.doc_id, sorted(r.places.items())) for r in i.collect()) == [(1, [("a", [1, 4]), ("b", [0, 2]), ("c", [3])]), (4, [("x", [0])]), (4, [("x", [1]), ("y", [0, 2])])]
+    # rows of one id stay apart, as in SQL
+    assert sorted(map(tuple, corpus.text_of_index(i).collect())) == [(1, "b a b c a"), (4, "x"), (4, "y x y")]
+    loose = spark.createDataFrame([(7, {"v": [2], "u": [0, 1]}), (8, {}), (9, None)], "doc_id int, places map<string,array<int>>")
+    assert [tuple(r) for r in corpus.text_of_index(loose).collect()] == [(7, "u u v")]
+
+
 def test_cyrillic_strings_are_looked_for_in_cyrillic_texts(spark):
     rows = [("plain",), ("größe",), ("слово",), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.cyrillic(F.col("t"))).collect()]
