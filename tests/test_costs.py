@@ -1,9 +1,10 @@
 """What a query costs: texts are searched and moved no more than their rows need."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import corpus
+from inkspan.operators import corpus, language
 from inkspan.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -48,6 +49,22 @@ def test_an_index_is_made_and_read_beside_its_text(spark):
     assert [tuple(r) for r in corpus.text_of_index(loose).collect()] == [(7, "u u v")]
 
 
+def test_trigrams_are_counted_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    text = " " + "шум und größe ab " * 40
+    whole = language.trigrams(text)
+    monkeypatch.setattr(language, "PART", 50)
+    sizes, merged = [], language.merged
+    monkeypatch.setattr(language, "merged", lambda found: sizes.append(sum(len(g) for g, _ in found)) or merged(found))
+    for a, b in zip(whole, language.trigrams(text)):
+        assert np.array_equal(a, b)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y"] * 60), pa.array([text] * 120)], ["lang", "t"])
+    out = list(language._counts(iter([batch])))
+    assert [(b.column(0)[0].as_py(), b.column(2).to_pylist()) for b in out] == [(n, [60 * int(c) for c in whole[1]]) for n in "xy"]
+    assert max(sizes) <= 50 + 2 * len(whole[0])  # all texts of a batch were held at once
+
+
 def test_cyrillic_strings_are_looked_for_in_cyrillic_texts(spark):
     rows = [("plain",), ("größe",), ("слово",), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.cyrillic(F.col("t"))).collect()]
