@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.functions.text import WS, count_words, java, let, normalize_ws, trim_ws
+from inkspan.functions.text import ALNUM, count_words, cyrillic, folded, java, let, may_match, normalize_ws, trim_ws
 
 A, Z = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 L, R = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -41,7 +41,9 @@ SENTENCE = r"[^.!?]+[.!?]+|[^.!?]+$"
 
 
 def sentence_key(sentence: Column) -> Column:
-    return normalize_ws(F.regexp_replace(F.regexp_replace(F.lower(sentence), "[0-9]+", "#"), rf"[^\p{{L}}\p{{N}}#{WS[1:-1]}]", " "))
+    # whatever is no letter, digit or # becomes one space; single spaces, by far the most, are left alone
+    other = f"[^{ALNUM}#]"
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), "[0-9]+", "#"), f"{other}(?:(?<! ){other}*|{other}+)", " "))
 
 
 def without_repeats(paragraph: Column) -> Column:
@@ -57,8 +59,9 @@ def without_repeats(paragraph: Column) -> Column:
 
 
 def tidy(paragraph: Column) -> Column:
-    p = F.regexp_replace(normalize_ws(paragraph), java(r"\s+([,.;:!?])"), "$1")
-    return F.trim(F.regexp_replace(p, java(r",\s*,"), ","))
+    # in normal white space, where only single spaces stand
+    p = F.regexp_replace(normalize_ws(paragraph), " ([,.;:!?])", "$1")
+    return F.trim(F.regexp_replace(p, ", ?,", ","))
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
@@ -66,17 +69,22 @@ def rewrite(docs: DataFrame) -> DataFrame:
 
     changes has the count of every rule that changed something, in the rules' order; vague counts claims without a source.
     """
-    d = docs.select("doc_id", F.array_join(paragraphs(F.col("text")), "\n\n").alias("original"))
-    d = d.withColumn("original_words", count_words(F.col("original"))).where("original_words >= 20").withColumn("t", F.col("original"))
+    # a filter on the count would be pushed down and the paragraphs made once more
+    long_enough = lambda o: let(count_words(o), lambda n: F.when(n >= 20, F.array(F.struct(o.alias("original"), n.alias("original_words")))))
+    d = docs.select("doc_id", F.explode(let(F.array_join(paragraphs(F.col("text")), "\n\n"), long_enough)).alias("x")).select("doc_id", "x.*")
+    # most texts lack what a pattern needs; the folded text, which tells that, is made anew whenever a rule has changed something
+    d = d.withColumn("t", F.col("original")).withColumn("low", folded(F.col("t"))).withColumn("cyr", cyrillic(F.col("low")))
     counts = []
     steps = [(name, [("(?iu)(?:" + p + ")", to) for p, to in parts]) for name, parts in RULES] + [("transitions", SOFT)]
     for name, parts in steps:
         n = F.lit(0)
         for k, (p, to) in enumerate(parts):
-            p = java(p)
-            d = d.withColumn(f"n_{name}_{k}", F.regexp_count("t", F.lit(p)))
-            d = d.withColumn("t", F.when(F.col(f"n_{name}_{k}") > 0, F.regexp_replace("t", p, to)).otherwise(F.col("t")))
-            n = n + F.col(f"n_{name}_{k}")
+            able, p, hits = may_match(F.col("low"), p.removeprefix("(?iu)"), F.col("cyr")), java(p), F.col(f"n_{name}_{k}")
+            d = d.withColumn(f"n_{name}_{k}", F.when(able, F.regexp_count("t", F.lit(p))).otherwise(0))
+            d = d.withColumn("t", F.when(hits > 0, F.regexp_replace("t", p, to)).otherwise(F.col("t")))
+            d = d.withColumn("low", F.when(hits > 0, folded(F.col("t"))).otherwise(F.col("low")))
+            d = d.withColumn("cyr", F.when(hits > 0, cyrillic(F.col("low"))).otherwise(F.col("cyr")))
+            n = n + hits
         counts.append((name, n))
     d = d.withColumn("parts", F.filter(F.transform(F.split("t", "\n{2,}"), without_repeats), lambda p: p["text"] != ""))
     counts.append(("repeats", F.aggregate("parts", F.lit(0), lambda s, p: s + p["count"])))

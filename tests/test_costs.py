@@ -1,10 +1,11 @@
 """What a query costs: texts are searched and moved no more than their rows need."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import corpus, language
+from inkspan.operators import corpus, language, rewrite
 from inkspan.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -19,6 +20,10 @@ def steps(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
 def test_white_space_is_that_of_the_standard(spark):
     every = spark.range(0x10000).where("id < 55296 OR id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
     unlike = every.where(F.col("c").rlike("^" + T.WS + "$") != F.col("c").rlike("^" + T.BLANK + "$")).count()
@@ -65,6 +70,30 @@ def test_trigrams_are_counted_in_parts(monkeypatch):
     assert max(sizes) <= 50 + 2 * len(whole[0])  # all texts of a batch were held at once
 
 
+def test_rules_are_tried_only_where_they_can_match(spark):
+    d = spark.createDataFrame([(1, "Certainly! It is robust. " + "plain words of a text that go on " * 4), (2, "word " * 25)], "doc_id int, text string")
+    r = rewrite.rewrite(d)
+    p = plan(r)
+    assert 'Contains(' in p or "contains" in p.lower()
+    assert [(x.doc_id, [tuple(c) for c in x.changes]) for x in r.orderBy("doc_id").collect()] == [(1, [("chat", 1), ("adverts", 1)]), (2, [])]
+
+
+@pytest.mark.parametrize("text,rules", [
+    # a pattern's words come about only through an earlier rule: marks within a word, or an expression replaced
+    ("Пишемо **дан**ий текст. " + "слово " * 25, [("format", 2), ("synonyms", 1)]),
+    ("Слово. Отже, далі. " + "слово " * 25, [("transitions", 1)]),
+    ("КРИТИЧНО ВАЖЛИВИЙ КОМПЛЕКСНИЙ ПІДХІД " + "слово " * 25, [("adjectives", 1)]),
+])
+def test_rules_see_what_earlier_ones_made(spark, text, rules):
+    r = rewrite.rewrite(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert [tuple(c) for c in r.changes] == rules
+
+
+def test_a_sentence_key_is_one_space_between_words(spark):
+    s = "  Ab-12,  cd «éF» 3.  x's"
+    assert one(spark, rewrite.sentence_key(F.lit(s))) == "ab # cd éf # x s"
+
+
 def test_cyrillic_strings_are_looked_for_in_cyrillic_texts(spark):
     rows = [("plain",), ("größe",), ("слово",), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.cyrillic(F.col("t"))).collect()]
