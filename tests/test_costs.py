@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkspan.functions import text as T
-from inkspan.operators import corpus, language, rewrite
+from inkspan.operators import corpus, language, rewrite, stylometry
 from inkspan.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -94,6 +94,13 @@ def test_a_sentence_key_is_one_space_between_words(spark):
     assert one(spark, rewrite.sentence_key(F.lit(s))) == "ab # cd éf # x s"
 
 
+def test_texts_are_parted_once_for_style(spark):
+    d = spark.createDataFrame([(1, "I wrote this. Вступ! Висновки. " + "Plain words here. " * 20)], "doc_id int, text string")
+    s = stylometry.single_pass(d)
+    assert plan(s).count("]_]+") + plan(s).count("]]_]+") <= 2 and "[^\\p{L}\\p{N}_]+" not in plan(s)
+    assert s.first().word_count > 60
+
+
 def test_cyrillic_strings_are_looked_for_in_cyrillic_texts(spark):
     rows = [("plain",), ("größe",), ("слово",), ("",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.cyrillic(F.col("t"))).collect()]
