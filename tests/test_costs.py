@@ -108,3 +108,22 @@ def test_cyrillic_strings_are_looked_for_in_cyrillic_texts(spark):
     low = spark.createDataFrame([("таким чином",), ("in conclusion",), ("größe",)], "t string")
     p = "in conclusion|таким чином"
     assert [r[0] for r in low.select(T.may_match(F.col("t"), p, T.cyrillic(F.col("t")))).collect()] == [True, True, False]
+
+
+def test_lengths_need_no_chunks(spark):
+    from inkspan.operators import search
+    from inkspan.operators.sequence import Settings, chunks
+
+    rows = [(k, "w " * n) for k, n in enumerate([0, 1, 80, 81, 2000, 2001, 5001, 9000])] + [(7, "w " * 30), (20, None), (21, " \n"), (None, "a b")]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    for s in (Settings(), Settings(300, 100, "deep")):
+        cut = search.modes(d, chunks(d, s), s.sensitivity == "deep")
+        assert sorted(map(tuple, search.planned_modes(d, s).collect())) == sorted(map(tuple, cut.collect()))
+        assert "Join" not in plan(search.planned_modes(d, s)) and "Generate" not in plan(search.planned_modes(d, s))
+
+
+def test_bare_words_keep_their_places(spark):
+    from inkspan.operators import probe
+
+    s = "«Ab» — x-1 it's !! É2."
+    assert one(spark, probe.bare_words(F.lit(s))) == ["Ab", "", "x-1", "it's", "", "É2"] == [one(spark, probe.bare(F.lit(w))) for w in s.split(" ")]
