@@ -9,7 +9,8 @@ cut into blocks: each block's composed function is found, all blocks at once, th
 each block is read again from the state it begins in. A token begins where symbol and state before it say so.
 
 The slices between boundaries are bytes of the texts. Each distinct one is merged once, pairs by their ranks, and kept
-in a cache of bounded size; offsets are kept, so that ids can be traced to bytes and texts decoded one by one.
+in a cache of bounded size; the new ones of a piece are merged together, a pair of each in every round. Offsets are kept,
+so that ids can be traced to bytes and texts decoded one by one.
 
 Classes are those of the library's own regex engine, whose Unicode version others needn't share.
 
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import batches_by_bytes, quoted, unused
+from inkspan.llm.words import RowCache, ragged
 
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
 # Symbols: the five classes (white space inside a run), the last white space before something else, a contraction's
@@ -42,11 +44,13 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_BLANKS, AFTER_SPACE, TWO_LEFT, ONE_
 #: Characters of a block of the scan.
 BLOCK = 128
 #: Distinct slices that a worker keeps, and the longest kept; a full cache is emptied.
-MOST, LONGEST = 200_000, 64
+MOST, LONGEST = 700_000, 64
 #: Bytes that are split and merged at once; a few dozen bytes of memory go with each.
 PIECE = 1 << 20
 #: Slices from here on are merged with a heap.
 HEAP_FROM = 48
+#: Fewer new slices than these are merged one by one, and so many at once.
+FEW, TOGETHER = 16, 1 << 13
 
 
 @cache
@@ -142,17 +146,15 @@ def scan(functions: np.ndarray) -> np.ndarray:
 
 
 def split(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of tokens, ends of tokens) as places in the bytes; a line feed at every place in `ends` ends a text."""
+    """(places in the bytes where tokens begin, and the end; which tokens aren't marks); a line feed at every place in `ends`, the mark, ends a text."""
     points = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
     size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
     where = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     marks = np.searchsorted(where, ends)
     first = boundaries(symbols(points, marks))
-    stop = where[np.flatnonzero(first)]  # the marks begin tokens of their own
     is_mark = np.zeros(len(points), bool)
     is_mark[marks] = True
-    own = ~is_mark[first]
-    return stop[own], np.append(stop[1:], where[-1])[own]
+    return np.append(where[np.flatnonzero(first)], where[-1]), ~is_mark[first]  # the marks begin tokens of their own
 
 
 class Merger:
@@ -164,12 +166,80 @@ class Merger:
         self.words: list[bytes] = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for word, rank in self.ranks.items():
             self.words[rank] = word
-        self.kept: dict[bytes, list[int]] = {}
-
-    def merge(self, word: bytes) -> list[int]:
-        if (whole := self.ranks.get(word)) is not None:
-            return [whole]
-        return self._heap(word) if len(word) >= HEAP_FROM else self._plain(word)
+        self.none = len(self.words)
+        self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # the rank of what two parts make, by both parts' ids
+        pairs, made, rank_of = [np.iinfo(np.int64).max], [self.none], self.ranks.get
+        for w, r in self.ranks.items():
+            for k in range(1, len(w)):
+                if (x := rank_of(w[:k])) is not None and (y := rank_of(w[k:])) is not None:
+                    pairs.append(x * self.none + y)
+                    made.append(r)
+        order = np.argsort(pairs)
+        self.pairs, self.made = np.array(pairs, np.int64)[order], np.array(made, np.int64)[order]
+        self.kept = RowCache(self._learn, "<u4", MOST)
+
+    def _learn(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct slices in a row, how many each has)."""
+        whole = list(map(self.ranks.get, slices))
+        apart = [k for k, r in enumerate(whole) if r is None]
+        short = [k for k in apart if len(slices[k]) < HEAP_FROM]
+        alone = [k for k in apart if len(slices[k]) >= HEAP_FROM]
+        if len(short) < FEW:
+            alone, short = apart, []
+        lengths = np.ones(len(slices), np.int64)
+        groups = [self._together([slices[k] for k in short[a : a + TOGETHER]]) for a in range(0, len(short), TOGETHER)]
+        flat, lengths[short] = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*groups) if groups else ((), ())))
+        merged = [self._heap(slices[k]) if len(slices[k]) >= HEAP_FROM else self._plain(slices[k]) for k in alone]
+        lengths[alone] = [len(m) for m in merged]
+        out, at = np.zeros(int(lengths.sum()), "<u4"), np.cumsum(lengths) - lengths
+        single = [k for k, r in enumerate(whole) if r is not None]
+        out[at[single]] = [whole[k] for k in single]
+        out[ragged(at[short], lengths[short])] = flat
+        out[ragged(at[alone], lengths[alone])] = [i for m in merged for i in m]
+        return out, lengths
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left * self.none + right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.made[at], self.none)
+
+    def _together(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of slices in a row, how many each has): in every round each slice merges its lowest pair, of equal ones the leftmost."""
+        lengths = np.array([len(w) for w in slices], np.int64)
+        parts = self.of_byte[np.frombuffer(b"".join(slices), np.uint8)]
+        if (parts < 0).any():
+            raise KeyError("a byte has no rank")
+        last = np.zeros(len(parts), bool)
+        last[np.cumsum(lengths) - 1] = True
+        rank = np.full(len(parts), self.none, np.int64)  # of each part with the next one
+        inner = np.flatnonzero(~last)
+        rank[inner] = self._rank(parts[inner], parts[inner + 1])
+        which, size = np.arange(len(slices)), lengths.copy()
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(which):
+            begin = np.cumsum(size) - size
+            # a rank and its place in one number, so that the least is the leftmost of the lowest
+            low, at = np.divmod(np.minimum.reduceat((rank << 32) + np.arange(len(rank)), begin), 1 << 32)
+            ended = low >= self.none
+            keep = np.repeat(~ended, size)
+            if ended.any():
+                done.append((which[ended], size[ended], parts[~keep]))
+            going = ~ended
+            which, size, at, low, begin = which[going], size[going] - 1, at[going], low[going], begin[going]
+            parts[at] = low
+            rank[at] = np.where(at + 1 < begin + size, 0, self.none)  # overwritten below unless the part is the last now
+            keep[at + 1] = False
+            parts, rank = parts[keep], rank[keep]
+            moved = np.cumsum(size) - size
+            at += moved - begin
+            behind, ahead = at[at + 1 < moved + size], at[at > moved]
+            rank[behind] = self._rank(parts[behind], parts[behind + 1])
+            rank[ahead - 1] = self._rank(parts[ahead - 1], parts[ahead])
+        which, size, parts = (np.concatenate(x) for x in zip(*done))
+        begin = np.cumsum(size) - size
+        order = np.argsort(which)
+        return parts[ragged(begin[order], size[order])], size[order]
 
     def _plain(self, word: bytes) -> list[int]:
         rank_of, none = self.ranks.get, len(self.words)
@@ -210,18 +280,20 @@ class Merger:
             a = after[a]
         return out
 
-    def ids(self, slices: list[bytes]) -> list[list[int]]:
-        kept, out = self.kept, []
-        for word in slices:
-            found = kept.get(word)
-            if found is None:
-                found = self.merge(word)
-                if len(word) <= LONGEST:
-                    if len(kept) >= MOST:
-                        kept.clear()
-                    kept[word] = found
-            out.append(found)
-        return out
+    def ids(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct slices in a row, how many each has); all but long ones are kept."""
+        if len(slices) > MOST:  # the cache stays within its bound
+            some = [self.ids(slices[a : a + MOST]) for a in range(0, len(slices), MOST)]
+            return np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
+        if max(map(len, slices), default=0) <= LONGEST:
+            return self.kept.expand(self.kept.rows_of(slices))
+        long = np.array([len(w) > LONGEST for w in slices])
+        lengths = np.zeros(len(slices), np.int64)
+        a, lengths[~long] = self.kept.expand(self.kept.rows_of([w for w in slices if len(w) <= LONGEST]))
+        b, lengths[long] = self._learn([w for w in slices if len(w) > LONGEST])
+        of_long, out = np.repeat(long, lengths), np.zeros(len(a) + len(b), "<u4")
+        out[~of_long], out[of_long] = a, b
+        return out, lengths
 
 
 @cache
@@ -266,22 +338,23 @@ def encode_batch(texts: pa.Array, path: str, most: int = PIECE) -> tuple[list[np
     ids: list[list[np.ndarray]] = [[] for _ in lengths]
     for a, b in pieces(data, ends.tolist(), most):
         part = data[a:b]
-        lo, hi = np.searchsorted(ends, a), np.searchsorted(ends, b)
+        lo, hi = (int(k) for k in np.searchsorted(ends, [a, b]))
         marks = ends[lo:hi] - a
         inner = part if len(marks) and marks[-1] == len(part) - 1 else part + data[b : b + 1] + b"\n"
         # a piece that ends within a text sees one character more, for what the pattern looks ahead to
         all_marks = marks if inner is part else np.append(marks, len(inner) - 1)
-        starts, stops = split(inner, all_marks)
+        edges, own = split(inner, all_marks)
         if inner is not part:
-            starts, stops = starts[starts < len(part)], stops[starts < len(part)]
-        found = m.ids([inner[x:y] for x, y in zip(starts.tolist(), stops.tolist())])
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))
-        text = np.searchsorted(ends, starts + a)
-        upto = np.concatenate([[0], np.cumsum(count)])
-        for t in np.unique(text).tolist():
-            x, y = np.searchsorted(text, [t, t + 1])
-            ids[t].append(flat[upto[x] : upto[y]])
+            n = int(np.searchsorted(edges, len(part)))
+            edges, own = edges[: n + 1], own[:n]
+        slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(edges), pa.py_buffer(inner)]).dictionary_encode()
+        flat, lengths = m.ids(slices.dictionary.to_pylist())
+        coded = slices.indices.to_numpy()
+        count = np.where(own, lengths[coded], 0)
+        flat = flat[ragged((np.cumsum(lengths) - lengths)[coded], count)]
+        for t, some in enumerate(np.split(flat, np.cumsum(count)[~own]), lo):
+            if len(some):
+                ids[t].append(some)
     whole = [np.concatenate(p) if p else np.zeros(0, np.uint32) for p in ids]
     return whole, [np.cumsum(sizes[w]) for w in whole]
 
@@ -306,13 +379,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, at: int) -> Iterator[pa.RecordBatch]:
-    words = np.array(merger(path).words, object)
+    words = pa.array(merger(path).words, pa.large_binary())
+    sizes = np.array([len(w) for w in merger(path).words], np.int64)
     for b in batches:
         col = b.column(at)
-        flat = pc.list_flatten(col).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(col)
         where = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))])
-        texts = [b"".join(words[flat[x:y]].tolist()) for x, y in zip(where, where[1:])]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
+        ends = np.concatenate([[0], np.cumsum(sizes[flat.to_numpy(zero_copy_only=False)])])[where]
+        data = words.take(flat).buffers()[2] or pa.py_buffer(b"")  # the bytes of all ids in a row
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(col), [None, pa.py_buffer(ends), data]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, "decoded"])
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -90,6 +90,58 @@ def test_bpe_round_trip(spark, library):
     assert kept.columns == ["doc_id", "ids", "decoded", "decoded_"]
 
 
+def made_words(n, seed=9):
+    """Distinct slices that no rank has whole, none of them long."""
+    rng = random.Random(seed)
+    ends = ["en", "tion", "é", "ß", "ñ", "er", "日", "x", "sch", "qu", "ing", "'", "0"]
+    return sorted({" " + "".join(rng.choice(ends) for _ in range(rng.randrange(5, 12))).replace("'", "") for _ in range(n)})
+
+
+def test_new_slices_are_merged_together(library, monkeypatch):
+    """They were merged one by one, which took most of the time on texts of many different words."""
+    words = [w for w in made_words(4000) if len(w.encode()) < byte_bpe.HEAP_FROM]
+    texts = ["".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    alone = []
+    plain = byte_bpe.Merger._plain
+    monkeypatch.setattr(byte_bpe.Merger, "_plain", lambda self, word: alone.append(word) or plain(self, word))
+    byte_bpe.merger.cache_clear()
+    ids, _ = byte_bpe.encode_batch(pa.array(texts, pa.string()), RANKS)
+    assert [i.tolist() for i in ids] == [library.encode_ordinary(t) for t in texts]
+    assert len(alone) < byte_bpe.FEW
+
+
+def test_slices_of_every_length_are_learnt_alike(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 100)
+    rng = random.Random(4)
+    slices = list({bytes(rng.choice(b"aeinorst'\x00\xff\xc3") for _ in range(rng.randrange(1, 120))) for _ in range(800)})
+    for some in (slices, slices[:5], []):
+        m = byte_bpe.Merger(RANKS)
+        for _ in range(2):  # new, and kept but for the long ones
+            flat, lengths = m.ids(some)
+            got = [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] if some else []
+            assert got == [[m.ranks[w]] if w in m.ranks else m._heap(w) for w in some]
+        assert all(len(w) <= byte_bpe.LONGEST for w in m.kept.at)
+
+
+def test_a_full_cache_is_emptied(library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MOST", 50)
+    byte_bpe.merger.cache_clear()
+    texts = random_texts(300, seed=8) + ["one " * 30, None, "日本 語 " * 20]
+    ids, _ = byte_bpe.encode_batch(pa.array(texts, pa.string()), RANKS, most=400)
+    assert 0 < len(byte_bpe.merger(RANKS).kept.at) <= 50
+    assert all(i.tolist() == library.encode_ordinary(t or "") for t, i in zip(texts, ids))
+    byte_bpe.merger.cache_clear()
+
+
+def test_decoded_lists_may_be_null_or_cut(library):
+    texts = ["a few words", None, "", "日本 é", "the end"]
+    ids = [None if t is None else library.encode_ordinary(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    for a, n in ((0, 5), (1, 3), (1, 2), (4, 1), (2, 0)):
+        (got,) = byte_bpe._decode(iter([batch.slice(a, n)]), RANKS, 1)
+        assert got.column(2).to_pylist() == [(t or "").encode() for t in texts[a : a + n]]
+
+
 def plain_codes(rows, parts=16, entries=64, rounds=2):
     """The contract, pair by pair."""
     kept = [(i, [int(np.floor(256 * np.float64(x))) for x in v], lab) for i, v, lab in rows if v and all(x is not None and np.isfinite(x) for x in v)]
